@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
+from . import mixture as mixing
 from .sentencepiece_bpe import encode_documents
 from .token_counts import count_tokens
 from .token_shards import token_shards
@@ -24,6 +25,10 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -31,8 +36,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_token_shards)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_token_shards, op7_mixture)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op7_mixture": mixing.ORACLE}
