@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
 from . import mixture as mixing
+from .quality_rules import quality_rules
 from .sentencepiece_bpe import encode_documents
 from .token_counts import count_tokens
 from .token_shards import token_shards
@@ -29,6 +30,10 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -36,7 +41,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_token_shards, op7_mixture)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules)}
 
 
 def oracles() -> dict[str, str]:
