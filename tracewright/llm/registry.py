@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
 from . import mixture as mixing
+from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encode_documents
 from .token_counts import count_tokens
 from .token_shards import token_shards
+from .toxicity import score_toxicity
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -41,7 +51,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier)}
 
 
 def oracles() -> dict[str, str]:
