@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 #: What keeps a text from the plain way: runs of white space, and white space other than spaces and line ends.
@@ -38,7 +39,7 @@ class SegmentEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, most_kept: int = 250_000):
+    def __init__(self, path: str, most_kept: int = 600_000):
         self.tokenizer = load(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.most_kept = most_kept
@@ -67,9 +68,10 @@ class SegmentEncoder:
                 fresh.append(k)
         if cut:
             fresh += ["\n\n,", "\n\n."]
+        code = "H" if self.width == 2 else "I"  # native order, little-endian on all of Spark's platforms
         fresh = list(dict.fromkeys(fresh))
         for k, e in zip(fresh, self.tokenizer.encode_batch_fast([k[2:] if k[:2] == "\n\n" else k if k[:1] == "\n" else " " + k for k in fresh], add_special_tokens=False), strict=True):
-            known[k] = b"".join([i.to_bytes(self.width, "little") for i in e.ids])
+            known[k] = array(code, e.ids).tobytes()
         for k in cut:
             known[k] = known[k[:-1]] + known["\n\n" + k[-1]]
 
