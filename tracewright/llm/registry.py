@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
 from . import mixture as mixing
+from . import license_scan as licenses
 from . import norm_buckets
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
@@ -21,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return norm_buckets.top_k(vectors, norm_buckets.every_nth(vectors))
@@ -57,8 +62,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_norm_buckets, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_norm_buckets": norm_buckets.ORACLE, "op7_mixture": mixing.ORACLE}
+    return {"op2_license_scan": licenses.oracle(), "op3_norm_buckets": norm_buckets.ORACLE, "op7_mixture": mixing.ORACLE}
