@@ -10,6 +10,7 @@ from .common import table, tokenizer_path
 from . import mixture as mixing
 from . import license_scan as licenses
 from . import norm_buckets
+from .ngram_join import similarity_components
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encode_documents
@@ -31,6 +32,10 @@ def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_buckets.top_k(vectors, norm_buckets.every_nth(vectors))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op4_ngram_join, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier)}
 
 
 def oracles() -> dict[str, str]:
