@@ -134,14 +134,15 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
                         count()
             n = len(rows)
             cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [pa.nulls(n, pa.int64())] * 2, ["doc_id", "n", "v", "shingle", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [batch.column(2)] + [pa.nulls(n, pa.int64())] * 2, ["doc_id", "n", "v", "text_key", "shingle", "times"])
         count()
         if hot:
             h = _signed(np.array(list(hot), np.uint64))
             none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(h), pa.array(list(hot.values()), pa.int64())], ["doc_id", "n", "v", "shingle", "times"])
+            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(h), pa.array(list(hot.values()), pa.int64())], ["doc_id", "n", "v", "text_key", "shingle", "times"])
 
-    return stored(texts(docs).mapInArrow(run, "doc_id long, n long, v long, shingle long, times long"))
+    keyed = texts(docs).withColumn("text_key", F.xxhash64("text"))
+    return stored(keyed.mapInArrow(run, "doc_id long, n long, v long, text_key long, shingle long, times long"))
 
 
 def _hot(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -273,11 +274,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id."""
+    """doc_id, n_shingles, component_id, and text_key (xxhash64 of the text), which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     read = _read(docs, size)
     hot = spark.sparkContext.broadcast(_hot(read))
-    rows = read.where(F.col("shingle").isNull()).select("doc_id", "n", "v")
+    rows = read.where(F.col("shingle").isNull()).select("doc_id", "n", "v", "text_key")
     named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.max("n").alias("n"))
 
     lists = stored(_lists(docs, size, percent, hot))
@@ -308,8 +309,8 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) ->
     named = named.join(groups, "v", "left").select("v", "name", F.coalesce("c", "v").alias("c"))
     least = named.groupBy("c").agg(F.min("name").alias("component_id"))
     found = named.join(least, "c").select("v", "component_id")
-    full = rows.where("v IS NOT NULL").join(found, "v").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(rows.where("v IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = rows.where("v IS NOT NULL").join(found, "v").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
+    return full.unionByName(rows.where("v IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key"))
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -318,7 +319,16 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; documents without shingles all stay."""
-    found = similarity_components(docs, size, percent).where("n_shingles = 0 OR doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one document of each component, that of the smallest doc_id.
+
+    Documents without shingles, and rows without doc_id, are in no group and stay.  Equal rows count once.
+    """
+    found = similarity_components(docs, size, percent)
+    grouped = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    first = found.where(grouped).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.*")
+    kept = first.unionByName(found.where(~grouped).select("doc_id", "text_key").distinct())
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    row = row.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    alone, rest = row.where("id IS NULL"), row.where("id IS NOT NULL").dropDuplicates(["id", "key"])
+    return rest.unionByName(alone).select("row.*")

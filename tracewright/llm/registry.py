@@ -67,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op4_ngram_join, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op4_ngram_join, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier, pipeline)}
 
 
 def oracles() -> dict[str, str]:

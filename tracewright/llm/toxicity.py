@@ -184,3 +184,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
 
     pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
     return pick.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_toxic_neighbours int, best_cosine double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns as they are."""
+    model = NearestExamples(*examples(docs, labels, "toxic", per_class), k)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t or "")[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
