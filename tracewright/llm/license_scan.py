@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import BASE, CONFIDENCE, signatures
+from .license_rules import BASE, CONFIDENCE, GATE, signatures
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words once A-Z are lower-case, words as they come, and what stands between them.
@@ -22,10 +22,11 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _gate() -> str:
-    """A regex over raw text that no document with a base phrase or a rule's keyword misses."""
-    words = sorted({s.keyword for s in signatures()} | {"license"})
-    kept = [w for w in words if not any(o != w and o in w for o in words)]
-    return "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in kept)
+    """GATE as a regex over raw text behind a space, by first letters, so that most words cost one comparison or two."""
+    part = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    spell = lambda w: "".join(part + "+" if c == "_" else f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    by_first = {c: [w for w in GATE if w[0] == c] for c in sorted({w[0] for w in GATE})}
+    return part + "(?:" + "|".join(spell(c) + "(?:" + "|".join(spell(w[1:]) for w in ws) + ")" for c, ws in by_first.items()) + ")"
 
 
 def _words(text: Column) -> Column:
@@ -38,7 +39,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         *[F.struct(F.lit(s.order).alias("order"), F.lit(s.label).alias("label"), F.lit(s.keyword).alias("keyword"), F.lit(s.priority).alias("priority"), F.lit(s.regex).alias("regex")) for s in signatures()]
     )
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("doc_id", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(F.col("text").rlike(_gate()), F.col("text")).alias("text"))
+    d = d.select("doc_id", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(F.concat(F.lit(" "), "text").rlike(_gate()), F.col("text")).alias("text"))
     joined = F.regexp_replace(F.translate("text", UPPER, LOWER), BETWEEN, "  ")
     d = d.select("doc_id", "n_words", F.concat(F.lit(" "), F.regexp_replace(joined, "^  |  $", ""), F.lit(" ")).alias("norm"))
 
