@@ -1,14 +1,14 @@
 """N-gram Jaccard join: documents linked by the overlap of their word shingles, and the components of the links.
 
 T-occurrence search.  All sets agree on one order of shingles, those found often in some task's share of the corpus last.  Two
-sets that reach the threshold share T shingles among the first n - ceil(t n) + T of each.  The short lists, of the first
-n - ceil(t n) + 1 shingles, are merged by one shuffle on the shingle (any shared one makes a candidate); the T - 1 longer
-ones that follow are skipped there, as DivideSkip does, and only probed for candidates, by binary search, before the whole sets
-are compared.  Equal sets are one vertex from the start.
+sets that reach the threshold share at least T shingles among the first n - ceil(t n) + T of each, T being a twentieth of the
+smaller set.  One shuffle on the shingle gives these lists, and lists of one set alone go at once.  DivideSkip: a set leaves
+out up to T - 1 of its longest lists (L of them) when lists are merged; partners met T - L times or more in the merged ones
+are then probed, by binary search, in all of them, before whole sets are compared.  Equal sets are one vertex from the start.
 
 Only the components matter, so links inside a component already known are not sought: first every set is compared with
-one partner, that of most shared list entries, which joins up the large groups; then all candidate pairs that are still in
-different components are compared.  Nothing is capped: a pair of different components that shares a list is always compared.
+one partner, the first of its lists that it meets most often, which joins up the large groups; then all partners that are
+still in different components.  Nothing is capped: a pair of different components that meets often enough is always compared.
 
 Sets are compared as 64-bit hashes of their shingles.  Texts without words have empty sets and link with nothing.  Rows of equal
 text, also of one doc_id, are one vertex; a component is named by its smallest doc_id (null if all are).
@@ -20,12 +20,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, texts
 
 BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+LONG = 32  # entries of a list that DivideSkip may leave out
 HOT_MOST = 1 << 20  # shingles that may be held as hot ones
 BITS = 1 << 24  # of the filter that tells which texts are read again
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -88,6 +89,11 @@ def _least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _occurrences(n: int) -> int:
+    """T: how many shingles of their prefixes two sets share, the smaller one having n."""
+    return max(1, n // 20)
+
+
 def shared_enough(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
@@ -164,7 +170,7 @@ def in_order(h: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
-    """(shingle, v, n) of the short lists, once for each vertex and task."""
+    """(shingle, v, n) of every prefix, once for each vertex and task."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -179,7 +185,7 @@ def _lists(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(v)
-                p = len(h) - _least_shared(len(h), percent) + 1
+                p = len(h) - _least_shared(len(h), percent) + _occurrences(len(h))
                 tokens.append(in_order(h, order, times)[:p])
                 vs.append(np.full(p, v, np.int64))
                 ns.append(np.full(p, len(h), np.int32))
@@ -226,7 +232,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int, hot) -> DataFrame:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                t = max(1, min(len(a), len(b)) // 20)  # long lists: probed before whole sets are
+                t = _occurrences(min(len(a), len(b)))
                 heads = []
                 for key, h in ((x, a), (y, b)):
                     head = kept.get(key)
@@ -281,29 +287,37 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) ->
     rows = read.where(F.col("shingle").isNull()).select("doc_id", "n", "v", "text_key")
     named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.max("n").alias("n"))
 
-    lists = stored(_lists(docs, size, percent, hot))
-    many = lists.groupBy("shingle").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").select("shingle")
-    shared = stored(lists.join(many, "shingle", "left_semi").dropDuplicates(["shingle", "v"]))
-    vertices = shared.select("v").distinct()
-    wanted = named.join(vertices, "v").where("name IS NOT NULL").select(F.col("name").alias("doc_id"), "v")
+    by_shingle = Window.partitionBy("shingle")
+    lists = _lists(docs, size, percent, hot).withColumns({"x": F.min("v").over(by_shingle), "y": F.max("v").over(by_shingle)}).where("x <> y")
+    lists = lists.select("shingle", "v", "n").dropDuplicates(["shingle", "v"]).withColumn("df", F.count("*").over(by_shingle))
+    shared = stored(lists)
+    # a set that shares fewer than T of its shingles with any other has no link
+    t = F.greatest(F.floor(F.col("n") / 20), F.lit(1))
+    able = stored(shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n"), F.count_if(F.col("df") > LONG).alias("long")).where(F.col("lists") >= t))
+    able = able.select("v", t.alias("t"), F.least(F.col("long"), t - 1).alias("skips"))
+    shared = stored(shared.join(able, "v"))
+    wanted = named.join(able.select("v"), "v").where("name IS NOT NULL").select(F.col("name").alias("doc_id"), "v")
     sets = stored(_sets(docs, size, stored(wanted)))
 
     # one partner each: of its lists' first members the one met most often
-    first = shared.groupBy("shingle").agg(F.min(F.struct("n", "v")).alias("hub"))
-    met = shared.join(first, "shingle").where(_fits(F.col("n"), F.col("hub.n"), percent) & (F.col("v") != F.col("hub.v"))).groupBy("v", F.col("hub.v").alias("hub")).agg(F.count("*").alias("times"))
+    first = shared.groupBy("shingle").agg(F.min(F.struct("n", "v", "t")).alias("hub"))
+    met = shared.join(first, "shingle").where(_fits(F.col("n"), F.col("hub.n"), percent) & (F.col("v") != F.col("hub.v")))
+    met = met.groupBy("v", F.col("hub.v").alias("hub")).agg(F.count("*").alias("times"), F.max("t").alias("t"), F.max("hub.t").alias("ht"))
     partner = met.groupBy("v").agg(F.max_by("hub", F.struct("times", "hub")).alias("b")).select(F.col("v").alias("a"), "b")
     links = stored(_compare(partner, sets, percent, hot))
     known = components(links)
 
-    # every other pair of a list, unless one component holds both
-    placed = shared.join(known, "v", "left").select("shingle", "v", "n", F.coalesce("c", "v").alias("c"))
+    # every other partner met often enough, unless one component holds both
+    longest = Window.partitionBy("v").orderBy(F.desc("df"), "shingle")
+    placed = shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v"))
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle")
+    placed = placed.withColumn("merged", F.row_number().over(longest) > F.col("skips"))
     placed = stored(placed.join(mixed, "shingle", "left_semi"))
-    p, q = placed.alias("p"), placed.alias("q")
+    p, q = placed.where("merged").alias("p"), placed.alias("q")
     earlier = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.v") < F.col("q.v")))
     rest = p.join(q, F.col("p.shingle") == F.col("q.shingle")).where((F.col("p.c") != F.col("q.c")) & earlier & _fits(F.col("p.n"), F.col("q.n"), percent))
-    pairs = rest.select(F.col("p.v").alias("a"), F.col("q.v").alias("b")).distinct().join(partner, ["a", "b"], "left_anti")
-    links = links.unionByName(_compare(pairs, sets, percent, hot))
+    pairs = rest.groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max(F.col("p.t") - F.col("p.skips")).alias("need")).where("times >= need").select("a", "b")
+    links = links.unionByName(stored(_compare(pairs.join(partner, ["a", "b"], "left_anti"), sets, percent, hot)))
     groups = components(links)
 
     named = named.join(groups, "v", "left").select("v", "name", F.coalesce("c", "v").alias("c"))
