@@ -2,8 +2,8 @@
 
 T-occurrence search.  All sets agree on one order of shingles, those found often in some task's share of the corpus last.  Two
 sets that reach the threshold share at least T shingles among the first n - ceil(t n) + T of each, T being a twentieth of the
-smaller set.  One shuffle on the shingle gives these lists, and lists of one set alone go at once.  DivideSkip: a set leaves
-out up to T - 1 of its longest lists (L of them) when lists are merged; partners met T - L times or more in the merged ones
+smaller set, and as many more as their sizes demand.  One shuffle on the shingle gives these lists, and lists of one set alone go at once.  DivideSkip: a set leaves
+out up to T - 1 of its longest lists (L of them) when lists are merged; partners met often enough in the merged ones, L left out,
 are then probed, by binary search, in all of them, before whole sets are compared.  Equal sets are one vertex from the start.
 
 Only the components matter, so links inside a component already known are not sought: first every set is compared with
@@ -107,7 +107,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def _read(docs: DataFrame, size: int) -> DataFrame:
-    """Vertices, set sizes, and the shingles that some task met four times or more."""
+    """Vertices, set sizes, and the shingles that some task met twice or more."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -121,7 +121,7 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
             nonlocal held, amount
             if held:
                 h, c = np.unique(np.concatenate(held), return_counts=True)
-                for x, n in zip(h[c >= 4].tolist(), c[c >= 4].tolist(), strict=True):
+                for x, n in zip(h[c >= 2].tolist(), c[c >= 2].tolist(), strict=True):
                     hot[x] = hot.get(x, 0) + n
             held, amount = [], 0
 
@@ -152,10 +152,17 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _hot(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hot shingles and their order.  Those of at least total / HOT_MOST occurrences: at most HOT_MOST of them."""
-    total = read.agg(F.sum("n")).first()[0] or 0
-    least = max(8, total // HOT_MOST)
-    rows = read.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least).toPandas()
+    """Hot shingles and how often they were met: at most HOT_MOST, whatever the corpus."""
+    times = stored(read.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("times").alias("times")).where("times >= 4"))
+    # the bound falls on a power of two, so that a count by powers finds it
+    powers = {r["p"]: r["n"] for r in times.groupBy(F.floor(F.log2("times")).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
+    least, held = 62, 0
+    for p in sorted(powers, reverse=True):
+        held += powers[p]
+        if held > HOT_MOST:
+            break
+        least = p
+    rows = times.where(F.col("times") >= 2**least).toPandas()
     rows = rows.assign(h=rows["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
     return rows["h"].to_numpy(np.uint64), rows["times"].to_numpy(np.int64)
 
@@ -316,7 +323,12 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) ->
     p, q = placed.where("merged").alias("p"), placed.alias("q")
     earlier = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.v") < F.col("q.v")))
     rest = p.join(q, F.col("p.shingle") == F.col("q.shingle")).where((F.col("p.c") != F.col("q.c")) & earlier & _fits(F.col("p.n"), F.col("q.n"), percent))
-    pairs = rest.groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max(F.col("p.t") - F.col("p.skips")).alias("need")).where("times >= need").select("a", "b")
+    # what both hold in all, less what can lie beyond the shorter rest, must be met in the prefixes
+    prefix = lambda n, t: n - F.ceil(n * percent / 100) + t
+    overlap = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent))
+    beyond = F.least(F.col("p.n") - prefix(F.col("p.n"), F.col("p.t")), F.col("q.n") - prefix(F.col("q.n"), F.col("q.t")))
+    need = F.greatest(overlap - beyond - F.col("p.skips"), F.col("p.t") - F.col("p.skips"))
+    pairs = rest.groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max(need).alias("need")).where("times >= need").select("a", "b")
     links = links.unionByName(stored(_compare(pairs.join(partner, ["a", "b"], "left_anti"), sets, percent, hot)))
     groups = components(links)
 
