@@ -129,7 +129,7 @@ WORDINGS = [
 #: What a text must hold for any phrase or signature above to match, in words' beginnings; "_" stands for what parts words.
 #: A test holds it against every signature.
 GATE = [
-    "licen", "spdx", "apache", "mit_0", "mit_no_", "gpl", "lgpl", "agpl", "gnu_gpl", "bsd", "cddl", "wtfpl", "odbl", "cc0", "cc_by",
+    "licen", "unlicense", "spdx", "apache", "mit_0", "mit_no_", "gpl", "lgpl", "agpl", "gnu_gpl", "bsd", "cddl", "wtfpl", "odbl", "cc0", "cc_by",
     "creative_commons", "hereby_granted", "provided_as_is", "redistribut", "merchantability", "unencumbered", "waived_all",
     "public_domain", "rights_reserved", "proprietary_and", "unauthorized_", "altered_source", "advertising_materials", "endorse_or",
     "substantial_portions", "commercial_use", "noncommercial_use", "what_the_fuck",

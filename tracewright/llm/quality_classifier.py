@@ -41,7 +41,7 @@ def features(word: bytes, buckets: int) -> list[int]:
 
 
 class SubwordClassifier:
-    def __init__(self, rows: list[tuple[str, int]], share: float, buckets: int = 1 << 17, dims: int = 8, epochs: int = 4, rate: float = 0.5, own_weight: float = 0.2):
+    def __init__(self, rows: list[tuple[str, int]], share: float, buckets: int = 1 << 17, dims: int = 8, epochs: int = 3, rate: float = 0.5, own_weight: float = 0.2):
         self.buckets, self.share, self.own_weight = buckets, share, own_weight
         self.known: dict[bytes, float] = {}
         labels = np.array([y for _, y in rows], int)
@@ -111,7 +111,7 @@ class SubwordClassifier:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = SubwordClassifier(*examples(docs, labels, "quality", per_class))
 
