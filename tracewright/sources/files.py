@@ -47,7 +47,7 @@ def from_files(spark: SparkSession, paths: list[str], charset: str = "UTF-8") ->
     """(lines, warnings).  Files are read whole and in the order given; undecodable and empty ones give a warning."""
     order = spark.createDataFrame([(os.path.abspath(p), p, i) for i, p in enumerate(paths)], "at string, source_file string, file_ord int")
     files = spark.read.format("binaryFile").load(list(paths)).select(F.regexp_replace(F.try_url_decode("path"), "^file:/*", "/").alias("at"), "content")
-    files = files.join(F.broadcast(order), "at")  # one row a path given
+    files = order.join(files, "at", "left")  # one row a path given; empty files are not read at all
     if charset.upper() in ("UTF-8", "UTF8"):
         text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     else:
@@ -63,7 +63,8 @@ def from_files(spark: SparkSession, paths: list[str], charset: str = "UTF-8") ->
             return content.map(one)
 
         text = decoded("content")
-    files = files.select("source_file", "file_ord", text.alias("text"))
+    files = files.select("source_file", "file_ord", "content", text.alias("text"))
+    files = files.withColumn("text", F.when(F.col("content").isNull(), "").otherwise(F.col("text")))
     bad = files.where("text IS NULL").select("source_file", F.concat(F.lit("cannot be decoded as "), F.lit(charset)).alias("warning"))
     empty = files.where("text = ''").select("source_file", F.lit("empty file").alias("warning"))
     return split_lines(files.where("text <> ''")), bad.unionByName(empty)
