@@ -107,7 +107,7 @@ RULES = """
 rules:
 - {name: low, priority: 1, when: {level: ERROR}, annotate: [{type: INFO}], description: said}
 - {name: high, priority: 9, when: {levelAtLeast: WARN, messageRegex: BOOM}, stopOnMatch: true, cause: {title: boom}}
-- {name: off, enabled: false, when: {level: ERROR}}
+- {name: disabled, enabled: false, when: {level: ERROR}}
 - {name: before, priority: 5, when: {level: ERROR}, precededBy: {withinSeconds: 10, when: {messageRegex: retry}}}
 """
 

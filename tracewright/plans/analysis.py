@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,9 @@ def event_summary(events: DataFrame) -> DataFrame:
 
 def analyze_events(events: DataFrame, config: Config = Config(), rules: list[Rule] | None = None, warnings: DataFrame | None = None) -> Analysis:
     rules = load_rules(config.rules.files, config.rules.builtin) if rules is None else rules
-    entries = apply_rules(build_entries(correlate(events, config.correlation), config.timeline), rules)
+    # read by every table below; kept, so that parsing and windows run once and later plans stay small
+    events = events.persist(StorageLevel.MEMORY_AND_DISK)
+    entries = apply_rules(build_entries(correlate(events, config.correlation), config.timeline), rules).persist(StorageLevel.MEMORY_AND_DISK)
     spans = timelines(entries)
     summary = event_summary(events).crossJoin(spans.agg(F.count("*").alias("timelines"), F.count_if("is_failed").alias("failed_timelines")))  # one row each
     return Analysis(events, entries, spans, rule_hits(entries, rules), root_causes(entries, rules, config.analysis), summary, warnings)

@@ -14,8 +14,7 @@ from ..functions.levels import is_error
 def thread_sessions(events: DataFrame, gap_seconds: int = 30, late: str = "1 minute") -> DataFrame:
     """Sessions of each thread, cut at pauses longer than the gap; append mode gives them when the watermark has passed."""
     bad = is_error(F.col("level"), F.col("exception"), F.col("http"))
-    # a session window ends one gap after its last event and takes events up to that end, not at it
-    window = F.session_window("ts", F.expr(f"interval {gap_seconds} seconds + interval 1 microsecond"))
+    window = F.session_window("ts", f"{gap_seconds} seconds")  # a pause as long as the gap does not cut
     d = events.where("thread IS NOT NULL").withWatermark("ts", late).groupBy("thread", window)
     return d.agg(F.count("*").alias("events"), F.count_if(bad).alias("errors"), F.min("ts").alias("start"), F.max("ts").alias("end")).drop("session_window")
 
