@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
+
+from .sentencepiece_bpe import Remembered
 
 #: What keeps a text from the plain way: runs of white space, and white space other than spaces and line ends.
 RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\r\v\f\x1c\x1d\x1e\x1f")
@@ -39,12 +40,11 @@ class SegmentEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, most_kept: int = 600_000):
+    def __init__(self, path: str, most_kept: int = 400_000):
         self.tokenizer = load(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.most_kept = most_kept
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"  # native order, little-endian on all of Spark's platforms
+        self.known = Remembered(self._learn, most_kept)
 
     @staticmethod
     def keys(text: str) -> list[str]:
@@ -55,43 +55,11 @@ class SegmentEncoder:
             return keys
         return ["\n\n" + s for s in STABLE.split(text)]
 
-    def _learn(self, keys: Iterable[str]) -> None:
-        known, older, fresh, cut = self.known, self.older, [], []
-        for k in keys:
-            if k in older:
-                known[k] = older[k]
-            elif k[-1:] in {",", "."} and k[-2:-1].isalpha():  # letters and marks are always split
-                cut.append(k)
-                if k[:-1] not in known:
-                    fresh.append(k[:-1])
-            else:
-                fresh.append(k)
-        if cut:
-            fresh += ["\n\n,", "\n\n."]
-        code = "H" if self.width == 2 else "I"  # native order, little-endian on all of Spark's platforms
-        fresh = list(dict.fromkeys(fresh))
-        for k, e in zip(fresh, self.tokenizer.encode_batch_fast([k[2:] if k[:2] == "\n\n" else k if k[:1] == "\n" else " " + k for k in fresh], add_special_tokens=False), strict=True):
-            known[k] = array(code, e.ids).tobytes()
-        for k in cut:
-            known[k] = known[k[:-1]] + known["\n\n" + k[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        keys = [self.keys(t) if t else [] for t in texts]
-        if len(self.known) >= self.most_kept:
-            self.older, self.known = self.known, {}
-        missing = {k for ks in keys for k in ks} - self.known.keys()
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ks)) for ks in keys]
-
-    def encode_in_groups(self, texts: list[str], chars: int = 400_000) -> Iterable[bytes]:
-        """As encode(), a few texts at a time so that little is held at once."""
-        group, held = [], 0
-        for t in texts:
-            group.append(t)
-            held += len(t)
-            if held >= chars:
-                yield from self.encode(group)
-                group, held = [], 0
-        yield from self.encode(group)
+    def _learn(self, key: str) -> bytes:
+        if key[-1:] in {",", "."} and key[-2:-1].isalpha():  # letters and marks are always split
+            return self.known[key[:-1]] + self.known["\n\n" + key[-1]]
+        text = key[2:] if key[:2] == "\n\n" else key if key[:1] == "\n" else " " + key
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.keys(text))) if text else b""

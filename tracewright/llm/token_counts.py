@@ -57,11 +57,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, huge:
         encoder = SegmentEncoder.of(tokenizer_path)
         for batch in batches:
             every = batch.column(1).to_pylist()
-            short = [t if len(t) <= huge else "" for t in every]
-            counts = [len(x) // encoder.width for x in encoder.encode_in_groups(short)]
-            for i, t in enumerate(every):
-                if len(t) > huge:
-                    counts[i] = resync_count(encoder.tokenizer, t, chunk, overlap)
+            counts = [resync_count(encoder.tokenizer, t, chunk, overlap) if len(t) > huge else len(encoder.encode(t)) // encoder.width for t in every]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

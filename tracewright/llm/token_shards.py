@@ -153,7 +153,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["part", "shard", "n_tokens", "payload"])
 
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_in_groups(batch.column(1).to_pylist()), strict=True):
+            for name, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist()), strict=True):
                 held += [ids, end]
                 names.append(name)
                 lengths.append(len(ids) // encoder.width + 1)
