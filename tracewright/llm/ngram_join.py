@@ -300,7 +300,8 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) ->
     shared = stored(lists)
     # a set that shares fewer than T of its shingles with any other has no link
     t = F.greatest(F.floor(F.col("n") / 20), F.lit(1))
-    able = stored(shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n"), F.count_if(F.col("df") > LONG).alias("long")).where(F.col("lists") >= t))
+    able = shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n"), F.count_if(F.col("df") > LONG).alias("long"))
+    able = stored(able.where(F.col("lists") >= t))
     able = able.select("v", t.alias("t"), F.least(F.col("long"), t - 1).alias("skips"))
     shared = stored(shared.join(able, "v"))
     wanted = named.join(able.select("v"), "v").where("name IS NOT NULL").select(F.col("name").alias("doc_id"), "v")
@@ -323,10 +324,10 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) ->
     p, q = placed.where("merged").alias("p"), placed.alias("q")
     earlier = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.v") < F.col("q.v")))
     rest = p.join(q, F.col("p.shingle") == F.col("q.shingle")).where((F.col("p.c") != F.col("q.c")) & earlier & _fits(F.col("p.n"), F.col("q.n"), percent))
-    # what both hold in all, less what can lie beyond the shorter rest, must be met in the prefixes
+    # what both hold in all, less what can lie beyond the prefix that ends first in the common order, is met in the prefixes
     prefix = lambda n, t: n - F.ceil(n * percent / 100) + t
     overlap = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent))
-    beyond = F.least(F.col("p.n") - prefix(F.col("p.n"), F.col("p.t")), F.col("q.n") - prefix(F.col("q.n"), F.col("q.t")))
+    beyond = F.greatest(F.col("p.n") - prefix(F.col("p.n"), F.col("p.t")), F.col("q.n") - prefix(F.col("q.n"), F.col("q.t")))
     need = F.greatest(overlap - beyond - F.col("p.skips"), F.col("p.t") - F.col("p.skips"))
     pairs = rest.groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max(need).alias("need")).where("times >= need").select("a", "b")
     links = links.unionByName(stored(_compare(pairs.join(partner, ["a", "b"], "left_anti"), sets, percent, hot)))
