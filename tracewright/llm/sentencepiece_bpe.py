@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 from hashlib import sha256
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import texts
@@ -214,18 +215,30 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
         import pyarrow as pa
 
         codec = PrefixTableCodec.of(model_path)
+
+        def made(docs: list, rows: list) -> pa.RecordBatch:
+            counts, ids, decoded = zip(*rows, strict=True)
+            digests = [pa.array([sha256(x.encode()).hexdigest() for x in texts_], pa.string()) for texts_ in (ids, decoded)]
+            cols, names = [pa.array(docs, pa.int64()), pa.array(counts, pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                flat = np.fromstring(",".join(x for x in ids if x), np.int32, sep=",")
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                cols += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(decoded, pa.string())]
+                names += ["ids", "decoded"]
+            return pa.RecordBatch.from_arrays(cols, names)
+
         for batch in batches:
-            rows = []
-            for t in batch.column(1).to_pylist():
-                n, ids, decoded = codec.digest(t)
-                row = (n, sha256(ids.encode()).hexdigest(), sha256(decoded.encode()).hexdigest())
-                rows.append(row + (([int(i) for i in ids.split(",")] if ids else [], decoded) if with_ids else ()))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-            types = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.string()] if with_ids else [])]
-            cols = list(zip(*rows, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", *names]
-            )
+            docs, rows, held = [], [], 0
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                docs.append(batch.column(0)[i].as_py())
+                rows.append(codec.digest(text))
+                held += len(text)
+                if held > 2_000_000:  # little at once, however long the texts
+                    yield made(docs, rows)
+                    docs, rows, held = [], [], 0
+            if docs:
+                yield made(docs, rows)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return texts(docs).mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
