@@ -66,6 +66,22 @@ def test_held_out_accuracy(spark, kind, label, threshold, most):
     assert all(0 <= score(t) <= 1 for t in ("", " ", "x" * 10_000, "日本"))
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxicity_of_small_tables(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r["text"], r["toxic"]) for r in docs.join(labels, "doc_id").orderBy("doc_id").collect()]
+    found = wrong = 0
+    for fold in range(5):  # each document is scored without being an example
+        train = [r for i, r in enumerate(rows) if i % 5 != fold]
+        model = NearestExamples(train, sum(y for _, y in train) / len(train))
+        assert len(model.index) > 5_000  # of some 15,000 and 35,000 terms
+        for text, y in rows[fold::5]:
+            marked = model.score(text)[0] >= 0.5
+            found, wrong = found + (marked and y), wrong + (marked and not y)
+    toxic = sum(y for _, y in rows)
+    assert found >= 0.6 * toxic and wrong <= 0.1 * (len(rows) - toxic)
+
+
 def test_nearest_are_exact(spark):
     train, test, share = _split(spark, "toxic")
     model = NearestExamples([r for r in train if r[1]][:200] + [r for r in train if not r[1]][:200], share, k=5)

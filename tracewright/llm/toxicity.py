@@ -1,7 +1,8 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the 4-letter beginnings of longer words (inflected forms meet there).  Terms whose share of toxic
-examples is far from their share of the others are kept; idf comes from the examples.  The index holds each term's
+Terms are words and the 4-letter beginnings of longer words (inflected forms meet there), all those of the examples.  A
+term weighs TF-IDF times the square root of its evidence, the likelihood ratio G of its shares of toxic and other examples:
+no bound is set on either, a term with little evidence weighs little.  The index holds each term's
 postings by block of examples with the largest weight in each block; blocks are visited from the highest bound down until
 no block can reach the k-th best cosine, so the k nearest are exact.  Neighbours vote with the square of their cosine; votes
 turn into rates through a table learnt by leaving each example out, with the natural share of the classes put back.
@@ -9,7 +10,7 @@ turn into rates through a table learnt by leaving each example out, with the nat
 Of examples that are near copies of one another (a shared min-hash of 3-word shingles) the first alone is kept: a rare
 word of a much-copied text is no sign of its class.
 
-Bounds (parameters): examples per class, terms.  A text without any kept term, an empty or a null text scores the rate
+Bounds (parameters): examples per class.  A text without any term of the examples, an empty or a null text scores the rate
 of such examples.  Without labels of both classes every score is the share of class 1 (0 without any).  Ties between
 neighbours go to the earlier example.  Repeated rows: one result each.  Other columns are ignored.
 """
@@ -20,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -31,6 +33,7 @@ from .labelled import examples, held_out
 LETTERS = re.compile(r"[^\W\d_]+")
 STEM = 4
 BLOCK = 64
+FIRST = 4  # blocks visited before all others that can still reach the k-th best
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -51,74 +54,130 @@ def without_copies(rows: list[tuple[str, int]], hashes: int = 4) -> list[tuple[s
     return kept
 
 
+class Known(dict):
+    """Terms of the index by word, looked up when first asked for."""
+
+    def __init__(self, index: dict[str, int]):
+        self.index = index
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self[word] = tuple(self.index[t] for t in terms_of(word) if t in self.index)
+        return ids
+
+    def __reduce__(self):  # what a task has looked up does not travel
+        return Known, (self.index,)
+
+
+def _ranges(first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges in one array, and the length of each range."""
+    n = ends - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum())), n
+
+
+class Postings:
+    """Examples by term; an entry is a term's run of postings within one block, with its largest weight."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        self.examples = len(vectors)
+        self.blocks = (len(vectors) + BLOCK - 1) // BLOCK
+        term = np.concatenate([at for at, _ in vectors] or [np.zeros(0, np.int64)])
+        where = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
+        order = np.argsort(term, kind="stable")  # examples stay in order within a term
+        term, where = term[order], where[order]
+        self.where, self.weight = where, np.concatenate([w for _, w in vectors] or [np.zeros(0)])[order]
+        block = where // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.block, self.starts = block[first], np.r_[first, len(term)]
+        self.tops = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.entries = np.searchsorted(term[first], np.arange(n_terms + 1))  # of a term, the first
+
+    def __getitem__(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        s = slice(self.starts[self.entries[term]], self.starts[self.entries[term + 1]])
+        return self.where[s], self.weight[s]
+
+    def bounds(self, at: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries of the terms, the query's weight at each, and by block the most that a cosine can be."""
+        entries, n = _ranges(self.entries[at], self.entries[at + 1])
+        q = np.repeat(q, n)
+        return entries, q, np.bincount(self.block[entries], q * self.tops[entries], minlength=self.blocks)
+
+    def scores(self, entries: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """By example its cosine, 0 outside the blocks."""
+        if len(blocks) < self.blocks:
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            mine = wanted[self.block[entries]]
+            entries, q = entries[mine], q[mine]
+        at, n = _ranges(self.starts[entries], self.starts[entries + 1])
+        return np.bincount(self.where[at], np.repeat(q, n) * self.weight[at], minlength=self.examples)
+
+    def all_scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """By example its cosine, whole lists at once."""
+        at, n = _ranges(self.starts[self.entries[at]], self.starts[self.entries[at + 1]])
+        return np.bincount(self.where[at], np.repeat(q, n) * self.weight[at], minlength=self.examples)
+
+
 class NearestExamples:
-    def __init__(self, rows: list[tuple[str, int]], share: float, k: int = 15, most_terms: int = 20_000, least_ratio: float = 3.0, least_g: float = 30.0):
+    def __init__(self, rows: list[tuple[str, int]], share: float, k: int = 15):
         self.k, self.share = k, share
         rows = without_copies(rows)
         bags = [Counter(t for w in LETTERS.findall(text.lower()) for t in terms_of(w)) for text, _ in rows]
         labels = np.array([y for _, y in rows], int)
         n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
         self.index: dict[str, int] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.index)
         self.table = None
         if not n1 or not n0:
             return
         df = [Counter(), Counter()]
         for bag, y in zip(bags, labels, strict=True):
             df[y].update(bag.keys())
-        scored = []
-        for t in df[1].keys() | df[0].keys():
-            a, b = df[1][t], df[0][t]
-            pa, pb = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-            p = (a + b) / (n1 + n0)
-            g = 2 * sum(x * math.log(x / e) for x, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))) if x and e)
-            if g >= least_g and max(pa / pb, pb / pa) >= least_ratio:
-                scored.append((-g, t))
-        kept = [t for _, t in sorted(scored)[:most_terms]]
-        self.index = {t: i for i, t in enumerate(kept)}
         n = len(rows)
-        self.idf = np.array([math.log((1 + n) / (1 + df[0][t] + df[1][t])) + 1 for t in kept])
+        g = {t: self._evidence(df[1][t], df[0][t], n1, n0) for t in df[1].keys() | df[0].keys()}
+        terms = sorted(g, key=lambda t: (-g[t], t))
+        self.index.update((t, i) for i, t in enumerate(terms))
+        self.factor = np.array([(math.log((1 + n) / (1 + df[0][t] + df[1][t])) + 1) * (math.sqrt(g[t]) + 0.01) for t in terms])
         vectors = [self._vector(bag) for bag in bags]
         order = sorted((i for i in range(n) if vectors[i][0].size), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))  # alike ones share blocks
         self.labels = labels[order]
-        self.blocks = (len(order) + BLOCK - 1) // BLOCK
-        postings: list[list[tuple[int, float]]] = [[] for _ in kept]
-        for at, i in enumerate(order):
-            for t, w in zip(*vectors[i], strict=True):
-                postings[t].append((at, float(w)))
-        self.post = []
-        for p in postings:
-            where, weight = np.array([x for x, _ in p], np.int64), np.array([w for _, w in p])
-            block = where // BLOCK
-            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(p) else np.zeros(0, np.int64)
-            tops = np.maximum.reduceat(weight, first) if len(p) else weight
-            self.post.append((where, weight, block[first], np.r_[first, len(p)], tops))
+        self.post = Postings([vectors[i] for i in order], len(terms))
         self._calibrate(vectors, order, labels, n1, n0)
 
+    @staticmethod
+    def _evidence(a: int, b: int, n1: int, n0: int) -> float:
+        """G of a term in a of n1 toxic and b of n0 other examples."""
+        p = (a + b) / (n1 + n0)
+        return max(0.0, 2 * sum(x * math.log(x / e) for x, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))) if x and e))
+
     def _vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
         found = sorted((self.index[t], c) for t, c in bag.items() if t in self.index)
-        at = np.array([t for t, _ in found], np.int64)
-        w = np.array([1 + math.log(c) for _, c in found]) * self.idf[at] if found else np.zeros(0)
+        return self._weighted(np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], float))
+
+    def _weighted(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.factor[at]
         return at, w / (np.linalg.norm(w) or 1.0)
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[float, int]]:
         """The k best (cosine, example), exact; ties to the smaller example."""
-        bounds = np.zeros(self.blocks)
-        terms = [(q, self.post[t]) for t, q in zip(*vector, strict=True)]
-        for q, (_, _, blocks, _, tops) in terms:
-            bounds[blocks] += q * tops
+        entries, q, bounds = self.post.bounds(*vector)
+        left = np.argsort(-bounds, kind="stable")
+        left = left[bounds[left] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == self.k and bounds[b] < best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for q, (where, weight, blocks, ends, _) in terms:
-                i = int(np.searchsorted(blocks, b))
-                if i < len(blocks) and blocks[i] == b:
-                    s = slice(ends[i], ends[i + 1])
-                    scores[where[s] - b * BLOCK] += q * weight[s]
-            found = [(float(scores[i]), b * BLOCK + i) for i in np.flatnonzero(scores).tolist() if b * BLOCK + i != without]
-            best = sorted(best + found, key=lambda x: (-x[0], x[1]))[: self.k]
+        visit = FIRST
+        while len(left):
+            if best and 3 * len(left) > self.post.blocks:  # whole lists are cheaper than most of their runs
+                scores, best = self.post.all_scores(*vector), []
+            else:
+                scores = self.post.scores(entries, q, left[:visit])
+            if without >= 0:
+                scores[without] = 0
+            found = np.flatnonzero(scores)
+            if len(found) > self.k:
+                found = found[scores[found] >= np.partition(scores[found], -self.k)[-self.k]]
+            best = sorted(best + [(float(scores[i]), i) for i in found.tolist()], key=lambda x: (-x[0], x[1]))[: self.k]
+            left, visit = left[visit:], self.post.blocks
+            if len(best) == self.k:
+                left = left[bounds[left] >= best[-1][0] - 1e-9]
         return best
 
     def _vote(self, best: list[tuple[float, int]]) -> float:
@@ -142,20 +201,13 @@ class NearestExamples:
         """Calibrated score, and the neighbours as evidence."""
         if self.table is None:
             return self.share, []
-        known, bag = self.known, Counter()
+        known = self.known
         if len(known) > 400_000:
             known.clear()
-        for w in LETTERS.findall(text.lower()):
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = tuple(self.index[t] for t in terms_of(w) if t in self.index)
-            if ids:
-                bag.update(ids)
-        if not bag:
+        ids = list(chain.from_iterable(map(known.__getitem__, LETTERS.findall(text.lower()))))
+        if not ids:
             return float(self.table[0]), []
-        at = np.array(sorted(bag), np.int64)
-        w = np.array([1 + math.log(bag[t]) for t in at.tolist()]) * self.idf[at]
-        best = self.nearest((at, w / np.linalg.norm(w)))
+        best = self.nearest(self._weighted(*np.unique(np.array(ids, np.int64), return_counts=True)))
         v = self._vote(best)
         return float(np.clip(self.table[min(10, int(v * 10) + 1)] * 0.999 + v * 0.001, 0, 1)), best
 
