@@ -9,7 +9,7 @@ import pytest
 
 from tracewright.llm.quality_classifier import SubwordClassifier, score_quality
 from tracewright.llm.quality_rules import quality_rules, repeated_words, without_rejected
-from tracewright.llm.toxicity import NearestExamples, score_toxicity, without_toxic
+from tracewright.llm.toxicity import NearestExamples, score_toxicity, without_copies, without_toxic
 
 SF = "/root/testdata/sf0.1"
 
@@ -82,6 +82,24 @@ def test_toxicity_of_small_tables(spark, sf):
     assert found >= 0.6 * toxic and wrong <= 0.1 * (len(rows) - toxic)
 
 
+def test_only_near_copies_of_kept_examples_go():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    rows = []
+    for _ in range(60):  # chains of texts that change by 3 % to 50 % at each step, in both labels
+        words, change = [word() for _ in range(rnd.randint(1, 60))], rnd.choice([0, 0.03, 0.1, 0.5])
+        for _ in range(5):
+            rows.append((" ".join(words), rnd.randint(0, 1)))
+            words = [word() if rnd.random() < change else w for w in words]
+    kept = []
+    for text, y in rows:
+        words = text.split()
+        mine = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+        if not any(y == z and 5 * len(mine & s) >= 4 * len(mine | s) for _, z, s in kept):
+            kept.append((text, y, mine))
+    assert without_copies(rows) == [k[:2] for k in kept] and len(kept) < len(rows)
+
+
 def test_nearest_are_exact(spark):
     train, test, share = _split(spark, "toxic")
     model = NearestExamples([r for r in train if r[1]][:200] + [r for r in train if not r[1]][:200], share, k=5)
