@@ -8,7 +8,7 @@ from zlib import crc32
 import pytest
 
 from tracewright.llm.quality_classifier import SubwordClassifier, score_quality
-from tracewright.llm.quality_rules import quality_rules, repeated_words, without_rejected
+from tracewright.llm.quality_rules import Limits, quality_rules, references, repeated_words, without_rejected
 from tracewright.llm.toxicity import NearestExamples, score_toxicity, without_copies, without_toxic
 
 SF = "/root/testdata/sf0.1"
@@ -47,6 +47,22 @@ def test_quality_verdict_keeps_clean_documents(spark):
     assert d[d.quality == 0].kept.mean() < 0.2
 
 
+def test_languages_beyond_the_model_have_their_own_reference(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg({"text": "count"}).toDF("lang", "n").collect()}
+    few = Limits(most_languages=len(sizes) - 1)
+    verdicts = lambda limits: {r["doc_id"]: r for r in quality_rules(docs, limits).collect()}
+    want, got = verdicts(Limits()), verdicts(few)
+    assert len(want) == len(got) == docs.count()
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    (left_out,) = set(sizes) - set(references(docs, few).langs)
+    mine = [d for d in want if lang[d] == left_out]
+    bad = [(want[d], got[d]) for d in mine if want[d].kept != got[d].kept or want[d].word_divergence != pytest.approx(got[d].word_divergence)]
+    assert mine and not bad
+    kept = without_rejected(docs, few)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {d for d in got if got[d].kept}
+
+
 def _split(spark, label):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = docs.join(labels, "doc_id").orderBy("doc_id").select("doc_id", "text", label).collect()

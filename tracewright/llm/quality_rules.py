@@ -6,7 +6,8 @@ reference; above a limit on either one the document is not kept.  Documents belo
 a histogram and are judged by the counts alone.
 
 The references are one row a language, built by partial sums in each task; they travel to the second pass as a
-small model (at most `most_languages` rows, the largest languages; documents of others are compared with those).
+small model (at most `most_languages` rows, the largest languages).  Documents of any other language are compared with those
+and with the reference of their own language, which a shuffle join by language brings to them.
 
 Null text: no words.  Null lang: a language of its own.  Repeated rows: one result each.  Other columns are ignored.
 """
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -97,6 +99,8 @@ class References:
     words: list[bytes]  # the common words of all languages
     classes: np.ndarray  # by language
     shares: np.ndarray  # by language, over `words` and all others
+    langs: tuple[str, ...] = ()
+    rest: DataFrame | None = None  # lang and the reference of every language beyond `most_languages`, if there are any
 
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> References:
@@ -124,7 +128,8 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
     part = pick.mapInArrow(run, "lang string, word binary, n long, classes array<long>")
     # word null is the language itself, with all its words and its classes
     sums = stored(part.groupBy("lang", "word").agg(F.sum("n").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(N_CLASSES)]))
-    langs = sums.where("word IS NULL").orderBy(F.desc("n"), "lang").limit(limits.most_languages).collect()
+    langs = sums.where("word IS NULL").orderBy(F.desc("n"), "lang").limit(limits.most_languages + 1).collect()
+    more, langs = len(langs) > limits.most_languages, langs[: limits.most_languages]
     least = {r["lang"]: max(1, r["n"] * limits.common_share) for r in langs}
     rows = []
     if langs:
@@ -139,13 +144,37 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
         shares[index[r["lang"]], at[bytes(r["word"])]] = r["n"]
     for i, r in enumerate(langs):
         shares[i, -1] = r["n"] - shares[i, :-1].sum()
-    return References(words, classes / np.maximum(classes.sum(1, keepdims=True), 1), shares / np.maximum(shares.sum(1, keepdims=True), 1))
+    rest = _rest(sums, list(index), limits) if more else None
+    return References(words, classes / np.maximum(classes.sum(1, keepdims=True), 1), shares / np.maximum(shares.sum(1, keepdims=True), 1), tuple(index), rest)
+
+
+def _rest(sums: DataFrame, langs: list[str], limits: Limits) -> DataFrame:
+    """lang, reference (n, classes, its at most 333 common words) of the languages not in langs."""
+    other = sums.where(~F.col("lang").isin(langs))
+    whole = other.where("word IS NULL").select("lang", F.col("n").alias("total"), F.array(*[f"c{k}" for k in range(N_CLASSES)]).alias("classes"))
+    common = other.where("word IS NOT NULL").join(whole.select("lang", "total"), "lang").where(F.col("n") >= F.greatest(F.lit(1.0), F.col("total") * limits.common_share))
+    words = common.groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    return whole.join(words, "lang", "left").select("lang", F.struct(F.col("total").alias("n"), "classes", "words").alias("reference"))
+
+
+def _with_own(docs: DataFrame, ref: References) -> DataFrame:
+    """docs; with languages beyond the model's, one column more at the end: the reference of such a document's language."""
+    if ref.rest is None:
+        return docs
+    name = "_reference"
+    while name in docs.columns:
+        name += "_"
+    key = F.coalesce(docs["lang"].cast("string"), F.lit(""))
+    rest = ref.rest.select(F.col("lang").alias(name + "lang"), F.col("reference").alias(name))
+    first = key.isin(list(ref.langs))
+    far = docs.where(~first).join(rest, key == rest[name + "lang"], "left").select(*[docs[c] for c in docs.columns], rest[name])
+    return docs.where(first).withColumn(name, F.lit(None).cast(rest.schema[name].dataType)).union(far)
 
 
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_divergence double, word_divergence double"
 
 
-def judge(text: str, ref: References, limits: Limits) -> tuple:
+def judge(text: str, ref: References, limits: Limits, mine: dict | None = None) -> tuple:
     data = text.encode()
     words = data.split()  # the six ASCII white-space bytes
     n = len(words)
@@ -162,13 +191,31 @@ def judge(text: str, ref: References, limits: Limits) -> tuple:
         own = np.array([counts[w] for w in ref.words] + [0], float)
         own[-1] = n - own.sum()
         by_word = float(divergence(own / n, ref.shares).min())
+        if mine:
+            c = np.array(mine["classes"], float)
+            by_class = min(by_class, float(divergence(classes / classes.sum(), c / max(c.sum(), 1))))
+            share = {bytes(r["word"]): r["n"] for r in mine["words"] or ()}
+            new = sorted(share.keys() - set(ref.words))  # no reference of the model has a share of these
+            own = np.array([counts[w] for w in (*ref.words, *new)] + [0], float)
+            own[-1] = n - own.sum()
+            theirs = np.array([share.get(w, 0) for w in (*ref.words, *new)] + [0], float)
+            theirs[-1] = mine["n"] - theirs.sum()
+            known = np.insert(ref.shares, [len(ref.words)] * len(new), 0, axis=1)
+            by_word = float(divergence(own / n, np.vstack([known, theirs / max(mine["n"], 1)])).min())
         kept = kept and by_class <= limits.most_class_divergence and by_word <= limits.most_word_divergence
     return n, chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat, failed, kept, by_class, by_word
 
 
+def _own(batch, at: int) -> list | repeat:
+    """The column that _with_own may have put at this place."""
+    return batch.column(at).to_pylist() if batch.num_columns > at else repeat(None)
+
+
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), ref: References | None = None) -> DataFrame:
     """Per document the counts, base_failed, kept and the two divergences."""
     ref = ref or references(docs, limits)
+    width = len(docs.columns)
+    docs, ref = _with_own(docs, ref), replace(ref, rest=None)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -176,22 +223,24 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), ref: References |
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for batch in batches:
-            cols = list(zip(*(judge(t, ref, limits) for t in batch.column(1).to_pylist()), strict=True)) or [[]] * len(types)
+            cols = list(zip(*(judge(t, ref, limits, own) for t, own in zip(batch.column(1).to_pylist(), _own(batch, 2))), strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *docs.columns[width:])
     return pick.mapInArrow(run, COLUMNS)
 
 
 def without_rejected(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that are kept, all columns as they are."""
     ref = references(docs, limits)
-    at = docs.columns.index("text")
+    at, width, schema = docs.columns.index("text"), len(docs.columns), docs.schema
+    docs, ref = _with_own(docs, ref), replace(ref, rest=None)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array([judge(t or "", ref, limits)[6] for t in batch.column(at).to_pylist()], pa.bool_()))
+            kept = [judge(t or "", ref, limits, own)[6] for t, own in zip(batch.column(at).to_pylist(), _own(batch, width))]
+            yield batch.select(list(range(width))).filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
