@@ -7,7 +7,7 @@ from zlib import crc32
 
 import pytest
 
-from tracewright.llm.quality_classifier import SubwordClassifier, score_quality
+from tracewright.llm.quality_classifier import SubwordClassifier, features, score_quality, words_of
 from tracewright.llm.quality_rules import Limits, quality_rules, references, repeated_words, without_rejected
 from tracewright.llm.toxicity import NearestExamples, score_toxicity, without_copies, without_toxic
 
@@ -116,6 +116,19 @@ def test_only_near_copies_of_kept_examples_go():
     assert without_copies(rows) == [k[:2] for k in kept] and len(kept) < len(rows)
 
 
+def test_long_words_count_whole():
+    rnd = random.Random(6)
+    for n in (1, 39, 40, 41, 77, 78, 79, 500):
+        word = "".join(rnd.choices("abcdefg", k=n))
+        edged = f"<{word}>".encode()
+        want = {crc32(edged[i : i + k]) % (1 << 30) for k in (2, 3, 4) for i in range(len(edged) - k + 1)}
+        assert want <= {f for w in words_of(word) for f in features(w, 1 << 30)}
+    text = lambda signs: "段" * 20 + "".join(rnd.choices(signs, k=200))  # noqa: E731  (no white space)
+    rows = [(text("好文章清楚"), 1) for _ in range(40)] + [(text("垃圾廣告買"), 0) for _ in range(40)]
+    model = SubwordClassifier(rows, 0.5)
+    assert all((model.score(text(signs)) > 0.5) == y for signs, y in (("好文章清楚", True), ("垃圾廣告買", False)) for _ in range(10))
+
+
 def test_nearest_are_exact(spark):
     train, test, share = _split(spark, "toxic")
     model = NearestExamples([r for r in train if r[1]][:200] + [r for r in train if not r[1]][:200], share, k=5)

@@ -2,7 +2,8 @@
 
 Features of a word are itself, its shape and its character n-grams (2 to 4, with edges), hashed to buckets; a word's vector
 is the mean of theirs, a document's the mean of its words'.  The output layer being linear, a document's logit is the
-mean of one number per word, which is what scoring sums up.  Words are those between ASCII white space.  Two words of its
+mean of one number per word, which is what scoring sums up.  Words are those between ASCII white space; one of more than 40
+bytes, as a whole text in Chinese may be, is cut into pieces that overlap by 3 bytes, and each piece counts as a word.  Two words of its
 own tell a document's length and how often its words recur.
 
 Bounds (parameters): examples per class, buckets, dimensions, epochs.  Trained by a fixed seed on a hash-picked sample,
@@ -23,6 +24,25 @@ from pyspark.sql import functions as F
 from .labelled import examples, held_out
 
 
+LONG = 40  # bytes of a word taken as one
+SHAPE = bytes(0x41 if 65 <= c < 91 else 0x61 if 97 <= c < 123 or c > 127 else 0x30 if 48 <= c < 58 else c for c in range(256))
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words; a piece of a long one begins with a space and has an edge only where the word has."""
+    words = text.encode().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONG:
+            out.append(w)
+        else:
+            edged = b"<" + w + b">"  # all n-grams up to 4 are within a piece
+            out += [b" " + edged[i : i + LONG] for i in range(0, len(edged) - 3, LONG - 3)]
+    return out
+
+
 def own_words(words: list[bytes]) -> list[bytes]:
     """Words that no text holds, for length and recurrence."""
     n = len(words)
@@ -34,8 +54,8 @@ def own_words(words: list[bytes]) -> list[bytes]:
 def features(word: bytes, buckets: int) -> list[int]:
     if word[:1] == b"\x00":
         return [crc32(word) % buckets]
-    shape = bytes(0x41 if 65 <= c < 91 else 0x61 if 97 <= c < 123 or c > 127 else 0x30 if 48 <= c < 58 else c for c in word[:12])
-    edged = b"<" + word[:40] + b">"
+    edged = word[1:] if word[:1] == b" " else b"<" + word + b">"
+    shape = word.translate(SHAPE)
     grams = {edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)}
     return [crc32(b"w" + word) % buckets, crc32(b"s" + shape) % buckets, *(crc32(g) % buckets for g in grams)]
 
@@ -56,7 +76,7 @@ class SubwordClassifier:
         known: dict[bytes, np.ndarray] = {}
         bags = []
         for text, _ in rows:
-            words = text.encode().split()
+            words = words_of(text)
             ids, weights = [], []
             for group, total in ((words, 1 - own_weight), (own_words(words), own_weight)):
                 for w in group:
@@ -95,14 +115,16 @@ class SubwordClassifier:
     def score(self, text: str) -> float:
         if not self.trained:
             return self.share
-        words, known = text.encode().split(), self.known
+        words, known = words_of(text), self.known
         if len(known) > 400_000:
             known.clear()
         total = 0.0
         for w in words:
             x = known.get(w)
             if x is None:
-                x = known[w] = self._word(w)
+                x = self._word(w)
+                if w[0] != 32:  # pieces seldom come back
+                    known[w] = x
             total += x
         own = own_words(words)
         z = self.bias + self.own_weight * sum(map(self._word, own)) / len(own)
