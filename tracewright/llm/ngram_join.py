@@ -1,17 +1,24 @@
 """N-gram Jaccard join: documents linked by the overlap of their word shingles, and the components of the links.
 
-T-occurrence search.  All sets agree on one order of shingles, those found often in some task's share of the corpus last.  Two
-sets that reach the threshold share at least T shingles among the first n - ceil(t n) + T of each, T being a twentieth of the
-smaller set, and as many more as their sizes demand.  One shuffle on the shingle gives these lists, and lists of one set alone go at once.  DivideSkip: a set leaves
-out up to T - 1 of its longest lists (L of them) when lists are merged; partners met often enough in the merged ones, L left out,
-are then probed, by binary search, in all of them, before whole sets are compared.  Equal sets are one vertex from the start.
-
-Only the components matter, so links inside a component already known are not sought: first every set is compared with
-one partner, the first of its lists that it meets most often, which joins up the large groups; then all partners that are
-still in different components.  Nothing is capped: a pair of different components that meets often enough is always compared.
+All sets agree on one order of shingles, the frequent ones last; how frequent a shingle is, a table of counts over all
+documents tells, of fixed size, where some shingles share a cell.  Two sets that reach the threshold share at least T
+shingles among the first n - ceil(t n) + T of each, T being a fiftieth of the smaller set.  One shuffle on the shingle gives
+these lists; lists of one set alone go at once, and so do sets in fewer than T lists.  Equal sets are one vertex from the start.
+
+Only the components matter.  First every set is compared with one partner, the first of its lists that it meets most often,
+which joins up large groups.  Lists that still hold several components are searched through differences: a list has a hub, the
+member that most sets had for partner; each member is told by its difference from the hub.  Two members linked to their hub
+are in one component already.  Any other two have as much apart as their differences have, so a link takes a known overlap of
+the differences, and these differ even in a group of thousands of near copies, whose sets do not.
+
+T-occurrence search over the inverted lists of differences (hub, shingle): as above, two differences that make a link share at
+least T shingles among the first ones of each.  DivideSkip: up to T - 1 of a difference's longest lists (over LONG entries) are
+left out when lists are merged and counted; partners met often enough in the merged ones are then decided by binary probes of
+one difference in the other.  Nothing is capped: a pair of different components that meets often enough is always compared.
 
 Sets are compared as 64-bit hashes of their shingles.  Texts without words have empty sets and link with nothing.  Rows of equal
-text, also of one doc_id, are one vertex; a component is named by its smallest doc_id (null if all are).
+text, also of one doc_id, are one vertex, and so are rows without doc_id, which link and bridge like any others; a component is
+named by its smallest doc_id (null if all are).
 """
 
 from __future__ import annotations
@@ -27,7 +34,10 @@ from .common import stored, texts
 
 BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 LONG = 32  # entries of a list that DivideSkip may leave out
-HOT_MOST = 1 << 20  # shingles that may be held as hot ones
+CELL_BITS = 23  # of the table of counts: that many cells, by the highest bits of a shingle's hash
+CHUNK = 1 << 17  # cells of the table in a row
+HOT_LIST = 1_000_000  # a shingle that may be in more texts is not gathered in one task
+SEEN_MOST = 50_000  # vertices a task remembers, to write copies once
 BITS = 1 << 24  # of the filter that tells which texts are read again
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -91,11 +101,12 @@ def _least_shared(n: int, percent: int) -> int:
 
 def _occurrences(n: int) -> int:
     """T: how many shingles of their prefixes two sets share, the smaller one having n."""
-    return max(1, n // 20)
+    return max(1, n // 50)
 
 
-def shared_enough(shared: int, a: int, b: int, percent: int) -> bool:
-    return 100 * shared >= percent * (a + b - shared)
+def _most_apart(n: int, percent: int) -> int:
+    """The largest symmetric difference of linked sets that have n shingles together."""
+    return n * (100 - percent) // (100 + percent)
 
 
 def _vertex(h: np.ndarray) -> int:
@@ -106,166 +117,186 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def _read(docs: DataFrame, size: int) -> DataFrame:
-    """Vertices, set sizes, and the shingles that some task met twice or more."""
+    """doc_id, set size, vertex and text_key of every row; and each task's table of counts, in chunks, up to 255 a cell."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        held: list[np.ndarray] = []
-        amount = 0
-        hot: dict[int, int] = {}
-        seen: set[int] = set()
-
-        def count():
-            nonlocal held, amount
-            if held:
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                for x, n in zip(h[c >= 2].tolist(), c[c >= 2].tolist(), strict=True):
-                    hot[x] = hot.get(x, 0) + n
-            held, amount = [], 0
-
+        names = ["doc_id", "n", "v", "text_key", "chunk", "part", "counts"]
+        counts = np.zeros(1 << CELL_BITS, np.uint8)
         for batch in batches:
-            rows = []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingle_set(text, size)
-                v = _vertex(h) if len(h) else None
-                rows.append((d, len(h), v))
-                if v is not None and v not in seen:  # copies do not make a shingle frequent
-                    if len(seen) < 1_000_000:
-                        seen.add(v)
-                    held.append(h)
-                    amount += len(h)
-                    if amount > 8_000_000:
-                        count()
-            n = len(rows)
+            rows, column = [], batch.column(1)
+            for i, d in enumerate(batch.column(0).to_pylist()):
+                h = shingle_set(column[i].as_py(), size)
+                rows.append((d, len(h), _vertex(h) if len(h) else None))
+                cells, more = np.unique(_cells(h), return_counts=True)
+                counts[cells] = np.minimum(counts[cells] + more, 255)
             cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [batch.column(2)] + [pa.nulls(n, pa.int64())] * 2, ["doc_id", "n", "v", "text_key", "shingle", "times"])
-        count()
-        if hot:
-            h = _signed(np.array(list(hot), np.uint64))
-            none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(h), pa.array(list(hot.values()), pa.int64())], ["doc_id", "n", "v", "text_key", "shingle", "times"])
+            none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols] + [batch.column(2)] + none, names)
+        part = TaskContext.get().partitionId() // 512
+        chunks = counts.reshape(-1, CHUNK)
+        for k in np.flatnonzero(chunks.any(1)).tolist():
+            none = [pa.nulls(1, pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays(none + [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([chunks[k].tobytes()], pa.binary())], names)
 
     keyed = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    return stored(keyed.mapInArrow(run, "doc_id long, n long, v long, text_key long, shingle long, times long"))
+    return stored(keyed.mapInArrow(run, "doc_id long, n long, v long, text_key long, chunk int, part int, counts binary"))
+
+
+def _levels(read: DataFrame) -> np.ndarray:
+    """The table of counts over all documents, each cell as a level: 4 log2(1 + count).  Its size is fixed."""
 
+    def added(dtype, last: bool):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
 
-def _hot(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hot shingles and how often they were met: at most HOT_MOST, whatever the corpus."""
-    times = stored(read.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("times").alias("times")).where("times >= 4"))
-    # the bound falls on a power of two, so that a count by powers finds it
-    powers = {r["p"]: r["n"] for r in times.groupBy(F.floor(F.log2("times")).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
-    least, held = 62, 0
-    for p in sorted(powers, reverse=True):
-        held += powers[p]
-        if held > HOT_MOST:
-            break
-        least = p
-    rows = times.where(F.col("times") >= 2**least).toPandas()
-    rows = rows.assign(h=rows["shingle"].to_numpy(np.int64).view(np.uint64)).sort_values("h")
-    return rows["h"].to_numpy(np.uint64), rows["times"].to_numpy(np.int64)
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for chunk, part, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    key = (chunk, 0 if last else part)
+                    if key not in held:
+                        held[key] = np.zeros(CHUNK, np.uint32)
+                    held[key] += np.frombuffer(data, dtype)
+            for (chunk, part), x in held.items():
+                if last:
+                    x = np.round(4 * np.log2(1.0 + x)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "part", "counts"])
 
+        return run
 
-def in_order(h: np.ndarray, hot: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """A set in the common order: the rare ones by hash, then the hot ones, the hottest last."""
-    if not len(hot):
-        return h
-    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-    weight = np.where(hot[at] == h, times[at], 0)
-    return h if not weight.any() else h[np.argsort(weight, kind="stable")]
+    schema = "chunk int, part int, counts binary"
+    tables = read.where("chunk IS NOT NULL").select("chunk", "part", "counts")
+    tables = tables.repartition("chunk", "part").mapInArrow(added(np.uint8, False), schema)  # 512 tasks' tables at most
+    rows = tables.repartition("chunk").mapInArrow(added(np.uint32, True), schema).collect()
+    levels = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.uint8).reshape(-1, CHUNK)
+    for r in rows:
+        levels[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
+    return levels.reshape(-1)
 
 
-def _lists(docs: DataFrame, size: int, percent: int, hot) -> DataFrame:
-    """(shingle, v, n) of every prefix, once for each vertex and task."""
+def in_order(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Sorted hashes in the common order: by level, then by hash."""
+    return h[np.argsort(levels[_cells(h)], kind="stable")]
+
+
+def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
+    """(shingle, v, n, salt) of every prefix, once for each vertex that a task remembers.  Hot shingles are salted by vertex."""
+    hot = int(4 * np.log2(1.0 + HOT_LIST))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        order, times = hot.value
+        levels = table.value
         seen: set[int] = set()
+        names = ["shingle", "v", "n", "salt"]
+
+        def made(held):
+            tokens = np.concatenate([t for t, _, _ in held])
+            vs, ns = (np.repeat(np.array(x), [len(t) for t, _, _ in held]) for x in ([v for _, v, _ in held], [n for _, _, n in held]))
+            salt = np.where(levels[_cells(tokens)] >= hot, vs & 63, 0)
+            return pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(vs), pa.array(ns.astype(np.int32)), pa.array(salt.astype(np.int32))], names)
+
         for batch in batches:
-            tokens, vs, ns = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_set(text, size)
+            held, amount = [], 0
+            for i in range(batch.num_rows):
+                h = shingle_set(batch.column(1)[i].as_py(), size)
                 if not len(h) or (v := _vertex(h)) in seen:
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(v)
-                p = len(h) - _least_shared(len(h), percent) + _occurrences(len(h))
-                tokens.append(in_order(h, order, times)[:p])
-                vs.append(np.full(p, v, np.int64))
-                ns.append(np.full(p, len(h), np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ns))], ["shingle", "v", "n"])
+                if len(seen) >= SEEN_MOST:
+                    seen.clear()
+                seen.add(v)
+                held.append((in_order(h, levels)[: len(h) - _least_shared(len(h), percent) + _occurrences(len(h))], v, len(h)))
+                amount += len(held[-1][0])
+                if amount > 100_000:
+                    yield made(held)
+                    held, amount = [], 0
+            if held:
+                yield made(held)
 
-    return texts(docs).mapInArrow(run, "shingle long, v long, n int")
+    return texts(docs).mapInArrow(run, "shingle long, v long, n int, salt int")
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(v, h) of the wanted doc_ids.  A filter of fixed size spares hashing most other texts; the join decides."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    words = wanted.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toPandas()
+    """(v, h) of the wanted (text_key, v).  A filter of fixed size spares hashing most other texts; the join decides."""
+    words = wanted.select(F.pmod("text_key", F.lit(BITS)).alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(bits)
+    table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            take = np.flatnonzero((table.value[at // 64] >> (at % 64)) & 1).tolist()
-            if take:
-                ids, every = batch.column(0).to_pylist(), batch.column(1)
-                sets = [shingle_set(every[i].as_py(), size) for i in take]
-                full = [k for k, h in enumerate(sets) if len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[take[k]] for k in full], pa.int64()), pa.array([_vertex(sets[k]) for k in full], pa.int64()), pa.array([sets[k].tobytes() for k in full], pa.binary())], ["doc_id", "v", "h"])
+            keys = batch.column(1).to_numpy()
+            at = keys % BITS
+            for i in np.flatnonzero((table.value[at // 64] >> (at % 64)) & 1).tolist():
+                h = shingle_set(batch.column(0)[i].as_py(), size)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]], pa.int64()), pa.array([_vertex(h)], pa.int64()), pa.array([h.tobytes()], pa.binary())], ["text_key", "v", "h"])
+
+    got = texts(docs).select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "text_key long, v long, h binary")
+    return got.join(wanted, ["text_key", "v"], "left_semi").dropDuplicates(["v"]).select("v", "h")
+
 
-    got = texts(docs).where("doc_id IS NOT NULL").withColumn("spot", spot).mapInArrow(run, "doc_id long, v long, h binary")
-    return got.join(wanted, ["doc_id", "v"], "left_semi").dropDuplicates(["v"]).select("v", "h")
+def _apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the symmetric difference, the smaller one probed in the larger by binary search."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return len(b)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return len(a) + len(b) - 2 * int((b[at] == a).sum())
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int, hot) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
+def _linked(pairs: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs(a, b, na, nb, ha, hb): sets, or differences from one hub, that are not too far apart."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        order, times = hot.value
-        kept: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                t = _occurrences(min(len(a), len(b)))
-                heads = []
-                for key, h in ((x, a), (y, b)):
-                    head = kept.get(key)
-                    if head is None:
-                        if len(kept) > 2000:
-                            kept.clear()
-                        head = kept[key] = in_order(h, order, times)
-                    heads.append(np.sort(head[: len(h) - _least_shared(len(h), percent) + t]))
-                if _common(*heads) >= t and shared_enough(_common(a, b), len(a), len(b), percent):
-                    keep.append(i)
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = [i for i in range(batch.num_rows) if _apart(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))) <= _most_apart(na[i] + nb[i], percent)]
             if keep:
                 yield batch.select([0, 1]).take(pa.array(keep))
 
-    left = pairs.join(sets.select(F.col("v").alias("a"), F.col("h").alias("ha")), "a")
-    both = left.join(sets.select(F.col("v").alias("b"), F.col("h").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection, the smaller one probed in the larger by binary search."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
+def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> DataFrame:
+    """members(v, hub) -> v, hub, n, m (size of the difference), t, linked, head (the first shingles of the difference), d."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        levels = table.value
+        schema = pa.schema([("v", pa.int64()), ("hub", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("t", pa.int64()), ("linked", pa.bool_()), ("head", pa.list_(pa.int64())), ("d", pa.binary())])
+        for batch in batches:
+            vs, hubs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows, held = [], 0
+            for i in range(batch.num_rows):
+                mine, other = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                d = np.setxor1d(mine, other, assume_unique=True)
+                most = len(mine) * (100 - percent) // percent  # apart from any partner
+                t = max(1, (len(d) - most) // 4)
+                rows.append((vs[i], hubs[i], len(mine), len(d), t, len(d) <= _most_apart(len(mine) + len(other), percent), _signed(in_order(d, levels)[: most + t]), d.tobytes()))
+                held += len(d)
+                if held > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    both = members.join(sets, "v").join(sets.select(F.col("v").alias("hub"), F.col("h").alias("hh")), "hub").select("v", "hub", "h", "hh")
+    return both.mapInArrow(run, "v long, hub long, n long, m long, t long, linked boolean, head array<long>, d binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -286,58 +317,73 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _through_hubs(shared: DataFrame, known: DataFrame, partner: DataFrame, sets: DataFrame, percent: int, table) -> DataFrame:
+    """Links (a, b) between different components of known(v, c) among the members of the lists shared(shingle, v, n)."""
+    placed = shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    votes = partner.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("votes"))
+    placed = stored(placed.join(votes, "v", "left").withColumn("votes", F.coalesce("votes", F.lit(0))))
+    lists = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max(F.struct("votes", "v"))["v"].alias("hub")).where("x <> y")
+    members = placed.join(lists.select("shingle", "hub"), "shingle").where("v <> hub").select("v", "hub").distinct()
+    diffs = stored(_differences(members, sets, percent, table))
+    to_hub = diffs.where("linked").select(F.col("v").alias("a"), F.col("hub").alias("b"))
+
+    # inverted lists of the differences' heads
+    heads = diffs.join(known, "v", "left").select("v", "hub", "n", "m", "t", "linked", F.coalesce("c", "v").alias("c"), F.posexplode("head").alias("at", "shingle"))
+    sizes = heads.groupBy("hub", "shingle").agg(F.count("*").alias("df")).where("df > 1")
+    lists = stored(heads.join(sizes, ["hub", "shingle"]))
+    long_first = Window.partitionBy("hub", "v").orderBy(F.desc("df"), "shingle")
+    probes = lists.withColumn("skipped", (F.col("df") > LONG) & (F.row_number().over(long_first) < F.col("t")))
+    probes = probes.withColumn("need", F.col("t") - F.count_if("skipped").over(Window.partitionBy("hub", "v"))).where("NOT skipped")
+    p, q = probes.alias("p"), lists.alias("q")
+    n, m = F.col("p.n") + F.col("q.n"), F.col("p.m") + F.col("q.m")
+    # what both differences hold, at least, if this is a link
+    overlap = F.ceil((m - F.floor(n * (100 - percent) / (100 + percent))) / 2)
+    reached = lambda x: F.col(f"{x}.at") < F.col(f"{x}.m") - overlap + F.col("p.t")
+    order = (F.col("p.t") < F.col("q.t")) | ((F.col("p.t") == F.col("q.t")) & (F.col("p.v") < F.col("q.v")))
+    apart = (F.col("p.c") != F.col("q.c")) & ~(F.col("p.linked") & F.col("q.linked"))
+    met = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.shingle") == F.col("q.shingle"))).where(apart & order & _fits(F.col("p.n"), F.col("q.n"), percent) & reached("p") & reached("q"))
+    pairs = met.groupBy(F.col("p.hub").alias("hub"), F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max("p.need").alias("need")).where("times >= need")
+    side = lambda x: diffs.select(F.col("v").alias(x), "hub", F.col("n").alias("n" + x), F.col("d").alias("h" + x))
+    return to_hub.unionByName(_linked(pairs.select("hub", "a", "b").join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
+
+
 def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, and text_key (xxhash64 of the text), which tells rows of one doc_id apart."""
+    """doc_id, n_shingles, component_id; text_key (xxhash64 of the text), which tells rows of one doc_id apart; and group_id, one number a component, null for empty sets."""
     spark = docs.sparkSession
     read = _read(docs, size)
-    hot = spark.sparkContext.broadcast(_hot(read))
-    rows = read.where(F.col("shingle").isNull()).select("doc_id", "n", "v", "text_key")
-    named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.max("n").alias("n"))
-
-    by_shingle = Window.partitionBy("shingle")
-    lists = _lists(docs, size, percent, hot).withColumns({"x": F.min("v").over(by_shingle), "y": F.max("v").over(by_shingle)}).where("x <> y")
-    lists = lists.select("shingle", "v", "n").dropDuplicates(["shingle", "v"]).withColumn("df", F.count("*").over(by_shingle))
-    shared = stored(lists)
+    table = spark.sparkContext.broadcast(_levels(read))
+    rows = read.where(F.col("chunk").isNull()).select("doc_id", "n", "v", "text_key")
+    named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.min("text_key").alias("text_key"))
+
+    by_shingle = Window.partitionBy("shingle", "salt")  # hot ones are taken as shared
+    lists = _lists(docs, size, percent, table).withColumns({"x": F.min("v").over(by_shingle), "y": F.max("v").over(by_shingle)})
+    shared = stored(lists.where("x <> y OR salt > 0").dropDuplicates(["shingle", "salt", "v"]).select("shingle", "v", "n"))
     # a set that shares fewer than T of its shingles with any other has no link
-    t = F.greatest(F.floor(F.col("n") / 20), F.lit(1))
-    able = shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n"), F.count_if(F.col("df") > LONG).alias("long"))
-    able = stored(able.where(F.col("lists") >= t))
-    able = able.select("v", t.alias("t"), F.least(F.col("long"), t - 1).alias("skips"))
+    able = shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n")).where(F.col("lists") >= F.greatest(F.floor(F.col("n") / 50), F.lit(1))).select("v")
     shared = stored(shared.join(able, "v"))
-    wanted = named.join(able.select("v"), "v").where("name IS NOT NULL").select(F.col("name").alias("doc_id"), "v")
-    sets = stored(_sets(docs, size, stored(wanted)))
+    sets = stored(_sets(docs, size, stored(named.join(shared.select("v").distinct(), "v").select("text_key", "v"))))
 
     # one partner each: of its lists' first members the one met most often
-    first = shared.groupBy("shingle").agg(F.min(F.struct("n", "v", "t")).alias("hub"))
+    first = shared.groupBy("shingle").agg(F.min(F.struct("v", "n")).alias("hub"))
     met = shared.join(first, "shingle").where(_fits(F.col("n"), F.col("hub.n"), percent) & (F.col("v") != F.col("hub.v")))
-    met = met.groupBy("v", F.col("hub.v").alias("hub")).agg(F.count("*").alias("times"), F.max("t").alias("t"), F.max("hub.t").alias("ht"))
-    partner = met.groupBy("v").agg(F.max_by("hub", F.struct("times", "hub")).alias("b")).select(F.col("v").alias("a"), "b")
-    links = stored(_compare(partner, sets, percent, hot))
-    known = components(links)
-
-    # every other partner met often enough, unless one component holds both
-    longest = Window.partitionBy("v").orderBy(F.desc("df"), "shingle")
-    placed = shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    mixed = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle")
-    placed = placed.withColumn("merged", F.row_number().over(longest) > F.col("skips"))
-    placed = stored(placed.join(mixed, "shingle", "left_semi"))
-    p, q = placed.where("merged").alias("p"), placed.alias("q")
-    earlier = (F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.v") < F.col("q.v")))
-    rest = p.join(q, F.col("p.shingle") == F.col("q.shingle")).where((F.col("p.c") != F.col("q.c")) & earlier & _fits(F.col("p.n"), F.col("q.n"), percent))
-    # what both hold in all, less what can lie beyond the prefix that ends first in the common order, is met in the prefixes
-    prefix = lambda n, t: n - F.ceil(n * percent / 100) + t
-    overlap = F.ceil((F.col("p.n") + F.col("q.n")) * percent / (100 + percent))
-    beyond = F.greatest(F.col("p.n") - prefix(F.col("p.n"), F.col("p.t")), F.col("q.n") - prefix(F.col("q.n"), F.col("q.t")))
-    need = F.greatest(overlap - beyond - F.col("p.skips"), F.col("p.t") - F.col("p.skips"))
-    pairs = rest.groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max(need).alias("need")).where("times >= need").select("a", "b")
-    links = links.unionByName(stored(_compare(pairs.join(partner, ["a", "b"], "left_anti"), sets, percent, hot)))
-    groups = components(links)
-
-    named = named.join(groups, "v", "left").select("v", "name", F.coalesce("c", "v").alias("c"))
+    met = met.groupBy("v", F.col("hub.v").alias("hub")).agg(F.count("*").alias("times"), F.max("n").alias("n"), F.max("hub.n").alias("hub_n"))
+    partner = stored(met.groupBy("v").agg(F.max(F.struct("times", "hub", "n", "hub_n")).alias("k")).select(F.col("v").alias("a"), F.col("k.hub").alias("b"), F.col("k.n").alias("na"), F.col("k.hub_n").alias("nb")))
+    side = lambda x: sets.select(F.col("v").alias(x), F.col("h").alias("h" + x))
+    known = stored(components(_linked(partner.join(side("a"), "a").join(side("b"), "b"), percent)))
+
+    # all other links, as links between components
+    more = _through_hubs(shared, known, partner, sets, percent, table)
+    for x in ("a", "b"):
+        more = more.join(known.select(F.col("v").alias(x), F.col("c").alias("c" + x)), x, "left")
+    joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select("v", F.col("c").alias("whole"))
+
+    named = named.join(known, "v", "left").select("v", "name", F.coalesce("c", "v").alias("c"))
+    named = named.join(joined.withColumnRenamed("v", "c"), "c", "left").select("v", "name", F.coalesce("whole", "c").alias("c"))
     least = named.groupBy("c").agg(F.min("name").alias("component_id"))
-    found = named.join(least, "c").select("v", "component_id")
-    full = rows.where("v IS NOT NULL").join(found, "v").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
-    return full.unionByName(rows.where("v IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key"))
+    found = named.join(least, "c").select("v", "component_id", F.col("c").alias("group_id"))
+    full = rows.where("v IS NOT NULL").join(found, "v").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "group_id")
+    none = F.lit(None).cast("long").alias("group_id")
+    return full.unionByName(rows.where("v IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", none))
 
 
 def _fits(a: Column, b: Column, percent: int) -> Column:
@@ -346,16 +392,18 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id.
+    """docs with one document of each component, that of the smallest doc_id; rows without doc_id come last.
 
-    Documents without shingles, and rows without doc_id, are in no group and stay.  Equal rows count once.
+    Documents without shingles are in no group and stay.  Equal rows (same doc_id and text) count once, but those of empty
+    sets without doc_id all stay.
     """
     found = similarity_components(docs, size, percent)
-    grouped = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    first = found.where(grouped).groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.*")
-    kept = first.unionByName(found.where(~grouped).select("doc_id", "text_key").distinct())
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    row = row.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
-    alone, rest = row.where("id IS NULL"), row.where("id IS NOT NULL").dropDuplicates(["id", "key"])
-    return rest.unionByName(alone).select("row.*")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    keys = found.select("doc_id", "text_key", "group_id").groupBy("group_id", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    first = keys.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct(row.alias("row"), "copies")).alias("k")).select("k.row.doc_id", "k.row.text_key", "k.copies")
+    alone = keys.where("group_id IS NULL").select("doc_id", "text_key", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("copies")).alias("copies"))
+    kept = stored(first.unionByName(alone)).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    repeated = rows.where("copies > 1").dropDuplicates(["id", "key"])  # few, so few texts are shuffled twice
+    return rows.where("copies = 1").unionByName(repeated).select("row.*")
