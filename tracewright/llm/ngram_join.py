@@ -6,9 +6,9 @@ shingles among the first n - ceil(t n) + T of each, T being a fiftieth of the sm
 these lists; lists of one set alone go at once, and so do sets in fewer than T lists.  Equal sets are one vertex from the start.
 
 Only the components matter.  First every set is compared with one partner, the first of its lists that it meets most often,
-which joins up large groups.  Lists that still hold several components are searched through differences: a list has a hub, the
-member that most sets had for partner; each member is told by its difference from the hub.  Two members linked to their hub
-are in one component already.  Any other two have as much apart as their differences have, so a link takes a known overlap of
+which joins up large groups.  A list's first member, its hub, is the one at the centre: it has most shingles that are about as frequent
+as the list's, and fewest others.  Lists that still hold several components are searched through differences: each member is
+told by its difference from the hub.  Two members linked to their hub are in one component already.  Any other two have as much apart as their differences have, so a link takes a known overlap of
 the differences, and these differ even in a group of thousands of near copies, whose sets do not.
 
 T-occurrence search over the inverted lists of differences (hub, shingle): as above, two differences that make a link share at
@@ -181,13 +181,21 @@ def _levels(read: DataFrame) -> np.ndarray:
     return levels.reshape(-1)
 
 
-def in_order(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Sorted hashes in the common order: by level, then by hash."""
-    return h[np.argsort(levels[_cells(h)], kind="stable")]
+def in_order(d: np.ndarray, hub: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Hashes of a difference in the common order of all that have this hub.
+
+    First what the hub has not, the rarest first; then what it has alone, the most frequent first, as few lack these.
+    """
+    level = levels[_cells(d)]
+    lacked = hub[np.minimum(np.searchsorted(hub, d), len(hub) - 1)] == d
+    return d[np.argsort(np.where(lacked, 255 - level, level), kind="stable")]
 
 
 def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
-    """(shingle, v, n, salt) of every prefix, once for each vertex that a task remembers.  Hot shingles are salted by vertex."""
+    """(shingle, v, n, score, salt) of every prefix, once for each vertex that a task remembers.  Hot shingles are salted by vertex.
+
+    score: how near the set is to the centre of a group, as seen from this shingle: its shingles of half the frequency or more, less the others.
+    """
     hot = int(4 * np.log2(1.0 + HOT_LIST))
 
     def run(batches: Iterator) -> Iterator:
@@ -195,13 +203,14 @@ def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
 
         levels = table.value
         seen: set[int] = set()
-        names = ["shingle", "v", "n", "salt"]
+        names = ["shingle", "v", "n", "score", "salt"]
 
         def made(held):
-            tokens = np.concatenate([t for t, _, _ in held])
-            vs, ns = (np.repeat(np.array(x), [len(t) for t, _, _ in held]) for x in ([v for _, v, _ in held], [n for _, _, n in held]))
-            salt = np.where(levels[_cells(tokens)] >= hot, vs & 63, 0)
-            return pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(vs), pa.array(ns.astype(np.int32)), pa.array(salt.astype(np.int32))], names)
+            tokens, scores, vs, ns = zip(*held, strict=True)
+            times = [len(x) for x in tokens]
+            tokens, vs, ns = np.concatenate(tokens), np.repeat(np.array(vs), times), np.repeat(np.array(ns, np.int32), times)
+            salt = np.where(levels[_cells(tokens)] >= hot, vs & 63, 0).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(tokens), vs, ns, np.concatenate(scores).astype(np.int32), salt)], names)
 
         for batch in batches:
             held, amount = [], 0
@@ -212,7 +221,11 @@ def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
                 if len(seen) >= SEEN_MOST:
                     seen.clear()
                 seen.add(v)
-                held.append((in_order(h, levels)[: len(h) - _least_shared(len(h), percent) + _occurrences(len(h))], v, len(h)))
+                mine = levels[_cells(h)]
+                order = np.argsort(mine, kind="stable")
+                mine, head = mine[order], order[: len(h) - _least_shared(len(h), percent) + _occurrences(len(h))]
+                rarer = np.searchsorted(mine, np.maximum(mine[: len(head)], 4) - 4)
+                held.append((h[head], len(h) - 2 * rarer, v, len(h)))
                 amount += len(held[-1][0])
                 if amount > 100_000:
                     yield made(held)
@@ -220,7 +233,7 @@ def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
             if held:
                 yield made(held)
 
-    return texts(docs).mapInArrow(run, "shingle long, v long, n int, salt int")
+    return texts(docs).mapInArrow(run, "shingle long, v long, n int, score int, salt int")
 
 
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -287,7 +300,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> Da
                 d = np.setxor1d(mine, other, assume_unique=True)
                 most = len(mine) * (100 - percent) // percent  # apart from any partner
                 t = max(1, (len(d) - most) // 4)
-                rows.append((vs[i], hubs[i], len(mine), len(d), t, len(d) <= _most_apart(len(mine) + len(other), percent), _signed(in_order(d, levels)[: most + t]), d.tobytes()))
+                rows.append((vs[i], hubs[i], len(mine), len(d), t, len(d) <= _most_apart(len(mine) + len(other), percent), _signed(in_order(d, other, levels)[: most + t]), d.tobytes()))
                 held += len(d)
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -317,12 +330,10 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _through_hubs(shared: DataFrame, known: DataFrame, partner: DataFrame, sets: DataFrame, percent: int, table) -> DataFrame:
-    """Links (a, b) between different components of known(v, c) among the members of the lists shared(shingle, v, n)."""
-    placed = shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    votes = partner.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("votes"))
-    placed = stored(placed.join(votes, "v", "left").withColumn("votes", F.coalesce("votes", F.lit(0))))
-    lists = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max(F.struct("votes", "v"))["v"].alias("hub")).where("x <> y")
+def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent: int, table) -> DataFrame:
+    """Links (a, b) between different components of known(v, c) among the members of the lists shared(shingle, v, n, score)."""
+    placed = stored(shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v")))
+    lists = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max(F.struct("score", "v"))["v"].alias("hub")).where("x <> y")
     members = placed.join(lists.select("shingle", "hub"), "shingle").where("v <> hub").select("v", "hub").distinct()
     diffs = stored(_differences(members, sets, percent, table))
     to_hub = diffs.where("linked").select(F.col("v").alias("a"), F.col("hub").alias("b"))
@@ -357,14 +368,14 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) ->
 
     by_shingle = Window.partitionBy("shingle", "salt")  # hot ones are taken as shared
     lists = _lists(docs, size, percent, table).withColumns({"x": F.min("v").over(by_shingle), "y": F.max("v").over(by_shingle)})
-    shared = stored(lists.where("x <> y OR salt > 0").dropDuplicates(["shingle", "salt", "v"]).select("shingle", "v", "n"))
+    shared = stored(lists.where("x <> y OR salt > 0").dropDuplicates(["shingle", "salt", "v"]).select("shingle", "v", "n", "score"))
     # a set that shares fewer than T of its shingles with any other has no link
     able = shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n")).where(F.col("lists") >= F.greatest(F.floor(F.col("n") / 50), F.lit(1))).select("v")
     shared = stored(shared.join(able, "v"))
     sets = stored(_sets(docs, size, stored(named.join(shared.select("v").distinct(), "v").select("text_key", "v"))))
 
     # one partner each: of its lists' first members the one met most often
-    first = shared.groupBy("shingle").agg(F.min(F.struct("v", "n")).alias("hub"))
+    first = shared.groupBy("shingle").agg(F.max(F.struct("score", "v", "n")).alias("hub"))
     met = shared.join(first, "shingle").where(_fits(F.col("n"), F.col("hub.n"), percent) & (F.col("v") != F.col("hub.v")))
     met = met.groupBy("v", F.col("hub.v").alias("hub")).agg(F.count("*").alias("times"), F.max("n").alias("n"), F.max("hub.n").alias("hub_n"))
     partner = stored(met.groupBy("v").agg(F.max(F.struct("times", "hub", "n", "hub_n")).alias("k")).select(F.col("v").alias("a"), F.col("k.hub").alias("b"), F.col("k.n").alias("na"), F.col("k.hub_n").alias("nb")))
@@ -372,7 +383,7 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) ->
     known = stored(components(_linked(partner.join(side("a"), "a").join(side("b"), "b"), percent)))
 
     # all other links, as links between components
-    more = _through_hubs(shared, known, partner, sets, percent, table)
+    more = _through_hubs(shared, known, sets, percent, table)
     for x in ("a", "b"):
         more = more.join(known.select(F.col("v").alias(x), F.col("c").alias("c" + x)), x, "left")
     joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select("v", F.col("c").alias("whole"))
