@@ -63,6 +63,18 @@ def test_components(spark, seed, size, percent):
     assert len({c for *_, c in want}) < len(want)
 
 
+def test_rows_without_doc_id_bridge(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[a : a + 200]) for a in (0, 16, 32)]  # neighbours share 182 of 214 shingles, the outer ones 166 of 230
+    rows = [(1, texts[0]), (None, texts[1]), (3, texts[2]), (None, texts[1]), (5, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in similarity_components(docs, 3, 80).collect())
+    assert got == [(0, 1), (0, 1), (1, 1), (3, 1), (5, 5)]
+    assert sorted(r["doc_id"] for r in one_of_each(docs, 3, 80).collect()) == [1, 5]
+    nameless = docs.where("doc_id IS NULL")
+    assert one_of_each(nameless, 3, 80).count() == 1
+
+
 def test_odd_rows(odd_docs):
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in similarity_components(odd_docs, 3, 90).collect()), key=str)
     assert (False, 2, 0, 2) in got and (False, 3, 0, 3) in got and (False, 7, 0, 7) in got

@@ -2,11 +2,14 @@
 
 A boundary between a character that is no white space and a following space or line end is stable: no pattern of
 the byte-level splitter reaches over it, whatever stands further left or right, and no special string holds a space.
-Texts are cut there; the library encodes each new segment once and a dictionary of bounded size keeps its ids.
+Texts are cut there; the library encodes each new segment once and a dictionary of bounded size keeps its ids.  A line end in
+front and marks behind, which the splitter always parts from a word, are looked up apart; a word of Latin letters, one piece to
+the splitter, goes straight to the library's merges.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -17,6 +20,7 @@ from .sentencepiece_bpe import Remembered
 RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\r\v\f\x1c\x1d\x1e\x1f")
 WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
 STABLE = re.compile(r"(?<=\S)(?=[ \n])")
+MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"  # none that a special string or a contraction may begin with
 
 
 def load(path: str):
@@ -29,6 +33,23 @@ def load(path: str):
     return tokenizer
 
 
+class Pieces(Remembered):
+    """Ids by key; keys that the splitter always parts are put together from their parts."""
+
+    def __missing__(self, key: str) -> bytes:
+        lead = "\n\n" if key[:2] == "\n\n" else ""
+        body = key[len(lead) :]
+        word = body.rstrip(MARKS)
+        if word != body and word.isalpha():
+            ids = self[lead + word] + self["\n\n" + body[len(word) :]]
+        elif key[:1] == "\n" and not lead and key[1:] and not key[1].isspace():
+            ids = self["\n"] + self["\n\n" + key[1:]]
+        else:
+            return super().__missing__(key)
+        self[key] = ids
+        return ids
+
+
 class SegmentEncoder:
     """Ids of a text as little-endian bytes of `width` each; kept per Python worker."""
 
@@ -40,11 +61,23 @@ class SegmentEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, most_kept: int = 400_000):
+    def __init__(self, path: str, most_kept: int = 500_000):
         self.tokenizer = load(path)
+        self.merges = self.tokenizer.model
+        self.signs = self._signs()
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"  # native order, little-endian on all of Spark's platforms
-        self.known = Remembered(self._learn, most_kept)
+        self.known = Pieces(self._learn, most_kept)
+
+    def _signs(self) -> dict[int, str] | None:
+        """The sign of each byte in the vocabulary, as byte-level files write them; None if words may not go straight to the merges."""
+        told = json.loads(self.tokenizer.to_str())
+        split = told["pre_tokenizer"] or {}
+        if told["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or any(t["content"].isalpha() for t in told["added_tokens"]):
+            return None
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     @staticmethod
     def keys(text: str) -> list[str]:
@@ -56,10 +89,14 @@ class SegmentEncoder:
         return ["\n\n" + s for s in STABLE.split(text)]
 
     def _learn(self, key: str) -> bytes:
-        if key[-1:] in {",", "."} and key[-2:-1].isalpha():  # letters and marks are always split
-            return self.known[key[:-1]] + self.known["\n\n" + key[-1]]
         text = key[2:] if key[:2] == "\n\n" else key if key[:1] == "\n" else " " + key
-        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+        word = text[1:] if text[:1] == " " else text
+        if self.signs and word.isalpha() and max(word) < "\u0250":
+            shown = text.replace(" ", self.signs[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.signs)
+            ids = [t.id for t in self.merges.tokenize(shown)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.keys(text))) if text else b""

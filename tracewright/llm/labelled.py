@@ -11,8 +11,8 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[tuple[str, int]], float]:
-    """Up to per_class texts of each class, those with the smallest md5 of doc_id, and the share of class 1 among all usable labels.
+def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[tuple[str, int, int]], float]:
+    """(text, label, doc_id) of up to per_class texts of each class, those with the smallest md5 of doc_id, and the share of class 1 among all usable labels.
 
     Labels are picked first, so only the texts of at most 2 * per_class rows move (a broadcast of that proven size).
     """
@@ -26,8 +26,8 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
         .join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
         .orderBy("doc_id", "text", "y")
         .limit(4 * per_class)  # repeated doc_ids cannot make it longer without bound
-        .select("text", "y")
+        .select("text", "y", "doc_id")
         .collect()
     )
     total = counts.get(0, 0) + counts.get(1, 0)
-    return [(r["text"], r["y"]) for r in rows], (counts.get(1, 0) / total if total else 0.5)
+    return [(r["text"], r["y"], r["doc_id"]) for r in rows], (counts.get(1, 0) / total if total else 0.5)

@@ -1,21 +1,20 @@
 """Quality classifier: supervised subword embeddings, averaged by document, softmax output, numpy SGD.
 
 Features of a word are itself, its shape and its character n-grams (2 to 4, with edges), hashed to buckets; a word's vector
-is the mean of theirs, a document's the mean of its words'.  The output layer being linear, a document's logit is the
-mean of one number per word, which is what scoring sums up.  Words are those between ASCII white space; one of more than 40
-bytes, as a whole text in Chinese may be, is cut into pieces that overlap by 3 bytes, and each piece counts as a word.  Two words of its
-own tell a document's length and how often its words recur.
-
-Bounds (parameters): examples per class, buckets, dimensions, epochs.  Trained by a fixed seed on a hash-picked sample,
-balanced, with the natural share of the classes put back into the bias.  Null and empty texts have only the length
-word.  Without labels of both classes every score is the share of class 1.  Repeated rows: one result each.
+is the mean of theirs, a document's the mean of its words'.  Words are those between ASCII white space, whole, however long; a
+text without white space is one word and its n-grams tell what it is.  Two words of its own tell a document's length and how
+often its words recur, which no mean of its words can.  The output layer being linear, a document's logit is a weighted sum of
+one number a bucket.
+
+Bounds (parameters): examples per class, buckets (a power of two), dimensions, epochs.  Trained by a fixed seed on a
+hash-picked sample, balanced, with the natural share of the classes put back into the bias.  Null and empty texts have only
+the length word.  Without labels of both classes every score is the share of class 1.  Repeated rows: one result each.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,48 +22,75 @@ from pyspark.sql import functions as F
 
 from .labelled import examples, held_out
 
-
-LONG = 40  # bytes of a word taken as one
-SHAPE = bytes(0x41 if 65 <= c < 91 else 0x61 if 97 <= c < 123 or c > 127 else 0x30 if 48 <= c < 58 else c for c in range(256))
-
-
-def words_of(text: str) -> list[bytes]:
-    """The words; a piece of a long one begins with a space and has an edge only where the word has."""
-    words = text.encode().split()
-    if max(map(len, words), default=0) <= LONG:
-        return words
-    out = []
-    for w in words:
-        if len(w) <= LONG:
-            out.append(w)
-        else:
-            edged = b"<" + w + b">"  # all n-grams up to 4 are within a piece
-            out += [b" " + edged[i : i + LONG] for i in range(0, len(edged) - 3, LONG - 3)]
-    return out
-
-
-def own_words(words: list[bytes]) -> list[bytes]:
-    """Words that no text holds, for length and recurrence."""
-    n = len(words)
-    fresh = len(set(words)) / n if n else 1.0
-    expected = 1.0 if n < 2 else n ** -0.2  # distinct words grow slower than the text
-    return [b"\x00len%d" % min(12, n.bit_length()), b"\x00new%d" % min(20, int(10 * fresh / expected))]
-
-
-def features(word: bytes, buckets: int) -> list[int]:
-    if word[:1] == b"\x00":
-        return [crc32(word) % buckets]
-    edged = word[1:] if word[:1] == b" " else b"<" + word + b">"
-    shape = word.translate(SHAPE)
-    grams = {edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)}
-    return [crc32(b"w" + word) % buckets, crc32(b"s" + shape) % buckets, *(crc32(g) % buckets for g in grams)]
+PIECE = 1 << 18  # bytes of words looked at together
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+SHAPE = np.array([0x41 if 65 <= c < 91 else 0x61 if 97 <= c < 123 or c > 127 else 0x30 if 48 <= c < 58 else c for c in range(256)], np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * SPREAD
+    return x ^ (x >> np.uint64(32))
+
+
+def _pieces(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words of a text, each between its edge marks, some at once: their bytes, and where each begins."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = ~SPACE[raw]
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    sizes = ends - starts
+    group = np.cumsum(sizes) // PIECE
+    for g in np.unique(group).tolist():
+        a, b = np.searchsorted(group, [g, g + 1]).tolist()
+        n, first = sizes[a:b], int(starts[a])
+        at = np.concatenate([[0], np.cumsum(n + 2)])
+        out = np.empty(int(at[-1]), np.uint64)
+        chars = raw[first : int(ends[b - 1])][inside[first + 1 : int(ends[b - 1]) + 1]]
+        out[np.arange(len(chars)) + 2 * np.repeat(np.arange(b - a), n) + 1] = chars
+        out[at[:-1]], out[at[1:] - 1] = ord("<"), ord(">")
+        yield out, at[:-1]
+
+
+def features(text: str, buckets: int, own_weight: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and their weights, which sum to 1: words share 1 - own_weight, the two words of its own the rest."""
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    words, seen = 0, []
+    found = []
+    with np.errstate(over="ignore"):
+        for x, at in _pieces(text):
+            size = np.diff(np.append(at, len(x)))
+            place = (np.arange(len(x)) - np.repeat(at, size)).astype(np.uint64) << np.uint64(8)
+            whole, shape = np.add.reduceat(_mix(x + place), at), np.add.reduceat(_mix(SHAPE[x.astype(np.int64)] + place) * SPREAD, at)
+            share = 1.0 / (2 + np.maximum(3 * size - 6, 3))  # a word of `size` bytes with its edges has so many n-grams
+            every, left = np.repeat(share, size), np.repeat(at + size, size) - np.arange(len(x))
+            gram = x
+            ids, weights = [whole, shape], [share, share]
+            for n in (2, 3, 4):
+                gram = gram[:-1] * np.uint64(257) + x[n - 1 :] + np.uint64(1)
+                fits = left[: len(gram)] >= n
+                ids.append(_mix(gram[fits]) * SPREAD)
+                weights.append(every[: len(gram)][fits])
+            found.append((np.concatenate(ids), np.concatenate(weights)))
+            words += len(at)
+            seen.append(whole)
+        for ids, weights in found:
+            yield (ids >> shift).astype(np.int64), weights * ((1 - own_weight) / words)
+        fresh = len(np.unique(np.concatenate(seen))) / words if words else 1.0
+        expected = 1.0 if words < 2 else words**-0.2  # distinct words grow slower than the text
+        own = np.array([1 + min(12, words.bit_length()), 100 + min(20, int(10 * fresh / expected))], np.uint64)
+        yield (_mix(own * np.uint64(1_000_003)) >> shift).astype(np.int64), np.full(2, own_weight / 2)
 
 
 class SubwordClassifier:
-    def __init__(self, rows: list[tuple[str, int]], share: float, buckets: int = 1 << 17, dims: int = 8, epochs: int = 3, rate: float = 0.5, own_weight: float = 0.2):
+    """input_rate: how much larger the step of the bucket vectors is than that of the output, each having a small share of a text."""
+
+    def __init__(self, rows: list[tuple], share: float, buckets: int = 1 << 17, dims: int = 8, epochs: int = 4, rate: float = 0.5, input_rate: float = 30.0, own_weight: float = 0.2):
         self.buckets, self.share, self.own_weight = buckets, share, own_weight
-        self.known: dict[bytes, float] = {}
-        labels = np.array([y for _, y in rows], int)
+        labels = np.array([r[1] for r in rows], int)
         n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
         self.trained = bool(n1 and n0)
         if not self.trained:
@@ -73,20 +99,11 @@ class SubwordClassifier:
         vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).astype(np.float32)
         out = np.zeros((2, dims), np.float32)
         bias = np.zeros(2, np.float32)
-        known: dict[bytes, np.ndarray] = {}
         bags = []
-        for text, _ in rows:
-            words = words_of(text)
-            ids, weights = [], []
-            for group, total in ((words, 1 - own_weight), (own_words(words), own_weight)):
-                for w in group:
-                    f = known.get(w)
-                    if f is None:
-                        f = known[w] = np.array(features(w, buckets), np.int64)
-                    ids.append(f)
-                    weights.append(np.full(len(f), total / len(group) / len(f), np.float32))
-            ids, back = np.unique(np.concatenate(ids), return_inverse=True)
-            bags.append((ids, np.bincount(back, np.concatenate(weights)).astype(np.float32)))
+        for r in rows:
+            ids, weights = map(np.concatenate, zip(*features(r[0], buckets, own_weight), strict=True))
+            ids, back = np.unique(ids, return_inverse=True)
+            bags.append((ids.astype(np.int32), np.bincount(back, weights).astype(np.float32)))
         balance = {0: len(rows) / 2 / n0, 1: len(rows) / 2 / n1}
         steps, done = epochs * len(rows), 0
         for _ in range(epochs):
@@ -102,38 +119,19 @@ class SubwordClassifier:
                 back_to = p @ out
                 out -= lr * np.outer(p, mean)
                 bias -= lr * p
-                vectors[ids] -= (lr * 30 * w)[:, None] * back_to[None, :]
+                vectors[ids] -= (lr * np.float32(input_rate) * w)[:, None] * back_to[None, :]
         self.per_bucket = (vectors @ (out[1] - out[0])).astype(np.float64)
         # as trained the classes weigh the same; their natural share comes back as a shift
         self.bias = float(bias[1] - bias[0]) + math.log((share + 1e-6) / (1 - share + 1e-6))
 
-    def _word(self, word: bytes) -> float:
-        at = self.per_bucket
-        f = features(word, self.buckets)
-        return float(sum([at[i] for i in f])) / len(f)
-
     def score(self, text: str) -> float:
         if not self.trained:
             return self.share
-        words, known = words_of(text), self.known
-        if len(known) > 400_000:
-            known.clear()
-        total = 0.0
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = self._word(w)
-                if w[0] != 32:  # pieces seldom come back
-                    known[w] = x
-            total += x
-        own = own_words(words)
-        z = self.bias + self.own_weight * sum(map(self._word, own)) / len(own)
-        if words:
-            z += (1 - self.own_weight) * total / len(words)
+        z = self.bias + sum(float(self.per_bucket[ids] @ weights) for ids, weights in features(text, self.buckets, self.own_weight))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = SubwordClassifier(*examples(docs, labels, "quality", per_class))
 
@@ -141,7 +139,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, thr
         import pyarrow as pa
 
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1)
+            scores = [model.score(texts[i].as_py()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))

@@ -1,9 +1,11 @@
 """Quality rules: counts of the text itself, and its distance from language references.
 
-References: over all documents, for each language, the histogram of character classes and that of its most common short
-words.  Verdict of the method: the Jensen-Shannon divergence (base 2, 0 to 1) of a document's histograms from the nearest
-reference; above a limit on either one the document is not kept.  Documents below a minimum length have too few words for
-a histogram and are judged by the counts alone.
+References: over all documents that pass the base rules, for each language, the histogram of character classes and that of
+its most common short words.  A reference counts if its language is large, or if it looks like a language: its classes are near
+those of one that counts, and it has common words at all; so junk under a tag of its own is no reference for itself.  Verdict of
+the method: the Jensen-Shannon divergences (base 2, 0 to 1) of a document's two histograms from one and the same reference, the
+nearest by both together; above the limit on either one the document is not kept.  Documents below a minimum length have too
+few words for a histogram and are judged by the counts alone.
 
 The references are one row a language, built by partial sums in each task; they travel to the second pass as a
 small model (at most `most_languages` rows, the largest languages).  Documents of any other language are compared with those
@@ -17,6 +19,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -39,27 +42,34 @@ class Limits:
     common_share: float = 0.003  # of its language's words; so at most 333 words a language are common
     short: int = 6  # bytes of a word that may be a common one
     most_languages: int = 256
+    large_share: float = 0.05  # of all characters makes a language large
+    least_common: float = 0.1  # share of the common words in any other language
+    held_words: int = 200_000  # distinct words a task counts before it hands the counts on
 
 
+N_CLASSES = 8
+
+
+@cache
 def _classes() -> np.ndarray:
-    """Character class by code point up to 0x24F; one class for all beyond."""
+    """Character class by code point: small letters and marks on them, capitals, letters without case, digits, white space, common signs, other signs, all else."""
     import unicodedata
 
-    table = np.full(0x251, 7, np.uint8)
-    for cp in range(0x250):
-        kind = unicodedata.category(chr(cp))
-        ch = chr(cp)
-        table[cp] = (
-            0 if kind == "Ll" else 1 if kind[0] == "L" else 2 if kind[0] == "N" else 3 if ch in " \t\n\r\v\f" else 4 if ch in ".,;:?'\"-()" else 5 if kind[0] == "P" else 6
-        )
+    kinds = {"Ll": 0, "Mn": 0, "Mc": 0, "Lu": 1, "Lt": 1, "Lo": 2, "Lm": 2, "Nd": 3, "Nl": 3, "No": 3, "Zs": 4}
+    table = np.array([kinds.get(kind, 6 if kind[0] == "P" else 7) for kind in map(unicodedata.category, map(chr, range(0x110000)))], np.uint8)
+    table[[ord(c) for c in " \t\n\r\v\f"]] = 4
+    table[[ord(c) for c in ".,;:?'\"-()。、，"]] = 5
     return table
 
 
-CLASSES, N_CLASSES = _classes(), 8
+def class_counts(text: str) -> np.ndarray:
+    return np.bincount(_classes()[np.frombuffer(text.encode("utf-32-le"), "<u4")], minlength=N_CLASSES)
 
 
-def class_counts(text: str) -> np.ndarray:
-    return np.bincount(CLASSES[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0x250)], minlength=N_CLASSES)
+def base_counts(words: list[bytes], limits: Limits) -> tuple[int, bool]:
+    """n_repeat_words and base_failed."""
+    repeated = repeated_words(words)
+    return repeated, len(words) < limits.least_words or 100 * repeated > limits.most_repeated_percent * len(words)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -100,11 +110,12 @@ class References:
     classes: np.ndarray  # by language
     shares: np.ndarray  # by language, over `words` and all others
     langs: tuple[str, ...] = ()
+    counts: np.ndarray | None = None  # by language, whether its reference counts
     rest: DataFrame | None = None  # lang and the reference of every language beyond `most_languages`, if there are any
 
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> References:
-    """Histograms by language over all documents."""
+    """Histograms by language over all documents that pass the base rules."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -112,17 +123,29 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
         counts: dict[str, Counter] = defaultdict(Counter)
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES, np.int64))
         totals: Counter = Counter()
+        schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("classes", pa.list_(pa.int64()))])
+
+        def handed_on():
+            for lang, c in counts.items():
+                words = list(c)
+                for a in range(0, len(words), 50_000):
+                    some = words[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array([c[w] for w in some], pa.int64()), pa.nulls(len(some), pa.list_(pa.int64()))], schema=schema)
+            counts.clear()
+
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.encode().lower().split()
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                text = batch.column(1)[i].as_py()
+                words = text.encode().split()
+                if base_counts(words, limits)[1]:
+                    continue
                 totals[lang] += len(words)
-                counts[lang].update([w for w in words if len(w) <= limits.short])
+                counts[lang].update([w.lower() for w in words if len(w) <= limits.short])
                 classes[lang] += class_counts(text)
-        rows = [(lang, None, int(n), [int(x) for x in classes[lang]]) for lang, n in totals.items()]
-        rows += [(lang, w, n, None) for lang, c in counts.items() for w, n in c.items()]
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        types = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["lang", "word", "n", "classes"])
+            if sum(map(len, counts.values())) > limits.held_words:
+                yield from handed_on()
+        yield from handed_on()
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64()), pa.array([classes[x].tolist() for x in totals], pa.list_(pa.int64()))], schema=schema)
 
     pick = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     part = pick.mapInArrow(run, "lang string, word binary, n long, classes array<long>")
@@ -145,7 +168,18 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
     for i, r in enumerate(langs):
         shares[i, -1] = r["n"] - shares[i, :-1].sum()
     rest = _rest(sums, list(index), limits) if more else None
-    return References(words, classes / np.maximum(classes.sum(1, keepdims=True), 1), shares / np.maximum(shares.sum(1, keepdims=True), 1), tuple(index), rest)
+    large = limits.large_share * float(sum(sums.where("word IS NULL").agg(*[F.sum(f"c{k}") for k in range(N_CLASSES)]).first())) if langs else 0.0
+    sizes = classes.sum(1)
+    classes, shares = classes / np.maximum(sizes[:, None], 1), shares / np.maximum(shares.sum(1, keepdims=True), 1)
+    counts = np.zeros(len(langs), bool)
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        counts[i] = not counts.any() or sizes[i] >= large or like_a_language(classes[i], 1 - shares[i, -1], classes[counts], limits)
+    return References(words, classes, shares, tuple(index), counts, rest)
+
+
+def like_a_language(classes: np.ndarray, common: float, known: np.ndarray, limits: Limits) -> bool:
+    """Classes near those of a reference that counts, and common words that make up a share of the text."""
+    return common >= limits.least_common and float(divergence(classes, known).min()) <= limits.most_class_divergence / 2
 
 
 def _rest(sums: DataFrame, langs: list[str], limits: Limits) -> DataFrame:
@@ -180,30 +214,31 @@ def judge(text: str, ref: References, limits: Limits, mine: dict | None = None)
     n = len(words)
     chars = len(text) - sum(text.count(c) for c in " \t\n\r\v\f")
     lines = [x for x in data.split(b"\n") if x.strip()]
-    repeat = repeated_words(words)
-    failed = n < limits.least_words or 100 * repeat > limits.most_repeated_percent * n
+    repeated, failed = base_counts(words, limits)
     by_class = by_word = None
     kept = not failed
     if n >= limits.histogram_words and len(ref.classes):
         classes = class_counts(text)
-        by_class = float(divergence(classes / classes.sum(), ref.classes).min())
+        classes = classes / classes.sum()
         counts = Counter(data.lower().split())
         own = np.array([counts[w] for w in ref.words] + [0], float)
         own[-1] = n - own.sum()
-        by_word = float(divergence(own / n, ref.shares).min())
+        known = ref.classes[ref.counts]
+        pairs = np.stack([divergence(classes, known), divergence(own / n, ref.shares[ref.counts])])
         if mine:
             c = np.array(mine["classes"], float)
-            by_class = min(by_class, float(divergence(classes / classes.sum(), c / max(c.sum(), 1))))
+            c /= max(c.sum(), 1)
             share = {bytes(r["word"]): r["n"] for r in mine["words"] or ()}
-            new = sorted(share.keys() - set(ref.words))  # no reference of the model has a share of these
-            own = np.array([counts[w] for w in (*ref.words, *new)] + [0], float)
-            own[-1] = n - own.sum()
-            theirs = np.array([share.get(w, 0) for w in (*ref.words, *new)] + [0], float)
-            theirs[-1] = mine["n"] - theirs.sum()
-            known = np.insert(ref.shares, [len(ref.words)] * len(new), 0, axis=1)
-            by_word = float(divergence(own / n, np.vstack([known, theirs / max(mine["n"], 1)])).min())
+            if like_a_language(c, sum(share.values()) / max(mine["n"], 1), known, limits):
+                own = np.array([counts[w] for w in share] + [0], float)
+                own[-1] = n - own.sum()
+                theirs = np.array([*share.values(), mine["n"] - sum(share.values())], float)
+                # words that the model's references have and this one has not count as others here
+                pairs = np.column_stack([pairs, [divergence(classes, c), divergence(own / n, theirs / max(mine["n"], 1))]])
+        limit = np.array([[limits.most_class_divergence], [limits.most_word_divergence]])
+        by_class, by_word = pairs[:, np.argmin((pairs / limit).max(0))].tolist()
         kept = kept and by_class <= limits.most_class_divergence and by_word <= limits.most_word_divergence
-    return n, chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat, failed, kept, by_class, by_word
+    return n, chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated, failed, kept, by_class, by_word
 
 
 def _own(batch, at: int) -> list | repeat:
@@ -223,7 +258,7 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), ref: References |
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for batch in batches:
-            cols = list(zip(*(judge(t, ref, limits, own) for t, own in zip(batch.column(1).to_pylist(), _own(batch, 2))), strict=True)) or [[]] * len(types)
+            cols = list(zip(*(judge(t.as_py(), ref, limits, own) for t, own in zip(batch.column(1), _own(batch, 2))), strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
     pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *docs.columns[width:])
@@ -240,7 +275,7 @@ def without_rejected(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            kept = [judge(t or "", ref, limits, own)[6] for t, own in zip(batch.column(at).to_pylist(), _own(batch, width))]
+            kept = [judge(t.as_py() or "", ref, limits, own)[6] for t, own in zip(batch.column(at), _own(batch, width))]
             yield batch.select(list(range(width))).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

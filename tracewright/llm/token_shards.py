@@ -1,14 +1,15 @@
 """Token-ID output: one wavelet matrix per shard.
 
 A shard file holds whole documents in ascending doc_id order: a header, the documents' ids and ends, and one bit-plane
-per id bit with a rank directory.  From it alone come any token (access), the number of occurrences of an id in a range
+per id bit, each with its rank directory (ones before every 512th bit, and in all).  From it alone come any token (access), the number of occurrences of an id in a range
 (count) and the place of its k-th occurrence (select); reading everything back is one pass over the planes.
 
 Shard files are the `payload` cells of a Parquet table, so Spark's commit protocol and any file system it knows apply; a
 lost executor only makes its shards be written again.  Documents are dealt by ranges of doc_id; offsets come from sums
 by range, never from the documents themselves.
 
-Nulls and empty texts: the end id alone.  Null doc_ids come first.  Repeated doc_ids stay, in the order of their texts.
+Nulls and empty texts: the end id alone.  Null doc_ids come first.  Repeated and null doc_ids stay, in the order of the hashes
+of their texts, by which they are dealt as well.
 """
 
 from __future__ import annotations
@@ -24,27 +25,30 @@ from pyspark.sql import functions as F
 from .byte_level import SegmentEncoder
 from .common import scratch, texts
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 BLOCK = 512  # bits between entries of a rank directory
 
 
 class WaveletMatrix:
     """Bit-planes from the highest bit down; below each, zeros come before ones, otherwise in order."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
-        self.n, self.planes = n, planes
-        self.zeros = [n - int(np.bitwise_count(p).sum()) for p in planes]
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, planes: list[np.ndarray], ranks: list[np.ndarray]):
+        self.n, self.planes, self.ranks = n, planes, ranks
+        self.zeros = [n - int(r[-1]) for r in ranks]
 
     @classmethod
     def build(cls, ids: np.ndarray) -> "WaveletMatrix":
         bits = max(1, int(ids.max(initial=0)).bit_length())
-        planes, x = [], ids
+        planes, ranks, x = [], [], ids
         for b in range(bits - 1, -1, -1):
             ones = (x & x.dtype.type(1 << b)) != 0
-            planes.append(np.packbits(ones, bitorder="little"))
+            plane = np.packbits(ones, bitorder="little")
+            blocks = np.zeros(-(-len(plane) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
+            blocks[: len(plane)] = plane
+            planes.append(plane)
+            ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(blocks.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64))]).astype("<u4"))
             x = np.concatenate([x[~ones], x[ones]])
-        return cls(len(ids), planes)
+        return cls(len(ids), planes, ranks)
 
     def all(self) -> np.ndarray:
         """Every token, from the lowest plane up."""
@@ -60,13 +64,10 @@ class WaveletMatrix:
 
     def _rank(self, level: int, at: int) -> int:
         """Ones among the first `at` bits of a plane."""
-        if self._ranks is None:
-            step = BLOCK // 8
-            self._ranks = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), step)))]) if len(p) else np.zeros(1, np.int64) for p in self.planes]
         block = at // BLOCK
         plane, first = self.planes[level], block * BLOCK // 8
         whole = at // 8
-        count = int(self._ranks[level][block]) + int(np.bitwise_count(plane[first:whole]).sum())
+        count = int(self.ranks[level][block]) + int(np.bitwise_count(plane[first:whole]).sum())
         return count + (int(plane[whole] & ((1 << at % 8) - 1)).bit_count() if at % 8 else 0)
 
     def _bit(self, level: int, at: int) -> int:
@@ -116,7 +117,7 @@ def pack(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
     null = np.array([d is None for d in doc_ids], np.uint8)
     known = np.array([d or 0 for d in doc_ids], "<i8")
     head = struct.pack("<4sQQI", MAGIC, len(ids), len(doc_ids), len(matrix.planes))
-    return b"".join([head, known.tobytes(), null.tobytes(), ends.astype("<i8").tobytes(), *(p.tobytes() for p in matrix.planes)])
+    return b"".join([head, known.tobytes(), null.tobytes(), ends.astype("<i8").tobytes(), *(x.tobytes() for both in zip(matrix.planes, matrix.ranks, strict=True) for x in both)])
 
 
 def unpack(payload: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
@@ -127,9 +128,13 @@ def unpack(payload: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
     known = np.frombuffer(payload, "<i8", docs, at)
     null = np.frombuffer(payload, np.uint8, docs, at + 8 * docs)
     ends = np.frombuffer(payload, "<i8", docs, at + 9 * docs)
-    at, size = at + 17 * docs, (n + 7) // 8
-    planes = [np.frombuffer(payload, np.uint8, size, at + k * size) for k in range(levels)]
-    return WaveletMatrix(n, planes), [None if x else int(d) for d, x in zip(known, null, strict=True)], ends
+    at, size, blocks = at + 17 * docs, (n + 7) // 8, (n + BLOCK - 1) // BLOCK + 1
+    planes, ranks = [], []
+    for _ in range(levels):
+        planes.append(np.frombuffer(payload, np.uint8, size, at))
+        ranks.append(np.frombuffer(payload, "<u4", blocks, at + size))
+        at += size + 4 * blocks
+    return WaveletMatrix(n, planes, ranks), [None if x else int(d) for d, x in zip(known, null, strict=True)], ends
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, tokens_per_shard: int = 1 << 20) -> None:
@@ -153,7 +158,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["part", "shard", "n_tokens", "payload"])
 
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist()), strict=True):
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                ids = encoder.encode(batch.column(1)[i].as_py())
                 held += [ids, end]
                 names.append(name)
                 lengths.append(len(ids) // encoder.width + 1)
@@ -164,7 +170,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
         if names:
             yield flush()
 
-    ordered = texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = texts(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(run, "part int, shard int, n_tokens long, payload binary").write.parquet(path)
 
 
@@ -175,7 +182,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part, shard, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "payload")), strict=True):
+            for i, (part, shard) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "shard")), strict=True)):
+                payload = batch.column("payload")[i].as_py()
                 matrix, names, ends = unpack(payload)
                 ids, starts = matrix.all().astype("<u4"), np.concatenate([[0], ends[:-1]])
                 crc = [crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

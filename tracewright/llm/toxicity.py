@@ -2,10 +2,12 @@
 
 Terms are words and the 4-letter beginnings of longer words (inflected forms meet there), all those of the examples.  A
 term weighs TF-IDF times the square root of its evidence, the likelihood ratio G of its shares of toxic and other examples:
-no bound is set on either, a term with little evidence weighs little.  The index holds each term's
-postings by block of examples with the largest weight in each block; blocks are visited from the highest bound down until
-no block can reach the k-th best cosine, so the k nearest are exact.  Neighbours vote with the square of their cosine; votes
-turn into rates through a table learnt by leaving each example out, with the natural share of the classes put back.
+no bound is set on either, a term with little evidence weighs little.  The index holds each term's postings by block of
+examples with the largest weight in each block.  A query's terms that many examples hold are summed first, for a batch of
+queries at once; what its other terms can still add is bounded by block, and only examples that can reach the k-th best so far
+are summed to the end.  The k nearest are
+exact.  Neighbours vote with the square of their cosine; votes turn into rates through a table learnt by leaving each example
+out, with the natural share of the classes put back.  Their doc_ids come with the score, as its evidence.
 
 An example that is a near copy (Jaccard of 3-word shingles 0.8 or more) of an earlier one kept, of the same label, is left
 out: a rare word of a much-copied text is no sign of its class.
@@ -19,64 +21,48 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import examples, held_out
+from .ngram_join import shingle_set
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEM = 4
 BLOCK = 64
-FIRST = 4  # blocks visited before all others that can still reach the k-th best
+FREQUENT = 8  # a term that one in so many examples holds is summed by a matrix product
+BATCH = 32  # texts scored at once
 
+def terms_of(text: str) -> list[str]:
+    words = LETTERS.findall(text.lower())
+    return words + [w[:STEM] + "*" for w in words if len(w) > STEM]
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word,) if len(word) <= STEM else (word, word[:STEM] + "*")
 
-
-def without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The rows without those whose shingles have a Jaccard of 0.8 or more with those of an earlier row kept, of the same label.
+def without_copies(rows: list[tuple]) -> list[tuple]:
+    """The rows (text, label, ...) without those whose shingles have a Jaccard of 0.8 or more with those of an earlier row kept, of the same label.
 
     Two such sets share one of the first n - ceil(0.8 n) + 1 of each, rare shingles first; texts of under 3 words are one shingle.
     """
-    sets = []
-    for text, _ in rows:
-        words = text.lower().encode().split()
-        sets.append({b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))})
-    df = Counter(chain.from_iterable(sets))
-    by_prefix: dict[tuple[bytes, int], list[int]] = {}
+    sets = [shingle_set(r[0], 3) for r in rows]
+    every, times = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+    by_prefix: dict[tuple[int, int], list[int]] = {}
     kept = []
-    for i, (mine, (_, y)) in enumerate(zip(sets, rows, strict=True)):
-        n = len(mine)
-        prefix = [(s, y) for s in sorted(mine, key=lambda s: (df[s], s))[: n - (4 * n + 4) // 5 + 1]]
+    for i, (mine, row) in enumerate(zip(sets, rows, strict=True)):
+        n, y = len(mine), row[1]
+        order = np.argsort(times[np.searchsorted(every, mine)], kind="stable")
+        prefix = [(s, y) for s in mine[order[: n - (4 * n + 4) // 5 + 1]].tolist()]
         met = {k for p in prefix for k in by_prefix.get(p, ())}
-        if any(5 * (both := len(mine & sets[k])) >= 4 * (n + len(sets[k]) - both) for k in met):
+        if any(5 * (both := len(np.intersect1d(mine, sets[k], assume_unique=True))) >= 4 * (n + len(sets[k]) - both) for k in met):
             continue
-        kept.append(rows[i])
+        kept.append(row)
         for p in prefix:
             by_prefix.setdefault(p, []).append(i)
     return kept
 
 
-class Known(dict):
-    """Terms of the index by word, looked up when first asked for."""
-
-    def __init__(self, index: dict[str, int]):
-        self.index = index
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self[word] = tuple(self.index[t] for t in terms_of(word) if t in self.index)
-        return ids
-
-    def __reduce__(self):  # what a task has looked up does not travel
-        return Known, (self.index,)
-
-
 def _ranges(first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges in one array, and the length of each range."""
     n = ends - first
@@ -86,108 +72,124 @@ def _ranges(first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Postings:
     """Examples by term; an entry is a term's run of postings within one block, with its largest weight."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.examples = len(vectors)
-        self.blocks = (len(vectors) + BLOCK - 1) // BLOCK
-        term = np.concatenate([at for at, _ in vectors] or [np.zeros(0, np.int64)])
-        where = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
-        order = np.argsort(term, kind="stable")  # examples stay in order within a term
-        term, where = term[order], where[order]
-        self.where, self.weight = where, np.concatenate([w for _, w in vectors] or [np.zeros(0)])[order]
-        block = where // BLOCK
+    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        """Examples one after the other: their ends, their terms and the terms' weights.  Only these travel to a task."""
+        self.ends, self.terms, self.weights, self.n_terms = ends, terms, weights, n_terms
+        self.examples = len(ends) - 1
+        self.blocks = (self.examples + BLOCK - 1) // BLOCK
+        where = np.repeat(np.arange(self.examples), np.diff(ends))
+        order = np.argsort(terms, kind="stable")  # examples stay in order within a term
+        term, self.where, self.weight = terms[order], where[order], weights[order]
+        block = self.where // BLOCK
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
         self.block, self.starts = block[first], np.r_[first, len(term)]
         self.tops = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
         self.entries = np.searchsorted(term[first], np.arange(n_terms + 1))  # of a term, the first
+        held = np.bincount(term, minlength=n_terms)
+        often = np.flatnonzero(FREQUENT * held >= max(self.examples, FREQUENT))
+        self.row = np.full(n_terms, -1)  # of the matrix, for frequent terms
+        self.row[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.examples))
+        mine = self.row[term] >= 0
+        self.matrix[self.row[term[mine]], self.where[mine]] = self.weight[mine]
+        self._query = np.zeros(n_terms)
+
+    def __reduce__(self):
+        return Postings, (self.ends, self.terms, self.weights, self.n_terms)
+
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """By query and example what the frequent terms give."""
+        x = np.zeros((len(queries), len(self.matrix)))
+        for i, (at, q) in enumerate(queries):
+            row = self.row[at]
+            x[i, row[row >= 0]] = q[row >= 0]
+        return x @ self.matrix
 
     def __getitem__(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         s = slice(self.starts[self.entries[term]], self.starts[self.entries[term + 1]])
         return self.where[s], self.weight[s]
 
-    def bounds(self, at: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries of the terms, the query's weight at each, and by block the most that a cosine can be."""
+    def bounds(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """By block the most that these terms can give an example."""
         entries, n = _ranges(self.entries[at], self.entries[at + 1])
-        q = np.repeat(q, n)
-        return entries, q, np.bincount(self.block[entries], q * self.tops[entries], minlength=self.blocks)
-
-    def scores(self, entries: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """By example its cosine, 0 outside the blocks."""
-        if len(blocks) < self.blocks:
-            wanted = np.zeros(self.blocks, bool)
-            wanted[blocks] = True
-            mine = wanted[self.block[entries]]
-            entries, q = entries[mine], q[mine]
-        at, n = _ranges(self.starts[entries], self.starts[entries + 1])
-        return np.bincount(self.where[at], np.repeat(q, n) * self.weight[at], minlength=self.examples)
+        return np.bincount(self.block[entries], np.repeat(q, n) * self.tops[entries], minlength=self.blocks)
 
-    def all_scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """By example its cosine, whole lists at once."""
+    def sums(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """By example what these terms give it."""
         at, n = _ranges(self.starts[self.entries[at]], self.starts[self.entries[at + 1]])
         return np.bincount(self.where[at], np.repeat(q, n) * self.weight[at], minlength=self.examples)
 
+    def sums_of(self, some: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What these terms give some examples."""
+        mine, n = _ranges(self.ends[some], self.ends[some + 1])
+        self._query[at] = q
+        x = self._query[self.terms[mine]] * self.weights[mine]
+        self._query[at] = 0
+        return np.bincount(np.repeat(np.arange(len(some)), n), x, minlength=len(some))
+
 
 class NearestExamples:
-    def __init__(self, rows: list[tuple[str, int]], share: float, k: int = 15):
-        self.k, self.share = k, share
+    """rows: (text, label, doc_id), doc_id being what evidence names."""
+
+    def __init__(self, rows: list[tuple], share: float, k: int = 15):
+        self.k, self.share, self.table = k, share, None
         rows = without_copies(rows)
-        bags = [Counter(t for w in LETTERS.findall(text.lower()) for t in terms_of(w)) for text, _ in rows]
-        labels = np.array([y for _, y in rows], int)
+        labels = np.array([r[1] for r in rows], int)
         n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
         self.index: dict[str, int] = {}
-        self.known = Known(self.index)
-        self.table = None
         if not n1 or not n0:
             return
-        df = [Counter(), Counter()]
-        for bag, y in zip(bags, labels, strict=True):
-            df[y].update(bag.keys())
+        number = self.index
+        bags = [np.unique(np.array([number.setdefault(t, len(number)) for t in terms_of(r[0])], np.int64), return_counts=True) for r in rows]
+        y = np.repeat(labels, [len(at) for at, _ in bags])
+        every = np.concatenate([at for at, _ in bags])
+        df1, df0 = (np.bincount(every[y == x], minlength=len(number)).astype(float) for x in (1, 0))
         n = len(rows)
-        g = {t: self._evidence(df[1][t], df[0][t], n1, n0) for t in df[1].keys() | df[0].keys()}
-        terms = sorted(g, key=lambda t: (-g[t], t))
-        self.index.update((t, i) for i, t in enumerate(terms))
-        self.factor = np.array([(math.log((1 + n) / (1 + df[0][t] + df[1][t])) + 1) * (math.sqrt(g[t]) + 0.01) for t in terms])
-        vectors = [self._vector(bag) for bag in bags]
+        self.factor = (np.log((1 + n) / (1 + df0 + df1)) + 1) * (np.sqrt(self._evidence(df1, df0, n1, n0)) + 0.01)
+        vectors = [self._weighted(at, c) for at, c in bags]
         order = sorted((i for i in range(n) if vectors[i][0].size), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))  # alike ones share blocks
         self.labels = labels[order]
-        self.post = Postings([vectors[i] for i in order], len(terms))
+        self.names = [rows[i][2] if len(rows[i]) > 2 else i for i in order]
+        mine = [vectors[i] for i in order]
+        self.post = Postings(np.concatenate([[0], np.cumsum([len(at) for at, _ in mine])]).astype(np.int64), np.concatenate([at for at, _ in mine]).astype(np.int32), np.concatenate([w for _, w in mine]), len(number))
         self._calibrate(vectors, order, labels, n1, n0)
 
     @staticmethod
-    def _evidence(a: int, b: int, n1: int, n0: int) -> float:
-        """G of a term in a of n1 toxic and b of n0 other examples."""
+    def _evidence(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+        """G of terms in a of n1 toxic and b of n0 other examples."""
         p = (a + b) / (n1 + n0)
-        return max(0.0, 2 * sum(x * math.log(x / e) for x, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))) if x and e))
-
-    def _vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.index[t], c) for t, c in bag.items() if t in self.index)
-        return self._weighted(np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], float))
+        g = np.zeros(len(a))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for x, e in ((a, n1 * p), (b, n0 * p), (n1 - a, n1 * (1 - p)), (n0 - b, n0 * (1 - p))):
+                g += np.where((x > 0) & (e > 0), x * np.log(x / e), 0.0)
+        return np.maximum(0.0, 2 * g)
 
     def _weighted(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.factor[at]
         return at, w / (np.linalg.norm(w) or 1.0)
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[float, int]]:
-        """The k best (cosine, example), exact; ties to the smaller example."""
-        entries, q, bounds = self.post.bounds(*vector)
-        left = np.argsort(-bounds, kind="stable")
-        left = left[bounds[left] > 0]
-        best: list[tuple[float, int]] = []
-        visit = FIRST
-        while len(left):
-            if best and 3 * len(left) > self.post.blocks:  # whole lists are cheaper than most of their runs
-                scores, best = self.post.all_scores(*vector), []
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Of each query (terms, weights) the k best (cosine, example), exact; ties to the smaller example."""
+        out = []
+        for i, ((at, q), scores) in enumerate(zip(queries, self.post.frequent(queries), strict=True)):
+            rare = self.post.row[at] < 0
+            at, q = at[rare], q[rare]
+            if without:
+                scores[without[i]] = -1
+            least = np.partition(scores, -self.k)[-self.k] if len(scores) > self.k else 0.0
+            bounds = self.post.bounds(at, q)
+            found = np.flatnonzero(scores + np.repeat(bounds, BLOCK)[: len(scores)] >= least - 1e-9)
+            if 16 * len(found) < len(scores):
+                scores[found] += self.post.sums_of(found, at, q)
             else:
-                scores = self.post.scores(entries, q, left[:visit])
-            if without >= 0:
-                scores[without] = 0
-            found = np.flatnonzero(scores)
+                scores += self.post.sums(at, q)
+            if without:
+                scores[without[i]] = 0
+            found = found[scores[found] > 0]
             if len(found) > self.k:
                 found = found[scores[found] >= np.partition(scores[found], -self.k)[-self.k]]
-            best = sorted(best + [(float(scores[i]), i) for i in found.tolist()], key=lambda x: (-x[0], x[1]))[: self.k]
-            left, visit = left[visit:], self.post.blocks
-            if len(best) == self.k:
-                left = left[bounds[left] >= best[-1][0] - 1e-9]
-        return best
+            out.append(sorted(zip(scores[found].tolist(), found.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[: self.k])
+        return out
 
     def _vote(self, best: list[tuple[float, int]]) -> float:
         total = sum(s * s for s, _ in best)
@@ -197,8 +199,8 @@ class NearestExamples:
         """Rates of class 1 by vote, each example left out of its own; classes weigh as among all labels."""
         weight = {1: self.share / n1, 0: (1 - self.share) / n0}
         bins = np.zeros((11, 2))
-        for at, i in enumerate(order):
-            v = self._vote(self.nearest(vectors[i], at))
+        votes = [self._vote(x) for a in range(0, len(order), BATCH) for x in self.nearest([vectors[i] for i in order[a : a + BATCH]], list(range(a, min(a + BATCH, len(order)))))]
+        for i, v in zip(order, votes, strict=True):
             bins[min(10, int(v * 10) + 1), labels[i]] += weight[labels[i]]
         for i in set(range(len(labels))) - set(order):
             bins[0, labels[i]] += weight[labels[i]]
@@ -206,30 +208,33 @@ class NearestExamples:
         rate = (bins[:, 1] + prior * self.share) / (bins.sum(1) + prior)
         self.table = np.r_[rate[0], np.maximum.accumulate(rate[1:])]
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        """Calibrated score, and the neighbours as evidence."""
+    def score(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Of each text the calibrated score, and the neighbours as evidence."""
         if self.table is None:
-            return self.share, []
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        ids = list(chain.from_iterable(map(known.__getitem__, LETTERS.findall(text.lower()))))
-        if not ids:
-            return float(self.table[0]), []
-        best = self.nearest(self._weighted(*np.unique(np.array(ids, np.int64), return_counts=True)))
+            return [(self.share, []) for _ in texts]
+        ids = [[i for i in map(self.index.get, terms_of(t)) if i is not None] for t in texts]
+        found = iter(self.nearest([self._weighted(*np.unique(np.array(x, np.int64), return_counts=True)) for x in ids if x]))
+        return [self._calibrated(next(found)) if x else (float(self.table[0]), []) for x in ids]
+
+    def _calibrated(self, best: list[tuple[float, int]]) -> tuple[float, list[tuple[float, int]]]:
         v = self._vote(best)
         return float(np.clip(self.table[min(10, int(v * 10) + 1)] * 0.999 + v * 0.001, 0, 1)), best
 
+    def score_column(self, column) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Of every text of an Arrow column, few at once."""
+        for a in range(0, len(column), BATCH):
+            yield from self.score([t or "" for t in column.slice(a, BATCH).to_pylist()])
+
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_toxic_neighbours, best_cosine."""
+    """doc_id, held_out, score, predicted, n_toxic_neighbours, best_cosine, neighbours (doc_ids of the nearest examples, nearest first)."""
     model = NearestExamples(*examples(docs, labels, "toxic", per_class), k)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [model.score(t) for t in batch.column(1).to_pylist()]
+            found = list(model.score_column(batch.column(1)))
             scores = [s for s, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -239,12 +244,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
                     pa.array([int(s >= 0.5) for s in scores], pa.int32()),
                     pa.array([sum(int(model.labels[i]) for _, i in b) for _, b in found], pa.int32()),
                     pa.array([b[0][0] if b else 0.0 for _, b in found], pa.float64()),
+                    pa.array([[model.names[i] for _, i in b] for _, b in found], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "held_out", "score", "predicted", "n_toxic_neighbours", "best_cosine"],
+                ["doc_id", "held_out", "score", "predicted", "n_toxic_neighbours", "best_cosine", "neighbours"],
             )
 
     pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    return pick.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_toxic_neighbours int, best_cosine double")
+    return pick.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_toxic_neighbours int, best_cosine double, neighbours array<long>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15, threshold: float = 0.5) -> DataFrame:
@@ -256,6 +262,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
         import pyarrow as pa
 
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t or "")[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s, _ in model.score_column(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
