@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from hashlib import md5
 from zlib import crc32
 
 import numpy as np
@@ -116,7 +117,8 @@ def _split(spark, label):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = docs.join(labels, "doc_id").orderBy("doc_id").select("doc_id", "text", label).collect()
     out = lambda r: crc32(str(r["doc_id"]).encode()) % 5 == 0
-    train = [(r["text"], r[label]) for r in rows if not out(r)]
+    picked = sorted((r for r in rows if not out(r)), key=lambda r: md5(str(r["doc_id"]).encode()).hexdigest())  # as examples() picks
+    train = [(r["text"], r[label]) for r in picked]
     return train, [(r["text"], r[label]) for r in rows if out(r)], sum(y for _, y in train) / len(train)
 
 
