@@ -46,34 +46,42 @@ ENTRIES = "array<struct<key:string,text:string>>"
 def json_object(line: Column) -> Column:
     """The line as a variant if it is one JSON object, else null.  Twice the same key is no valid object here."""
     s = F.trim(line)
-    v = F.when((F.length(s) > 2) & s.startswith("{") & s.endswith("}"), F.try_parse_json(s))
-    return F.when(F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT"), v)
+    return F.when((F.length(s) > 2) & s.startswith("{") & s.endswith("}"), F.try_parse_json(s))
 
 
 def _children(v: Column) -> Column:
     return F.map_entries(v.try_cast("map<string,variant>"))
 
 
-def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")
+def scalars(obj: Column) -> Column:
+    """Scalars of an object to three levels below the top, keys joined by dots; nearer ones first, each key once."""
 
+    def told(entries: Column) -> Column:
+        """With each entry its text, and its type if the text may be that of an object or a list."""
+        kind = lambda e: F.when(e["text"].startswith("{") | e["text"].startswith("["), F.schema_of_variant(e["value"])).otherwise("")
+        every = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), e["value"].try_cast("string").alias("text")))
+        return F.transform(every, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), e["text"].alias("text"), F.substr(F.coalesce(kind(e), F.lit("")), F.lit(1), F.lit(6)).alias("kind")))
 
-def _is_scalar(v: Column) -> Column:
-    return ~F.coalesce(F.schema_of_variant(v), F.lit("")).rlike("^(OBJECT|ARRAY)")
+    def below(level: Column) -> Column:
+        objects = F.filter(level, lambda e: e["kind"] == "OBJECT")
+        return told(F.flatten(F.transform(objects, lambda e: F.transform(_children(e["value"]), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value"))))))
 
+    def texts(level: Column) -> Column:
+        plain = F.filter(level, lambda e: (e["kind"] != "OBJECT") & ~e["kind"].startswith("ARRAY"))
+        return F.transform(plain, lambda e: F.struct(e["key"].alias("key"), e["text"].alias("text"))).cast(ENTRIES)
 
-def scalars(obj: Column) -> Column:
-    """Scalars of an object to three levels below the top, keys joined by dots; nearer ones first, each key once."""
-    level = F.transform(_children(obj), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    levels = [level]
-    for _ in range(3):
-        objects = F.filter(level, lambda e: _is_object(e["value"]))
-        level = F.flatten(F.transform(objects, lambda e: F.transform(_children(e["value"]), lambda c: F.struct(F.concat(e["key"], F.lit("."), c["key"]).alias("key"), c["value"].alias("value")))))
-        levels.append(level)
-    texts = [F.transform(F.filter(x, lambda e: _is_scalar(e["value"])), lambda e: F.struct(e["key"].alias("key"), e["value"].try_cast("string").alias("text"))).cast(ENTRIES) for x in levels]
-    every = F.coalesce(F.concat(*[F.coalesce(t, F.array().cast(ENTRIES)) for t in texts]), F.array().cast(ENTRIES))
-    keys = F.transform(every, lambda e: e["key"])
-    return F.map_from_entries(F.filter(every, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
+    def joined(*levels: Column) -> Column:
+        return F.concat(*[F.coalesce(texts(x), F.array().cast(ENTRIES)) for x in levels])
+
+    def once(every: Column) -> Column:
+        keys = F.transform(every, lambda e: e["key"])
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(every), every).otherwise(F.filter(every, lambda e, i: F.array_position(keys, e["key"]) == i + 1)))
+
+    # each level is worked out once; most records end with the second
+    deeper = lambda a, b: let(below(b), lambda c: let(below(c), lambda d: joined(a, b, c, d)))
+    nested = lambda x: F.exists(x, lambda e: e["kind"] == "OBJECT")
+    every = let(told(_children(obj)), lambda a: F.when(nested(a), let(below(a), lambda b: F.when(nested(b), deeper(a, b)).otherwise(joined(a, b)))).otherwise(joined(a)))
+    return let(F.coalesce(every, F.array().cast(ENTRIES)), once)
 
 
 def first_text(values: Column, names: list[str]) -> Column:
