@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The word class of the contracts: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +27,13 @@ def tokenizer_path(name: str) -> str:
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a folder of our own is set.
+    Only in local mode may that setting be missing; a folder of our own is used then.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file:///tmp/checkpoints/tracewright"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -42,6 +45,13 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python some megabytes at a time, however long they are.  A setting of the user's own stays."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # Spark's default
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text being empty; other columns, whatever their names, stay out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -18,8 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import texts
 from .labelled import examples, held_out
 
 PIECE = 1 << 18  # bytes of words looked at together
@@ -139,9 +139,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, thr
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1)
-            scores = [model.score(texts[i].as_py()) for i in range(batch.num_rows)]
+            scores = [model.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    return pick.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return texts(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

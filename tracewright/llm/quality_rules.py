@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -147,6 +147,7 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
         yield from handed_on()
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64()), pa.array([classes[x].tolist() for x in totals], pa.list_(pa.int64()))], schema=schema)
 
+    small_batches(docs.sparkSession)
     pick = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     part = pick.mapInArrow(run, "lang string, word binary, n long, classes array<long>")
     # word null is the language itself, with all its words and its classes

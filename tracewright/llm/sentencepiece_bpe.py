@@ -41,7 +41,7 @@ class PrefixTableCodec:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, most_kept: int = 250_000):
+    def __init__(self, path: str, most_kept: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -89,7 +89,7 @@ class PrefixTableCodec:
     def _stay_apart(self, left: int, right: int) -> bool:
         found = self.apart.get((left, right))
         if found is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 200_000:
                 self.apart.clear()
             a, b = self.pieces[left], self.pieces[right]
             found = self.apart[left, right] = self._merge(a + b) == [a, b]

@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, texts
 from .labelled import examples, held_out
 from .ngram_join import shingle_set
 
@@ -52,8 +53,9 @@ def without_copies(rows: list[tuple]) -> list[tuple]:
     kept = []
     for i, (mine, row) in enumerate(zip(sets, rows, strict=True)):
         n, y = len(mine), row[1]
-        order = np.argsort(times[np.searchsorted(every, mine)], kind="stable")
-        prefix = [(s, y) for s in mine[order[: n - (4 * n + 4) // 5 + 1]].tolist()]
+        often = times[np.searchsorted(every, mine)]
+        head = np.argsort(often, kind="stable")[: n - (4 * n + 4) // 5 + 1]
+        prefix = [(s, y) for s in mine[head[often[head] > 1]].tolist()]  # what one set alone holds meets nothing
         met = {k for p in prefix for k in by_prefix.get(p, ())}
         if any(5 * (both := len(np.intersect1d(mine, sets[k], assume_unique=True))) >= 4 * (n + len(sets[k]) - both) for k in met):
             continue
@@ -249,14 +251,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
                 ["doc_id", "held_out", "score", "predicted", "n_toxic_neighbours", "best_cosine", "neighbours"],
             )
 
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    return pick.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_toxic_neighbours int, best_cosine double, neighbours array<long>")
+    return texts(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_toxic_neighbours int, best_cosine double, neighbours array<long>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, all columns as they are."""
     model = NearestExamples(*examples(docs, labels, "toxic", per_class), k)
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
