@@ -239,9 +239,9 @@ def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
 def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     """(v, h) of the wanted (text_key, v).  A filter of fixed size spares hashing most other texts; the join decides."""
     words = wanted.select(F.pmod("text_key", F.lit(BITS)).alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("word"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toPandas()
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
     bits = np.zeros(BITS // 64, np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator) -> Iterator:
@@ -299,7 +299,8 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> Da
                 mine, other = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
                 d = np.setxor1d(mine, other, assume_unique=True)
                 most = len(mine) * (100 - percent) // percent  # apart from any partner
-                t = max(1, (len(d) - most) // 4)
+                # no more than a quarter of what any link shares, nor so many that heads reach what all members lack
+                t = max(1, min((len(d) - most) // 4, _occurrences(len(mine))))
                 rows.append((vs[i], hubs[i], len(mine), len(d), t, len(d) <= _most_apart(len(mine) + len(other), percent), _signed(in_order(d, other, levels)[: most + t]), d.tobytes()))
                 held += len(d)
                 if held > 200_000:
