@@ -247,16 +247,31 @@ def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        seen: set[int] = set()
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "v", "h"])
         for batch in batches:
             keys = batch.column(1).to_numpy()
             at = keys % BITS
+            rows, held = [], 0
             for i in np.flatnonzero((table.value[at // 64] >> (at % 64)) & 1).tolist():
                 h = shingle_set(batch.column(0)[i].as_py(), size)
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]], pa.int64()), pa.array([_vertex(h)], pa.int64()), pa.array([h.tobytes()], pa.binary())], ["text_key", "v", "h"])
+                key = (int(keys[i]), _vertex(h)) if len(h) else None
+                if key is None or key in seen:
+                    continue
+                if len(seen) >= SEEN_MOST:
+                    seen.clear()
+                seen.add(key)
+                rows.append((*key, h.tobytes()))
+                held += len(h)
+                if held > 200_000:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
 
-    got = texts(docs).select("text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "text_key long, v long, h binary")
-    return got.join(wanted, ["text_key", "v"], "left_semi").dropDuplicates(["v"]).select("v", "h")
+    got = texts(docs).select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "key long, v long, h binary")
+    # equal keys by their difference in bits: the join is dealt by v alone, as the last step needs it, and sets move once
+    return got.join(wanted, "v").where(F.col("key").bitwiseXOR(F.col("text_key")) == 0).dropDuplicates(["v"]).select("v", "h")
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> int:
