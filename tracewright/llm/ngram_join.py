@@ -324,7 +324,9 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> Da
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    both = members.join(sets, "v").join(sets.select(F.col("v").alias("hub"), F.col("h").alias("hh")), "hub").select("v", "hub", "h", "hh")
+    # both joins read the same shuffle of sets by v; of hubs alone the sets move on
+    hubs = sets.join(members.select(F.col("hub").alias("v")).distinct(), "v").select(F.col("v").alias("hub"), F.col("h").alias("hh"))
+    both = members.join(sets, "v").join(hubs, "hub").select("v", "hub", "h", "hh")
     return both.mapInArrow(run, "v long, hub long, n long, m long, t long, linked boolean, head array<long>, d binary")
 
 
@@ -370,8 +372,12 @@ def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent:
     apart = (F.col("p.c") != F.col("q.c")) & ~(F.col("p.linked") & F.col("q.linked"))
     met = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.shingle") == F.col("q.shingle"))).where(apart & order & _fits(F.col("p.n"), F.col("q.n"), percent) & reached("p") & reached("q"))
     pairs = met.groupBy(F.col("p.hub").alias("hub"), F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max("p.need").alias("need")).where("times >= need")
-    side = lambda x: diffs.select(F.col("v").alias(x), "hub", F.col("n").alias("n" + x), F.col("d").alias("h" + x))
-    return to_hub.unionByName(_linked(pairs.select("hub", "a", "b").join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
+    pairs = stored(pairs.select("hub", "a", "b"))
+    # pairs are few beside members, so only differences that some pair needs are dealt
+    asked = pairs.select("hub", F.col("a").alias("v")).unionByName(pairs.select("hub", F.col("b").alias("v")))
+    needed = diffs.select("v", "hub", "n", "d").join(asked, ["hub", "v"], "left_semi")
+    side = lambda x: needed.select(F.col("v").alias(x), "hub", F.col("n").alias("n" + x), F.col("d").alias("h" + x))
+    return to_hub.unionByName(_linked(pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
 
 
 def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
