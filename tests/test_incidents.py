@@ -211,3 +211,13 @@ def test_streaming(spark, tmp_path):
     d.write.parquet(str(tmp_path / "in"))
     live = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     assert thread_sessions(live).isStreaming and inherited_traces(live).columns == ["seq", "thread", "trace_id"]
+
+
+def test_rules_exported_and_validated(tmp_path, capsys):
+    made = tmp_path / "new" / "rules.yaml"
+    assert cli(["rules", "--export", str(made)]) == 0
+    assert parse_rules(made.read_text(encoding="utf-8")) == builtin_rules()
+    assert cli(["rules", "--validate", str(made)]) == 0 and "55 rules" in capsys.readouterr().out
+    made.write_text("rules:\n- {name: x, when: {}}\n", encoding="utf-8")
+    assert cli(["rules", "--validate", str(made)]) == 1
+    assert cli(["rules", "--validate", str(tmp_path / "none.yaml")]) == 1

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import os
+import shutil
 import sys
 from dataclasses import replace
 
@@ -15,7 +17,7 @@ from .operators.text_patterns import text_fields
 from .plans.analysis import analyze_files, analyze_text
 from .reports.model import collect
 from .reports.writers import WRITERS, to_prompt
-from .rules.model import in_order, load_rules
+from .rules.model import BUILTIN, in_order, load_rules
 from .sources.files import MASKS, expand
 
 
@@ -45,6 +47,8 @@ def _arguments() -> argparse.ArgumentParser:
     r = sub.add_parser("rules")
     r.add_argument("--rules", action="append", default=[])
     r.add_argument("--no-builtin-rules", action="store_true")
+    r.add_argument("--export")
+    r.add_argument("--validate")
     q = sub.add_parser("patterns")
     q.add_argument("line")
     return p
@@ -61,6 +65,14 @@ def run(argv: list[str]) -> int:
         return 1 if e.code else 0
     try:
         if a.command == "rules":
+            if a.export:
+                os.makedirs(os.path.dirname(os.path.abspath(a.export)), exist_ok=True)
+                shutil.copyfile(BUILTIN, a.export)
+                print(f"built-in rules written to {os.path.abspath(a.export)}")
+                return 0
+            if a.validate:
+                print(f"{a.validate} is valid, {len(load_rules((a.validate,), False))} rules")
+                return 0
             for r in in_order(load_rules(tuple(a.rules), not a.no_builtin_rules)):
                 print(f"{r.priority:>4} {r.name:<28} {r.description or ''}")
             return 0

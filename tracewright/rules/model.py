@@ -13,6 +13,7 @@ ANNOTATIONS = (
     "EXCEPTION ERROR WARNING RETRY EXTERNAL_CALL TIMEOUT SLOW DATABASE MESSAGING CACHE SECURITY CONFIGURATION RESOURCE RESILIENCE "
     "TRANSACTION VALIDATION HTTP_CLIENT_ERROR HTTP_SERVER_ERROR LIFECYCLE INFO"
 ).split()
+BUILTIN = os.path.join(os.path.dirname(__file__), "builtin.yaml")
 KINDS = ["LOG", "EXCEPTION", "HTTP_REQUEST", "HTTP_RESPONSE", "UNPARSED"]
 
 
@@ -126,7 +127,7 @@ def parse_rules(text: str, origin: str = "rules") -> list[Rule]:
 
 
 def builtin_rules() -> list[Rule]:
-    with open(os.path.join(os.path.dirname(__file__), "builtin.yaml"), encoding="utf-8") as f:
+    with open(BUILTIN, encoding="utf-8") as f:
         return parse_rules(f.read(), "builtin")
 
 
