@@ -13,7 +13,7 @@ from tracewright.config import Correlation, Timeline
 from tracewright.operators.correlate import correlate
 from tracewright.operators.filters import filter_events
 from tracewright.operators.timeline import build_entries, merge_repeats, timelines
-from tracewright.plans.analysis import analyze_text
+from tracewright.plans.analysis import analyze_events, analyze_text
 from tracewright.reports.model import collect
 from tracewright.reports.writers import WRITERS
 from tracewright.rules.compile import apply_rules, preceded, rule_hits
@@ -221,3 +221,9 @@ def test_rules_exported_and_validated(tmp_path, capsys):
     made.write_text("rules:\n- {name: x, when: {}}\n", encoding="utf-8")
     assert cli(["rules", "--validate", str(made)]) == 1
     assert cli(["rules", "--validate", str(tmp_path / "none.yaml")]) == 1
+
+
+def test_another_analyzer(spark):
+    mine = lambda entries, rules, given: entries.where("is_error").select("corr_key", F.lit("mine").alias("title"))
+    found = analyze_events(events(spark, [(0, {"trace_id": "t", "level": "ERROR"}), (1, {"trace_id": "u"})]), rules=[], analyzer=mine)
+    assert [tuple(r) for r in found.causes.collect()] == [("t", "mine")]

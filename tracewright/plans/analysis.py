@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -42,14 +43,15 @@ def event_summary(events: DataFrame) -> DataFrame:
     )
 
 
-def analyze_events(events: DataFrame, config: Config = Config(), rules: list[Rule] | None = None, warnings: DataFrame | None = None) -> Analysis:
+def analyze_events(events: DataFrame, config: Config = Config(), rules: list[Rule] | None = None, warnings: DataFrame | None = None, analyzer: Callable[..., DataFrame] = root_causes) -> Analysis:
+    """analyzer(entries with hits, rules, settings) gives the causes; another one may be put in."""
     rules = load_rules(config.rules.files, config.rules.builtin) if rules is None else rules
     # read by every table below; kept, so that parsing and windows run once and later plans stay small
     events = events.persist(StorageLevel.MEMORY_AND_DISK)
     entries = apply_rules(build_entries(correlate(events, config.correlation), config.timeline), rules).persist(StorageLevel.MEMORY_AND_DISK)
     spans = timelines(entries)
     summary = event_summary(events).crossJoin(spans.agg(F.count("*").alias("timelines"), F.count_if("is_failed").alias("failed_timelines")))  # one row each
-    return Analysis(events, entries, spans, rule_hits(entries, rules), root_causes(entries, rules, config.analysis), summary, warnings)
+    return Analysis(events, entries, spans, rule_hits(entries, rules), analyzer(entries, rules, config.analysis), summary, warnings)
 
 
 def analyze_lines(lines: DataFrame, config: Config = Config(), rules: list[Rule] | None = None, warnings: DataFrame | None = None, since: str | None = None, until: str | None = None, min_level: str | None = None) -> Analysis:
