@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: The word class of the contracts: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,14 +38,45 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends, losing executors costs nothing."""
+def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """df as a table at path.  Its shuffle files go when the table stands, as nothing reads them again."""
     spark = df.sparkSession
-    path = scratch(spark)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_END, before) if before else spark.conf.unset(SHUFFLES_END)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends, losing executors costs nothing."""
+    return _written(df, scratch(df.sparkSession), **options)
+
+
+class Tables:
+    """Named tables of one computation, stored in one folder; drop() removes those that no later step reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, scratch(spark)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        return _written(df, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.folder}/{name}")
+
+    def drop_all(self) -> None:
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(context._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python some megabytes at a time, however long they are.  A setting of the user's own stays."""
     if spark.conf.get(BATCH_BYTES) == "67108864b":  # Spark's default

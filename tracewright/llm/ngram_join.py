@@ -24,13 +24,14 @@ named by its smallest doc_id (null if all are).
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import Tables, stored, texts
 
 BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 LONG = 32  # entries of a list that DivideSkip may leave out
@@ -147,7 +148,7 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(none + [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([chunks[k].tobytes()], pa.binary())], names)
 
     keyed = texts(docs).withColumn("text_key", F.xxhash64("text"))
-    return stored(keyed.mapInArrow(run, "doc_id long, n long, v long, text_key long, chunk int, part int, counts binary"))
+    return keyed.mapInArrow(run, "doc_id long, n long, v long, text_key long, chunk int, part int, counts binary")
 
 
 def _levels(read: DataFrame) -> np.ndarray:
@@ -330,36 +331,42 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> Da
     return both.mapInArrow(run, "v long, hub long, n long, m long, t long, linked boolean, head array<long>, d binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, c): every vertex of links(a, b) with the smallest vertex of its component, by alternating stars."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).where("u <> w").distinct())
+def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """(v, c): every vertex of links(a, b) with the smallest vertex of its component, by alternating stars.  The last of the tables, name and its number, stays."""
+    edges = tables.keep(f"{name}0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).where("u <> w").distinct())
     before = None
-    while True:
+    for step in itertools.count(1):
         sides = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         low = sides.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
         large = sides.join(low, "u").where("w > u").select(F.col("w").alias("u"), F.col("m").alias("w")).distinct()
         low = large.groupBy("u").agg(F.min("w").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("w <> m").select(F.col("w").alias("u"), F.col("m").alias("w")).unionByName(low.select("u", F.col("m").alias("w")))
-        edges = stored(small.where("u <> w").distinct())
+        edges = tables.keep(f"{name}{step}", small.where("u <> w").distinct())
+        tables.drop(f"{name}{step - 1}")
         now = tuple(edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("w").cast("decimal(38,0)")), F.count_distinct("u")).first())
         if now == before and now[0] == now[3]:
             return edges.select(F.col("u").alias("v"), F.col("w").alias("c")).unionByName(edges.select(F.col("w").alias("v"), F.col("w").alias("c")).distinct())
         before = now
 
 
-def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent: int, table) -> DataFrame:
-    """Links (a, b) between different components of known(v, c) among the members of the lists shared(shingle, v, n, score)."""
-    placed = stored(shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v")))
+def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent: int, table, tables: Tables) -> DataFrame:
+    """Links (a, b) between different components of known(v, c) among the members of the lists shared(shingle, v, n, score).
+
+    Drops the tables shared and sets; the links read its own, pairs and diffs.
+    """
+    placed = tables.keep("placed", shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v")))
+    tables.drop("shared")
     lists = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max(F.struct("score", "v"))["v"].alias("hub")).where("x <> y")
     members = placed.join(lists.select("shingle", "hub"), "shingle").where("v <> hub").select("v", "hub").distinct()
-    diffs = stored(_differences(members, sets, percent, table))
+    diffs = tables.keep("diffs", _differences(members, sets, percent, table))
+    tables.drop("placed", "sets")
     to_hub = diffs.where("linked").select(F.col("v").alias("a"), F.col("hub").alias("b"))
 
     # inverted lists of the differences' heads
     heads = diffs.join(known, "v", "left").select("v", "hub", "n", "m", "t", "linked", F.coalesce("c", "v").alias("c"), F.posexplode("head").alias("at", "shingle"))
     sizes = heads.groupBy("hub", "shingle").agg(F.count("*").alias("df")).where("df > 1")
-    lists = stored(heads.join(sizes, ["hub", "shingle"]))
+    lists = tables.keep("heads", heads.join(sizes, ["hub", "shingle"]))
     long_first = Window.partitionBy("hub", "v").orderBy(F.desc("df"), "shingle")
     probes = lists.withColumn("skipped", (F.col("df") > LONG) & (F.row_number().over(long_first) < F.col("t")))
     probes = probes.withColumn("need", F.col("t") - F.count_if("skipped").over(Window.partitionBy("hub", "v"))).where("NOT skipped")
@@ -372,7 +379,8 @@ def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent:
     apart = (F.col("p.c") != F.col("q.c")) & ~(F.col("p.linked") & F.col("q.linked"))
     met = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.shingle") == F.col("q.shingle"))).where(apart & order & _fits(F.col("p.n"), F.col("q.n"), percent) & reached("p") & reached("q"))
     pairs = met.groupBy(F.col("p.hub").alias("hub"), F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max("p.need").alias("need")).where("times >= need")
-    pairs = stored(pairs.select("hub", "a", "b"))
+    pairs = tables.keep("pairs", pairs.select("hub", "a", "b"))
+    tables.drop("heads")
     # pairs are few beside members, so only differences that some pair needs are dealt
     asked = pairs.select("hub", F.col("a").alias("v")).unionByName(pairs.select("hub", F.col("b").alias("v")))
     needed = diffs.select("v", "hub", "n", "d").join(asked, ["hub", "v"], "left_semi")
@@ -380,35 +388,41 @@ def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent:
     return to_hub.unionByName(_linked(pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
 
 
-def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tables: Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id; text_key (xxhash64 of the text), which tells rows of one doc_id apart; and group_id, one number a component, null for empty sets."""
     spark = docs.sparkSession
-    read = _read(docs, size)
+    tables = tables or Tables(spark)
+    read = tables.keep("read", _read(docs, size))
     table = spark.sparkContext.broadcast(_levels(read))
     rows = read.where(F.col("chunk").isNull()).select("doc_id", "n", "v", "text_key")
     named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.min("text_key").alias("text_key"))
 
     by_shingle = Window.partitionBy("shingle", "salt")  # hot ones are taken as shared
     lists = _lists(docs, size, percent, table).withColumns({"x": F.min("v").over(by_shingle), "y": F.max("v").over(by_shingle)})
-    shared = stored(lists.where("x <> y OR salt > 0").dropDuplicates(["shingle", "salt", "v"]).select("shingle", "v", "n", "score"))
+    shared = tables.keep("lists", lists.where("x <> y OR salt > 0").dropDuplicates(["shingle", "salt", "v"]).select("shingle", "v", "n", "score"))
     # a set that shares fewer than T of its shingles with any other has no link
     able = shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n")).where(F.col("lists") >= F.greatest(F.floor(F.col("n") / 50), F.lit(1))).select("v")
-    shared = stored(shared.join(able, "v"))
-    sets = stored(_sets(docs, size, stored(named.join(shared.select("v").distinct(), "v").select("text_key", "v"))))
+    shared = tables.keep("shared", shared.join(able, "v"))
+    tables.drop("lists")
+    wanted = tables.keep("wanted", named.join(shared.select("v").distinct(), "v").select("text_key", "v"))
+    sets = tables.keep("sets", _sets(docs, size, wanted))
+    tables.drop("wanted")
 
     # one partner each: of its lists' first members the one met most often
     first = shared.groupBy("shingle").agg(F.max(F.struct("score", "v", "n")).alias("hub"))
     met = shared.join(first, "shingle").where(_fits(F.col("n"), F.col("hub.n"), percent) & (F.col("v") != F.col("hub.v")))
     met = met.groupBy("v", F.col("hub.v").alias("hub")).agg(F.count("*").alias("times"), F.max("n").alias("n"), F.max("hub.n").alias("hub_n"))
-    partner = stored(met.groupBy("v").agg(F.max(F.struct("times", "hub", "n", "hub_n")).alias("k")).select(F.col("v").alias("a"), F.col("k.hub").alias("b"), F.col("k.n").alias("na"), F.col("k.hub_n").alias("nb")))
+    partner = tables.keep("partner", met.groupBy("v").agg(F.max(F.struct("times", "hub", "n", "hub_n")).alias("k")).select(F.col("v").alias("a"), F.col("k.hub").alias("b"), F.col("k.n").alias("na"), F.col("k.hub_n").alias("nb")))
     side = lambda x: sets.select(F.col("v").alias(x), F.col("h").alias("h" + x))
-    known = stored(components(_linked(partner.join(side("a"), "a").join(side("b"), "b"), percent)))
+    known = tables.keep("known", components(_linked(partner.join(side("a"), "a").join(side("b"), "b"), percent), tables, "star"))
+    tables.drop("partner")
 
     # all other links, as links between components
-    more = _through_hubs(shared, known, sets, percent, table)
+    more = _through_hubs(shared, known, sets, percent, table, tables)
     for x in ("a", "b"):
         more = more.join(known.select(F.col("v").alias(x), F.col("c").alias("c" + x)), x, "left")
-    joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select("v", F.col("c").alias("whole"))
+    joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), tables, "whole").select("v", F.col("c").alias("whole"))
+    tables.drop("pairs", "diffs")
 
     named = named.join(known, "v", "left").select("v", "name", F.coalesce("c", "v").alias("c"))
     named = named.join(joined.withColumnRenamed("v", "c"), "c", "left").select("v", "name", F.coalesce("whole", "c").alias("c"))
@@ -430,12 +444,14 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Documents without shingles are in no group and stay.  Equal rows (same doc_id and text) count once, but those of empty
     sets without doc_id all stay.
     """
-    found = similarity_components(docs, size, percent)
+    tables = Tables(docs.sparkSession)
+    found = similarity_components(docs, size, percent, tables)
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     keys = found.select("doc_id", "text_key", "group_id").groupBy("group_id", "doc_id", "text_key").agg(F.count("*").alias("copies"))
     first = keys.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct(row.alias("row"), "copies")).alias("k")).select("k.row.doc_id", "k.row.text_key", "k.copies")
     alone = keys.where("group_id IS NULL").select("doc_id", "text_key", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("copies")).alias("copies"))
-    kept = stored(first.unionByName(alone)).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "copies")
+    kept = stored( first.unionByName(alone)).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "copies")
+    tables.drop_all()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
     repeated = rows.where("copies > 1").dropDuplicates(["id", "key"])  # few, so few texts are shuffled twice
