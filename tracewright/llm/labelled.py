@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +14,8 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[tuple[str, int, int]], float]:
-    """(text, label, doc_id) of up to per_class texts of each class, those with the smallest md5 of doc_id, and the share of class 1 among all usable labels.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, float]:
+    """(text, y, doc_id) of up to per_class texts of each class, those with the smallest md5 of doc_id, in order; and the share of class 1 among all usable labels.
 
     Labels are picked first, so only the texts of at most 2 * per_class rows move (a broadcast of that proven size).
     """
@@ -27,7 +30,26 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
         .orderBy("doc_id", "text", "y")
         .limit(4 * per_class)  # repeated doc_ids cannot make it longer without bound
         .select("text", "y", "doc_id")
-        .collect()
     )
     total = counts.get(0, 0) + counts.get(1, 0)
-    return [(r["text"], r["y"], r["doc_id"]) for r in rows], (counts.get(1, 0) / total if total else 0.5)
+    return rows, (counts.get(1, 0) / total if total else 0.5)
+
+
+def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[list[tuple[str, int, int]], float]:
+    """The sample as a list, and the share of class 1."""
+    rows, share = sample(docs, labels, label, per_class)
+    return [(r["text"], r["y"], r["doc_id"]) for r in rows.collect()], share
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable) -> bytes:
+    """fit(rows, share) of the sample, pickled.  The sample's size is bounded, so one task fits it; the driver sees the model's bytes alone."""
+    rows, share = sample(docs, labels, label, per_class)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held, share))], pa.binary())], ["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return bytes(found["model"]) if found else pickle.dumps(fit([], share))  # an empty sample has no task

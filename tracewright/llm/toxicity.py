@@ -20,6 +20,7 @@ neighbours go to the earlier example.  Repeated rows: one result each.  Other co
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, texts
-from .labelled import examples, held_out
+from .labelled import fitted, held_out
 from .ngram_join import shingle_set
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -230,11 +231,12 @@ class NearestExamples:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic_neighbours, best_cosine, neighbours (doc_ids of the nearest examples, nearest first)."""
-    model = NearestExamples(*examples(docs, labels, "toxic", per_class), k)
+    data = fitted(docs, labels, "toxic", per_class, lambda rows, share: NearestExamples(rows, share, k))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        model = pickle.loads(data)
         for batch in batches:
             found = list(model.score_column(batch.column(1)))
             scores = [s for s, _ in found]
@@ -256,13 +258,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, all columns as they are."""
-    model = NearestExamples(*examples(docs, labels, "toxic", per_class), k)
+    data = fitted(docs, labels, "toxic", per_class, lambda rows, share: NearestExamples(rows, share, k))
     at = docs.columns.index("text")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        model = pickle.loads(data)
         for batch in batches:
             yield batch.filter(pa.array([s < threshold for s, _ in model.score_column(batch.column(at))], pa.bool_()))
 
