@@ -84,3 +84,18 @@ def test_odd_rows(odd_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "None"])
     assert similarity_components(odd_docs.limit(0), 3, 90).count() == 0
+
+
+def test_tables_are_dropped_and_the_setting_comes_back(spark, tmp_path):
+    from tracewright.llm.common import SHUFFLES_END, Tables
+
+    before = spark.conf.get(SHUFFLES_END, None)
+    tables = Tables(spark)
+    tables.folder = f"file://{tmp_path}/t"
+    assert tables.keep("a", spark.range(3).groupBy("id").count()).count() == 3
+    tables.keep("b", spark.range(2))
+    assert spark.conf.get(SHUFFLES_END, None) == before
+    tables.drop("a")
+    assert [p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")] == ["b"]
+    tables.drop_all()
+    assert not (tmp_path / "t").exists()
