@@ -11,6 +11,7 @@ from . import mixture as mixing
 from . import license_scan as licenses
 from . import norm_buckets
 from .ngram_join import similarity_components
+from .periodic_runs import collapse_runs, cycled
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encode_documents
@@ -60,6 +61,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_runs(table(spark, sf_dir, "documents"), least=6, periods=4, taken=cycled)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op4_ngram_join, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier, pipeline)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op4_ngram_join, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier, op11_periodic_runs, pipeline)}
 
 
 def oracles() -> dict[str, str]:
