@@ -15,6 +15,7 @@ from .periodic_runs import collapse_runs, cycled
 from .quality_classifier import score_quality
 from .quality_rules import quality_rules
 from .sentencepiece_bpe import encode_documents
+from .substring_dedup import substring_dedup
 from .token_counts import count_tokens
 from .token_shards import token_shards
 from .toxicity import score_toxicity
@@ -65,6 +66,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_runs(table(spark, sf_dir, "documents"), least=6, periods=4, taken=cycled)
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op4_ngram_join, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier, op11_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_license_scan, op3_norm_buckets, op4_ngram_join, op5_token_counts, op6_token_shards, op7_mixture, op8_quality_rules, op9_toxicity, op10_quality_classifier, op11_periodic_runs, op12_substring_dedup, pipeline)}
 
 
 def oracles() -> dict[str, str]:
