@@ -162,7 +162,7 @@ def window_cells(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 own = left[cuts[b] : cuts[b + 1]]
                 met = np.zeros(len(parts), bool)
                 met[doc[own]] = True
-                sent.append(Cell.of(names[met], ties[met], begin[met], np.diff(h[own], prepend=np.uint64(0)), more[own], at[own]))
+                sent.append(Cell.of(names[met], ties[met], begin[met], h[own[:1]], np.diff(h[own], prepend=h[own[0]]), more[own], at[own]))
                 to.append(b)
             settled = [True] * len(behind[:1]) + [False] * (len(sent) - len(behind[:1]))
             return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([chunk] * len(sent), pa.int64()), pa.array(settled, pa.bool_()), pa.array(sent, pa.binary())], ["bucket", "chunk", "settled", "cell"])
@@ -245,7 +245,7 @@ def later_windows(cells: DataFrame) -> DataFrame:
                     yield reply([chunk], [cell])
                     continue
                 x = Cell.read(cell)
-                x[3] = np.cumsum(x[3])
+                x[3:5] = [x[3] + np.cumsum(x[4])]
                 x[4], x[5] = x[4].astype(np.uint32), x[5].astype(np.uint32) if x[5].max() < 1 << 32 else x[5]
                 chunks.append(chunk)
                 held.append(x)
