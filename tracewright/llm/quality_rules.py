@@ -1,21 +1,24 @@
 """Quality rules: counts of the text itself, and its distance from language references.
 
 References: over all documents that pass the base rules, for each language, the histogram of character classes and that of
-its most common short words.  A reference counts if its language is large, or if it looks like a language: its classes are near
-those of one that counts, and it has common words at all; so junk under a tag of its own is no reference for itself.  Verdict of
-the method: the Jensen-Shannon divergences (base 2, 0 to 1) of a document's two histograms from one and the same reference, the
-nearest by both together; above the limit on either one the document is not kept.  Documents below a minimum length have too
-few words for a histogram and are judged by the counts alone.
-
-The references are one row a language, built by partial sums in each task; they travel to the second pass as a
-small model (at most `most_languages` rows, the largest languages).  Documents of any other language are compared with those
-and with the reference of their own language, which a shuffle join by language brings to them.
-
+its common short words.  Whether a language's reference counts is seen from its own documents alone, whatever its script and its share of
+the corpus: short words made of letters that recur over many of
+them make up a part of what they say.  So junk under a tag of its own is no reference for itself, however much of
+it there is.  Verdict of the method: the Jensen-Shannon divergences (base 2, 0 to 1) of a document's two histograms from one
+and the same reference, the nearest by both together; above the limit on either one the document is not kept.  Documents
+below a minimum length have too few words for a histogram, and languages with few documents have no reference to be held against; both
+are judged by the counts alone, unless another reference is near.
+
+A document is compared with the `most_languages` largest references that count and with that of its own language.  The former are a small
+model; a language beyond them brings its reference by a shuffle join.  The definition is one and the same.
+
+Words of scripts that put no spaces between them count character by character in the histograms.
 Null text: no words.  Null lang: a language of its own.  Repeated rows: one result each.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -40,10 +43,11 @@ class Limits:
     most_class_divergence: float = 0.10
     most_word_divergence: float = 0.22
     common_share: float = 0.003  # of its language's words; so at most 333 words a language are common
-    short: int = 6  # bytes of a word that may be a common one
+    short: int = 6  # characters of a word that may be a common one
     most_languages: int = 256
-    large_share: float = 0.05  # of all characters makes a language large
-    least_common: float = 0.1  # share of the common words in any other language
+    least_documents: int = 20  # of a language that is to have a reference
+    recurring: float = 0.05  # of its language's documents hold a word that recurs
+    least_common: float = 0.1  # of a language's words are common ones that recur and are made of letters
     held_words: int = 200_000  # distinct words a task counts before it hands the counts on
 
 
@@ -104,14 +108,59 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip((a + b) / 2, 0.0, 1.0)
 
 
+#: Blocks of scripts that put no spaces between words (Thai and Lao, Burmese, Khmer, kana, Han).
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
+
+
+def tokens(text: str, words: list[bytes], limits: Limits) -> list[bytes]:
+    """The words in small letters; longer ones of scripts without spaces as their characters."""
+    low = [w.lower() for w in words]
+    if text.isascii() or not UNSPACED.search(text):
+        return low
+    out = []
+    for w in low:
+        told = w.decode()
+        out += [c.encode() for c in told] if len(told) > limits.short and UNSPACED.search(told) else [w]
+    return out
+
+
+#: Words of signs alone; they are one cell of every word histogram, so that texts full of them are near no language.
+SIGNS = re.compile(r"(?<![^\x20\x09-\x0D])[^\w\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")
+
+
+def is_short(token: bytes, limits: Limits) -> bool:
+    return len(token) <= limits.short or len(token) <= 4 * limits.short and not token.isascii() and len(token.decode()) <= limits.short
+
+
+def of_letters(token: bytes) -> bool:
+    return bool(token) and int(_classes()[np.frombuffer(token.decode().encode("utf-32-le"), "<u4")].max()) <= 2
+
+
+@dataclass(frozen=True)
+class Reference:
+    classes: np.ndarray  # shares
+    words: list[bytes]
+    shares: np.ndarray  # of `words`, then of words of signs alone, then of all others
+
+    @classmethod
+    def of(cls, row: dict) -> "Reference":
+        classes = np.array(row["classes"], float)
+        words = sorted((bytes(r["word"]), r["n"]) for r in row["words"] or ())
+        shares = np.array([n for _, n in words] + [row["signs"], row["n"] - row["signs"] - sum(n for _, n in words)], float)
+        return cls(classes / max(classes.sum(), 1), [w for w, _ in words], shares / max(row["n"], 1))
+
+    def word_divergence(self, counts: dict[bytes, int], signs: int, n: int) -> float:
+        own = np.array([counts.get(w, 0) for w in self.words] + [signs, 0], float)
+        own[-1] = n - own.sum()
+        return float(divergence(own / n, self.shares[None])[0])
+
+
 @dataclass(frozen=True)
 class References:
-    words: list[bytes]  # the common words of all languages
-    classes: np.ndarray  # by language
-    shares: np.ndarray  # by language, over `words` and all others
-    langs: tuple[str, ...] = ()
-    counts: np.ndarray | None = None  # by language, whether its reference counts
-    rest: DataFrame | None = None  # lang and the reference of every language beyond `most_languages`, if there are any
+    langs: dict[str, bool]  # of the largest languages: whether one is too small for a reference
+    known: list[Reference]  # those of them that count
+    classes: np.ndarray  # of `known`
+    rest: DataFrame | None = None  # lang, counts, small and reference of every other language, if there are any
 
 
 def references(docs: DataFrame, limits: Limits = Limits()) -> References:
@@ -121,17 +170,21 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
         import pyarrow as pa
 
         counts: dict[str, Counter] = defaultdict(Counter)
+        held: dict[str, Counter] = defaultdict(Counter)  # documents that hold a word
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES, np.int64))
         totals: Counter = Counter()
-        schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("classes", pa.list_(pa.int64()))])
+        documents: Counter = Counter()
+        signs: Counter = Counter()
+        schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("d", pa.int64()), ("s", pa.int64()), ("classes", pa.list_(pa.int64()))])
 
         def handed_on():
             for lang, c in counts.items():
                 words = list(c)
                 for a in range(0, len(words), 50_000):
                     some = words[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array([c[w] for w in some], pa.int64()), pa.nulls(len(some), pa.list_(pa.int64()))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.binary()), pa.array([c[w] for w in some], pa.int64()), pa.array([held[lang][w] for w in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.int64()))], schema=schema)
             counts.clear()
+            held.clear()
 
         for batch in batches:
             for i, lang in enumerate(batch.column(0).to_pylist()):
@@ -139,68 +192,56 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> References:
                 words = text.encode().split()
                 if base_counts(words, limits)[1]:
                     continue
-                totals[lang] += len(words)
-                counts[lang].update([w.lower() for w in words if len(w) <= limits.short])
+                every = tokens(text, words, limits)
+                mine = Counter([w for w in every if len(w) <= limits.short or is_short(w, limits)])
+                totals[lang] += len(every)
+                documents[lang] += 1
+                signs[lang] += len(SIGNS.findall(text))
+                counts[lang].update(mine)
+                held[lang].update(mine.keys())
                 classes[lang] += class_counts(text)
             if sum(map(len, counts.values())) > limits.held_words:
                 yield from handed_on()
         yield from handed_on()
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64()), pa.array([classes[x].tolist() for x in totals], pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64()), pa.array([documents[x] for x in totals], pa.int64()), pa.array([signs[x] for x in totals], pa.int64()), pa.array([classes[x].tolist() for x in totals], pa.list_(pa.int64()))], schema=schema)
 
     small_batches(docs.sparkSession)
     pick = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    part = pick.mapInArrow(run, "lang string, word binary, n long, classes array<long>")
-    # word null is the language itself, with all its words and its classes
-    sums = stored(part.groupBy("lang", "word").agg(F.sum("n").alias("n"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(N_CLASSES)]))
-    langs = sums.where("word IS NULL").orderBy(F.desc("n"), "lang").limit(limits.most_languages + 1).collect()
-    more, langs = len(langs) > limits.most_languages, langs[: limits.most_languages]
-    least = {r["lang"]: max(1, r["n"] * limits.common_share) for r in langs}
-    rows = []
-    if langs:
-        bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        rows = sums.where(F.col("word").isNotNull() & (F.col("n") >= bound[F.col("lang")])).select("lang", "word", "n").collect()
-    words = sorted({bytes(r["word"]) for r in rows})
-    at = {w: i for i, w in enumerate(words)}
-    classes = np.array([[r[f"c{k}"] for k in range(N_CLASSES)] for r in langs], float).reshape(-1, N_CLASSES)
-    shares = np.zeros((len(langs), len(words) + 1))
-    index = {r["lang"]: i for i, r in enumerate(langs)}
-    for r in rows:
-        shares[index[r["lang"]], at[bytes(r["word"])]] = r["n"]
-    for i, r in enumerate(langs):
-        shares[i, -1] = r["n"] - shares[i, :-1].sum()
-    rest = _rest(sums, list(index), limits) if more else None
-    large = limits.large_share * float(sum(sums.where("word IS NULL").agg(*[F.sum(f"c{k}") for k in range(N_CLASSES)]).first())) if langs else 0.0
-    sizes = classes.sum(1)
-    classes, shares = classes / np.maximum(sizes[:, None], 1), shares / np.maximum(shares.sum(1, keepdims=True), 1)
-    counts = np.zeros(len(langs), bool)
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        counts[i] = not counts.any() or sizes[i] >= large or like_a_language(classes[i], 1 - shares[i, -1], classes[counts], limits)
-    return References(words, classes, shares, tuple(index), counts, rest)
-
-
-def like_a_language(classes: np.ndarray, common: float, known: np.ndarray, limits: Limits) -> bool:
-    """Classes near those of a reference that counts, and common words that make up a share of the text."""
-    return common >= limits.least_common and float(divergence(classes, known).min()) <= limits.most_class_divergence / 2
-
-
-def _rest(sums: DataFrame, langs: list[str], limits: Limits) -> DataFrame:
-    """lang, reference (n, classes, its at most 333 common words) of the languages not in langs."""
-    other = sums.where(~F.col("lang").isin(langs))
-    whole = other.where("word IS NULL").select("lang", F.col("n").alias("total"), F.array(*[f"c{k}" for k in range(N_CLASSES)]).alias("classes"))
-    common = other.where("word IS NOT NULL").join(whole.select("lang", "total"), "lang").where(F.col("n") >= F.greatest(F.lit(1.0), F.col("total") * limits.common_share))
-    words = common.groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    return whole.join(words, "lang", "left").select("lang", F.struct(F.col("total").alias("n"), "classes", "words").alias("reference"))
+    part = pick.mapInArrow(run, "lang string, word binary, n long, d long, s long, classes array<long>")
+    # word null is the language itself, with all its words and documents and its classes
+    sums = stored(part.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s"), *[F.sum(F.col("classes")[k]).alias(f"c{k}") for k in range(N_CLASSES)]))
+    every = _by_language(sums, limits)
+    largest = every.orderBy(F.desc("n"), "lang").limit(limits.most_languages + 1).collect()
+    more, largest = len(largest) > limits.most_languages, largest[: limits.most_languages]
+    known = [Reference.of(r["reference"].asDict()) for r in largest if r["counts"]]
+    langs = {r["lang"]: r["small"] for r in largest}
+    rest = every.where(~F.col("lang").isin(list(langs))).select("lang", "counts", "small", "reference") if more else None
+    return References(langs, known, np.array([r.classes for r in known]).reshape(-1, N_CLASSES), rest)
+
+
+def _by_language(sums: DataFrame, limits: Limits) -> DataFrame:
+    """lang, n, counts, small, reference (n, signs, classes, its common words, 333 at most) of every language."""
+    letters, signs = (F.udf(f, "boolean") for f in (lambda w: of_letters(bytes(w)), lambda w: bool(SIGNS.fullmatch(bytes(w).decode()))))  # on common words alone
+    classes = F.array(*[f"c{k}" for k in range(N_CLASSES)])
+    whole = sums.where("word IS NULL").select("lang", F.col("n").alias("total"), F.col("d").alias("documents"), F.col("s").alias("signs"), classes.alias("classes"))
+    common = sums.where("word IS NOT NULL").join(whole.select("lang", "total", "documents"), "lang").where(F.col("n") >= F.greatest(F.lit(1.0), F.col("total") * limits.common_share)).where(~signs("word"))
+    recurring = letters("word") & (F.col("d") >= F.col("documents") * limits.recurring)
+    words = common.groupBy("lang").agg(F.collect_list(F.struct("word", "n")).alias("words"), F.sum(F.when(recurring, F.col("n"))).alias("lettered"))
+    d = whole.join(words, "lang", "left")
+    small = F.col("documents") < limits.least_documents
+    counts = ~small & (F.coalesce("lettered", F.lit(0)) >= limits.least_common * F.col("total"))
+    return d.select("lang", F.col("total").alias("n"), counts.alias("counts"), small.alias("small"), F.struct(F.col("total").alias("n"), "signs", "classes", "words").alias("reference"))
 
 
 def _with_own(docs: DataFrame, ref: References) -> DataFrame:
-    """docs; with languages beyond the model's, one column more at the end: the reference of such a document's language."""
+    """docs; with languages beyond the model's, one column more at the end: (small, reference) of such a document's language."""
     if ref.rest is None:
         return docs
     name = "_reference"
     while name in docs.columns:
         name += "_"
     key = F.coalesce(docs["lang"].cast("string"), F.lit(""))
-    rest = ref.rest.select(F.col("lang").alias(name + "lang"), F.col("reference").alias(name))
+    rest = ref.rest.select(F.col("lang").alias(name + "lang"), F.struct("counts", "small", "reference").alias(name))
     first = key.isin(list(ref.langs))
     far = docs.where(~first).join(rest, key == rest[name + "lang"], "left").select(*[docs[c] for c in docs.columns], rest[name])
     return docs.where(first).withColumn(name, F.lit(None).cast(rest.schema[name].dataType)).union(far)
@@ -209,7 +250,23 @@ def _with_own(docs: DataFrame, ref: References) -> DataFrame:
 COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_divergence double, word_divergence double"
 
 
-def judge(text: str, ref: References, limits: Limits, mine: dict | None = None) -> tuple:
+def nearest(classes: np.ndarray, counts: dict[bytes, int], signs: int, n: int, ref: References, own: Reference | None, limits: Limits) -> tuple[float, float] | None:
+    """Both divergences from the reference where the larger of them, each by its limit, is the least."""
+    found = list(zip(divergence(classes, ref.classes).tolist(), ref.known, strict=True)) if ref.known else []
+    if own:
+        found.append((float(divergence(classes, own.classes[None])[0]), own))
+    best, least = None, np.inf
+    for by_class, r in sorted(found, key=lambda x: x[0]):
+        if by_class / limits.most_class_divergence >= least:
+            break  # no later one can be nearer
+        by_word = r.word_divergence(counts, signs, n)
+        far = max(by_class / limits.most_class_divergence, by_word / limits.most_word_divergence)
+        if far < least:
+            best, least = (by_class, by_word), far
+    return best
+
+
+def judge(text: str, lang: str, ref: References, limits: Limits, mine: dict | None = None) -> tuple:
     data = text.encode()
     words = data.split()  # the six ASCII white-space bytes
     n = len(words)
@@ -218,27 +275,16 @@ def judge(text: str, ref: References, limits: Limits, mine: dict | None = None)
     repeated, failed = base_counts(words, limits)
     by_class = by_word = None
     kept = not failed
-    if n >= limits.histogram_words and len(ref.classes):
+    if n >= limits.histogram_words:
         classes = class_counts(text)
-        classes = classes / classes.sum()
-        counts = Counter(data.lower().split())
-        own = np.array([counts[w] for w in ref.words] + [0], float)
-        own[-1] = n - own.sum()
-        known = ref.classes[ref.counts]
-        pairs = np.stack([divergence(classes, known), divergence(own / n, ref.shares[ref.counts])])
-        if mine:
-            c = np.array(mine["classes"], float)
-            c /= max(c.sum(), 1)
-            share = {bytes(r["word"]): r["n"] for r in mine["words"] or ()}
-            if like_a_language(c, sum(share.values()) / max(mine["n"], 1), known, limits):
-                own = np.array([counts[w] for w in share] + [0], float)
-                own[-1] = n - own.sum()
-                theirs = np.array([*share.values(), mine["n"] - sum(share.values())], float)
-                # words that the model's references have and this one has not count as others here
-                pairs = np.column_stack([pairs, [divergence(classes, c), divergence(own / n, theirs / max(mine["n"], 1))]])
-        limit = np.array([[limits.most_class_divergence], [limits.most_word_divergence]])
-        by_class, by_word = pairs[:, np.argmin((pairs / limit).max(0))].tolist()
-        kept = kept and by_class <= limits.most_class_divergence and by_word <= limits.most_word_divergence
+        every = tokens(text, words, limits)
+        own = Reference.of(mine["reference"]) if mine and mine["counts"] else None
+        near = nearest(classes / classes.sum(), Counter(every), len(SIGNS.findall(text)), len(every), ref, own, limits)
+        if near:
+            by_class, by_word = near
+        small = mine["small"] if mine else ref.langs.get(lang, True)
+        inside = near is not None and by_class <= limits.most_class_divergence and by_word <= limits.most_word_divergence
+        kept = kept and (inside or small)
     return n, chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated, failed, kept, by_class, by_word
 
 
@@ -259,24 +305,24 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), ref: References |
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         names = [c.split()[0] for c in COLUMNS.split(", ")]
         for batch in batches:
-            cols = list(zip(*(judge(t.as_py(), ref, limits, own) for t, own in zip(batch.column(1), _own(batch, 2))), strict=True)) or [[]] * len(types)
+            cols = list(zip(*(judge(t.as_py(), lang, ref, limits, own) for t, lang, own in zip(batch.column(1), batch.column(2).to_pylist(), _own(batch, 3))), strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
-    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *docs.columns[width:])
+    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), *docs.columns[width:])
     return pick.mapInArrow(run, COLUMNS)
 
 
 def without_rejected(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of docs that are kept, all columns as they are."""
     ref = references(docs, limits)
-    at, width, schema = docs.columns.index("text"), len(docs.columns), docs.schema
+    at, lang_at, width, schema = docs.columns.index("text"), docs.columns.index("lang"), len(docs.columns), docs.schema
     docs, ref = _with_own(docs, ref), replace(ref, rest=None)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            kept = [judge(t.as_py() or "", ref, limits, own)[6] for t, own in zip(batch.column(at), _own(batch, width))]
+            kept = [judge(t.as_py() or "", str(lang if lang is not None else ""), ref, limits, own)[6] for t, lang, own in zip(batch.column(at), batch.column(lang_at).to_pylist(), _own(batch, width))]
             yield batch.select(list(range(width))).filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
