@@ -149,10 +149,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.log").write_text("10:00:00 INFO a.B - привет\n", encoding="utf-8")
     (tmp_path / "a.txt").write_bytes(b"\xff\xfe broken")
     (tmp_path / "c.json").write_text("")
-    paths = expand([str(tmp_path)])
+    paths = expand([str(tmp_path)], spark=spark)
     assert [p[-5:] for p in paths] == ["a.txt", "b.log", ".json"]
     lines, warnings = from_files(spark, paths)
     assert [r["line"] for r in lines.collect()] == ["10:00:00 INFO a.B - привет"]
     assert sorted(r["warning"] for r in warnings.collect()) == ["cannot be decoded as UTF-8", "empty file"]
     with pytest.raises(FileNotFoundError):
-        expand([str(tmp_path / "none.log")])
+        expand([str(tmp_path / "none.log")], spark=spark)

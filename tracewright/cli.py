@@ -90,7 +90,7 @@ def run(argv: list[str]) -> int:
         )
         filters = {"since": a.since, "until": a.until, "min_level": a.min_level and a.min_level.upper()}
         if a.input:
-            paths = expand(a.input, tuple(a.include or MASKS), a.recursive)
+            paths = expand(a.input, tuple(a.include or MASKS), a.recursive, spark)
             found = analyze_files(spark, paths, c, **filters)
         else:
             text = sys.stdin.read() if a.stdin else a.text

@@ -24,6 +24,7 @@ class Parse:
     extract_from_message: bool = True
     max_events: int = 0
     max_multiline_lines: int = 2000
+    block_lines: int = 0  # lines of a file that are put together in one task; 0: all
 
     def day(self) -> str:
         return self.default_date or date.today().isoformat()
@@ -38,6 +39,7 @@ class Correlation:
     additional_keys: tuple[str, ...] = ()
     fallback_to_file: bool = True
     min_events_per_timeline: int = 0
+    block_seconds: int = 0  # stretch of a thread's time that one task looks through; 0: all of it
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,8 @@ class Timeline:
     slow_ms: int = 1000
     link_http: bool = True
     suspicious_gap_seconds: int = 5
+    block_seconds: int = 0  # stretch of a timeline that one task looks through; 0: all of it
+    block_entries: int = 0  # entries of a timeline likewise
 
 
 @dataclass(frozen=True)
@@ -62,6 +66,7 @@ class Analysis:
     max_alternatives: int = 3
     application_packages: tuple[str, ...] = ()
     detect_cascade: bool = True
+    block_entries: int = 0  # entries of a timeline that one task looks through; 0: all
 
 
 @dataclass(frozen=True)

@@ -8,24 +8,31 @@ not; an undated row counts as no pause; only traces and requests are context; ow
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Correlation
 from ..functions.levels import is_error
+from .scan import cuts, whole
 
 
 def in_time() -> list[Column]:
-    return [F.col("ts").asc_nulls_last(), F.col("seq").asc()]
+    return [F.col("ts").isNull(), F.col("ts"), F.col("seq")]
+
+
+def by_time(seconds: int) -> Column | None:
+    """Blocks of a scan in time order; undated rows come last."""
+    return F.coalesce(F.floor(F.unix_micros("ts") / (seconds * 1_000_000)), F.lit((1 << 63) - 1)) if seconds else None
 
 
 def _key(kind: str, key: Column) -> Column:
     return F.when(key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.alias("key")))
 
 
-def _longer(by: Window, seconds: int) -> Column:
-    """The pause before this row is longer than the limit."""
-    return F.coalesce(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by)) > seconds * 1_000_000, F.lit(False)).cast("int")
+def _pauses(rows: DataFrame, key: list[str], seconds: int, name: str, block: Column | None, alive: tuple[str, Column] | None = None) -> DataFrame:
+    """Adds how many pauses longer than the limit lie before a row, and the last value that is still alive."""
+    longer = lambda now, before: now["us"] - before["us"] > seconds * 1_000_000
+    return cuts(rows, key, in_time(), longer, {"us": F.unix_micros("ts")}, block, name, alive)
 
 
 def own_key(settings: Correlation) -> Column:
@@ -39,10 +46,8 @@ def with_context(events: DataFrame, settings: Correlation) -> DataFrame:
     d = events.withColumn("corr", own_key(settings))
     if not settings.inherit_trace_from_thread:
         return d
-    by_thread = Window.partitionBy("thread").orderBy(*in_time())
-    d = d.withColumn("seg", F.sum(_longer(by_thread, settings.inherit_window_seconds)).over(by_thread))
-    active = F.last("corr", ignorenulls=True).over(Window.partitionBy("thread", "seg").orderBy(*in_time()))
-    return d.withColumn("corr", F.when(F.col("thread").isNotNull(), F.coalesce("corr", active)).otherwise(F.col("corr"))).drop("seg")
+    d = _pauses(d, ["thread"], settings.inherit_window_seconds, "seg", by_time(settings.block_seconds), ("active", F.col("corr")))
+    return d.withColumn("corr", F.when(F.col("thread").isNotNull(), F.coalesce("corr", "active")).otherwise(F.col("corr"))).drop("seg", "active")
 
 
 def correlate(events: DataFrame, settings: Correlation = Correlation()) -> DataFrame:
@@ -54,17 +59,15 @@ def correlate(events: DataFrame, settings: Correlation = Correlation()) -> DataF
     if "THREAD" in settings.priority:
         left = F.col("corr").isNull() & F.col("thread").isNotNull()
         # of a thread only the rows that are left count; the others stay in partitions of their own
-        by = Window.partitionBy("thread", left).orderBy(*in_time())
-        nth = F.sum(_longer(by, settings.thread_gap_seconds)).over(by)
-        d = d.withColumn("nth", nth + 1)
+        d = _pauses(d.withColumn("left", left), ["thread", "left"], settings.thread_gap_seconds, "nth", by_time(settings.block_seconds))
+        d = d.drop("left").withColumn("nth", F.col("nth") + 1)
         name = F.when(F.col("nth") > 1, F.concat("thread", F.lit("#"), F.col("nth").cast("string"))).otherwise(F.col("thread"))
         d = d.withColumn("corr", F.coalesce("corr", _key("THREAD", F.when(F.col("thread").isNotNull(), name)))).drop("nth")
     if settings.fallback_to_file:
         d = d.withColumn("corr", F.coalesce("corr", _key("FILE", F.coalesce("source_file", F.lit("")))))
     d = d.where(F.col("corr").isNotNull()).select(*events.columns, F.col("corr.kind").alias("corr_kind"), F.col("corr.key").alias("corr_key"))
     if settings.min_events_per_timeline > 0:
-        group = Window.partitionBy("corr_kind", "corr_key")
         bad = is_error(F.col("level"), F.col("exception"), F.col("http"))
-        d = d.withColumn("n", F.count("*").over(group)).withColumn("bad", F.bool_or(bad).over(group))
+        d = whole(d, ["corr_kind", "corr_key"], {"n": F.count(F.lit(1)), "bad": F.bool_or(bad)}, bool(settings.block_seconds))
         d = d.where((F.col("n") >= settings.min_events_per_timeline) | F.col("bad")).drop("n", "bad")
     return d

@@ -16,6 +16,7 @@ from ..functions.mining import EDGE_L, EDGE_R, duration_ms, http_summary, inline
 from ..functions.stacks import exception_chain, is_header, is_stack_line
 from ..schema import HTTP, LINES, LINK
 from . import http_dump, json_records
+from .scan import Running, running
 from .text_patterns import matches, text_fields
 
 IDS = ["trace_id", "span_id", "session_id", "request_id", "user_id"]
@@ -29,28 +30,32 @@ def classify(lines: DataFrame, parse: Parse) -> DataFrame:
     return lines.withColumn("cls", cls)
 
 
-def record_starts(lines: DataFrame) -> DataFrame:
-    """Adds record_id (0 before the first record), start (this line starts it) and orphan.
+def record_starts(lines: DataFrame, block: Column | None = None) -> DataFrame:
+    """Adds record_id (0 before the first record), start (this line starts it), orphan, and pos (place of the line in its record, from 1).
 
     A JSON line inside an HTTP dump is its body.  Before the first record a line of a stack trace starts one of its own.
+    block: ranges of lines; then a file's lines go to many tasks, and what is open at the end of one range is handed to the next.
     """
-    by_file = Window.partitionBy("source_file").orderBy("line_no")
-    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.last(F.when(F.col("cls").isin("H", "P"), F.col("cls")), ignorenulls=True).over(before)
-    d = lines.withColumn("opened", opened).withColumn("start", F.col("cls").isin("H", "P") | ((F.col("cls") == "J") & ~F.coalesce(F.col("opened") == "H", F.lit(False))))
-    d = d.withColumn("earlier", F.sum(F.col("start").cast("int")).over(by_file))
-    loose = (F.col("earlier") == 0) & (is_stack_line(F.col("line")) | is_header(F.col("line")))
-    d = d.withColumn("loose", loose).withColumn("orphan", F.col("loose") & (F.coalesce(F.sum(F.col("loose").cast("int")).over(before), F.lit(0)) == 0))
-    d = d.withColumn("start", F.col("start") | F.col("orphan"))
-    return d.withColumn("record_id", F.sum(F.col("start").cast("int")).over(by_file)).drop("opened", "earlier", "loose")
+    key, order = ["source_file"], [F.col("line_no")]
+    cls, line = F.col("cls"), F.col("line")
+    d = running(lines, key, order, {"opened": Running("before", F.when(cls.isin("H", "P"), cls))}, block)
+    d = d.withColumn("start", cls.isin("H", "P") | ((cls == "J") & ~F.coalesce(F.col("opened") == "H", F.lit(False))))
+    d = d.withColumn("stacky", (is_stack_line(line) | is_header(line)).cast("int"))
+    d = running(d, key, order, {"earlier": Running("total", F.col("start").cast("int")), "stacks": Running("total", F.col("stacky"))}, block)
+    # before any record the first line of a stack trace
+    d = d.withColumn("orphan", (F.col("earlier") == 0) & (F.col("stacky") == 1) & (F.col("stacks") == 1)).withColumn("start", F.col("start") | F.col("orphan"))
+    d = running(d, key, order, {"record_id": Running("total", F.col("start").cast("int")), "begun": Running("last", F.when(F.col("start"), F.col("line_no")))}, block)
+    return d.withColumn("pos", F.col("line_no") - F.col("begun") + 1).drop("opened", "earlier", "stacky", "stacks", "begun")
+
+
+def by_lines(parse: Parse) -> Column | None:
+    return F.floor(F.col("line_no") / parse.block_lines) if parse.block_lines else None
 
 
 def assemble(lines: DataFrame, parse: Parse) -> DataFrame:
     """One row a record: source_file, file_ord, line_no of its start, cls (O: orphan, U: unparsed line), block."""
-    d = record_starts(classify(lines, parse))
-    inner = Window.partitionBy("source_file", "record_id").orderBy("line_no")
-    held = d.where("record_id > 0").withColumn("pos", F.row_number().over(inner)).where(F.col("pos") <= parse.max_multiline_lines)
-    records = held.groupBy("source_file", "file_ord", "record_id").agg(
+    d = record_starts(classify(lines, parse), by_lines(parse))
+    records = d.where((F.col("record_id") > 0) & (F.col("pos") <= parse.max_multiline_lines)).groupBy("source_file", "file_ord", "record_id").agg(
         F.min("line_no").alias("line_no"),
         F.max(F.when(F.col("start"), F.when(F.col("orphan"), "O").otherwise(F.col("cls")))).alias("cls"),
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("block"),
@@ -60,9 +65,17 @@ def assemble(lines: DataFrame, parse: Parse) -> DataFrame:
 
 
 def cut_records(lines: DataFrame, parse: Parse) -> DataFrame:
-    """Warnings of records that are longer than a record may be."""
-    d = record_starts(classify(lines, parse)).where("record_id > 0").groupBy("source_file", "record_id").agg(F.count("*").alias("n"), F.min("line_no").alias("at"))
-    return d.where(F.col("n") > parse.max_multiline_lines).select("source_file", F.format_string("record at line %d cut after %d lines", "at", F.lit(parse.max_multiline_lines)).alias("warning"))
+    """Warnings of records that are longer than a record may be, and of files with more events than are taken."""
+    d = record_starts(classify(lines, parse), by_lines(parse))
+    long = d.where("record_id > 0").groupBy("source_file", "record_id").agg(F.max("pos").alias("n"), F.min("line_no").alias("at")).where(F.col("n") > parse.max_multiline_lines)
+    found = long.select("source_file", F.format_string("record at line %d cut after %d lines", "at", F.lit(parse.max_multiline_lines)).alias("warning"))
+    if parse.max_events <= 0:
+        return found
+    # the limit is noticed when a further record begins, or at once if the last event taken is a line that is no record
+    loose = F.count_if((F.col("record_id") == 0) & (F.trim("line") != ""))
+    counts = d.groupBy("source_file").agg(loose.alias("loose"), F.max("record_id").alias("records"))
+    over = counts.where((F.col("loose") >= parse.max_events) | (F.col("loose") + F.col("records") > parse.max_events))
+    return found.unionByName(over.select("source_file", F.lit(f"the limit of {parse.max_events} events is reached, later lines are left out").alias("warning")))
 
 
 def _put(attributes: Column, key: str, value: Column) -> Column:
@@ -143,25 +156,29 @@ def read_records(records: DataFrame, parse: Parse) -> DataFrame:
     )
 
 
-def inherit_timestamps(events: DataFrame) -> DataFrame:
+def inherit_timestamps(events: DataFrame, block_lines: int = 0) -> DataFrame:
     """Undated records take the last own timestamp before them, across files; unparsed lines stay undated."""
-    ord_ = F.floor(F.col("seq") / LINES)
-    d = events.withColumn("ord", ord_)
+    d = events.withColumn("ord", F.floor(F.col("seq") / LINES))
     own = F.when(F.col("kind") != "UNPARSED", F.col("ts"))
     # what a file passes on: one row a file, so the window over them is small
     ends = d.groupBy("ord").agg(F.max_by(F.col("ts"), F.when(F.col("ts").isNotNull() & (F.col("kind") != "UNPARSED"), F.col("seq"))).alias("end"))
     ends = ends.withColumn("carried", F.last("end", ignorenulls=True).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))).select("ord", "carried")
-    inside = F.last(own, ignorenulls=True).over(Window.partitionBy("ord").orderBy("seq"))
-    d = d.join(ends, "ord").withColumn("known", F.coalesce(inside, "carried"))
+    d = running(d, ["ord"], [F.col("seq")], {"inside": Running("last", own)}, F.floor(F.col("seq") / block_lines) if block_lines else None)
+    d = d.join(ends, "ord").withColumn("known", F.coalesce("inside", "carried"))
     late = F.col("ts").isNull() & (F.col("kind") != "UNPARSED") & F.col("known").isNotNull()
     d = d.withColumn("attributes", F.when(late, _put(F.col("attributes"), "timestampInherited", F.lit("true"))).otherwise(F.col("attributes")))
     return d.withColumn("ts", F.when(late, F.col("known")).otherwise(F.col("ts"))).select(*events.columns)
 
 
+def first_events(events: DataFrame, most: int, block_lines: int = 0) -> DataFrame:
+    """The first `most` events of each file."""
+    block = F.floor(F.col("seq") / block_lines) if block_lines else None
+    return running(events, ["source_file"], [F.col("seq")], {"nth": Running("total", F.lit(1))}, block).where(F.col("nth") <= most).drop("nth")
+
+
 def parse_lines(lines: DataFrame, parse: Parse = Parse()) -> DataFrame:
     """Events of numbered lines (source_file, file_ord, line_no, line)."""
-    events = inherit_timestamps(read_records(assemble(lines, parse), parse))
-    if parse.max_events > 0:
-        by_file = Window.partitionBy("source_file").orderBy("seq")
-        events = events.withColumn("nth", F.row_number().over(by_file)).where(F.col("nth") <= parse.max_events).drop("nth")
-    return events
+    events = read_records(assemble(lines, parse), parse)
+    if parse.max_events > 0:  # an event never depends on a later one, so the rest need not be read
+        events = first_events(events, parse.max_events, parse.block_lines)
+    return inherit_timestamps(events, parse.block_lines)

@@ -11,7 +11,8 @@ from ..functions.stacks import simple_type
 from ..functions.text import one_line, shortened
 from ..rules.model import Rule, in_order
 from ..schema import RELIABILITY
-from .timeline import GROUP
+from .scan import Running, running, whole
+from .timeline import GROUP, by_entry
 
 EVIDENCE = "struct<entry_id:string,ts:string,summary:string>"
 CANDIDATE = f"struct<src:int,rule_no:int,title:string,description:string,category:string,source:string,rule:string,recommendation:string,raw:double,extra:array<{EVIDENCE}>>"
@@ -64,24 +65,22 @@ def _candidate(src: int, title: Column, description: Column, category: Column, r
 
 def candidates(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysis()) -> DataFrame:
     """One row a candidate, of timelines that have an error."""
-    group = Window.partitionBy(*GROUP)
-    ordered = group.orderBy("entry_no")
     has = F.coalesce(F.size("exception") > 0, F.lit(False)) & F.col("exception").isNotNull()
     marked = F.exists("annotations", lambda a: a["type"].isin(TRIGGERS))
     d = ruled.withColumn("ev", _evidence())
-    d = d.withColumns(
-        {
-            "prev_ev": F.lag("ev").over(ordered),
-            "fe": F.min(F.when(F.col("is_error"), F.col("entry_no"))).over(group),
-            "fe_ev": F.min_by("ev", F.when(F.col("is_error"), F.col("entry_no"))).over(group),
-            "fe_text": F.min_by("summary", F.when(F.col("is_error"), F.col("entry_no"))).over(group),
-            "le_ev": F.max_by("ev", F.when(F.col("is_error"), F.col("entry_no"))).over(group),
-            "errors": F.count_if("is_error").over(group),
-            "thrown": F.min(F.when(has, F.col("entry_no"))).over(group),
-        }
-    ).where(F.col("fe").isNotNull())
+    d = running(d, GROUP, [F.col("entry_no")], {"prev_ev": Running("previous", F.col("ev"))}, by_entry(settings.block_entries))
+    failed = F.when(F.col("is_error"), F.col("entry_no"))
+    of_all = {
+        "fe": F.min(failed),
+        "fe_ev": F.min_by("ev", failed),
+        "fe_text": F.min_by("summary", failed),
+        "le_ev": F.max_by("ev", failed),
+        "errors": F.count_if("is_error"),
+        "thrown": F.min(F.when(has, F.col("entry_no"))),
+    }
+    d = whole(d, GROUP, of_all, bool(settings.block_entries)).where(F.col("fe").isNotNull())
     near = F.when(marked & F.col("entry_no").between(F.col("fe") - 10, F.col("fe") - 1), F.col("entry_no"))
-    d = d.withColumn("trigger", F.max(near).over(group))
+    d = whole(d, GROUP, {"trigger": F.max(near)}, bool(settings.block_entries))
 
     table = [r for r in in_order(rules)]
     spec = F.array(

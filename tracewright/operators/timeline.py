@@ -11,7 +11,8 @@ from ..functions.fingerprint import fingerprint
 from ..functions.mining import http_summary
 from ..functions.stacks import simple_type
 from ..functions.text import format_duration
-from .correlate import in_time
+from .correlate import by_time, in_time
+from .scan import Running, checkpointed, cuts, running
 
 GROUP = ["corr_kind", "corr_key"]
 NOTE = "struct<type:string,label:string,rule:string>"
@@ -32,18 +33,17 @@ def first_of_each(every: Column) -> Column:
     return F.filter(every, lambda a, i: ~F.exists(F.slice(every, 1, i), lambda o: (o["type"] == a["type"]) & o["label"].eqNullSafe(a["label"])))
 
 
-def entry_window() -> Window:
-    return Window.partitionBy(*GROUP).orderBy("entry_no")
+def by_entry(entries: int) -> Column | None:
+    return F.floor((F.col("entry_no") - 1) / entries) if entries else None
 
 
 def merge_repeats(events: DataFrame, settings: Timeline = Timeline()) -> DataFrame:
     """Entries: the first event of every run of equal neighbours, with repeat_count and last_repeat_at."""
-    by = Window.partitionBy(*GROUP).orderBy(*in_time())
+    block = by_time(settings.block_seconds)
     if settings.dedup:
         d = events.withColumn("fp", fingerprint(F.col("level"), F.col("logger"), F.col("message"), F.col("exception"), F.col("http"), settings.dedup_normalize))
-        far = F.abs(F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(by))) > settings.dedup_window_seconds * 1_000_000
-        fresh = F.coalesce(F.col("fp") != F.lag("fp").over(by), F.lit(True)) | F.coalesce(far, F.lit(False))
-        d = d.withColumn("fresh", fresh.cast("int")).withColumn("entry_no", F.sum("fresh").over(by).cast("int"))
+        other = lambda now, before: ~now["fp"].eqNullSafe(before["fp"]) | F.coalesce(F.abs(now["us"] - before["us"]) > settings.dedup_window_seconds * 1_000_000, F.lit(False))
+        d = cuts(d, GROUP, in_time(), other, {"fp": F.col("fp"), "us": F.unix_micros("ts")}, block, "entry_no").withColumn("entry_no", (F.col("entry_no") + 1).cast("int"))
         place = F.struct(F.col("ts").isNull(), "ts", "seq")
         d = d.groupBy(*GROUP, "entry_no").agg(
             F.min_by(F.struct(*[c for c in events.columns if c not in GROUP]), place).alias("e"),
@@ -51,7 +51,8 @@ def merge_repeats(events: DataFrame, settings: Timeline = Timeline()) -> DataFra
             F.max_by("ts", place).alias("at"),
         )
         return d.select(*GROUP, "entry_no", "e.*", "repeat_count", F.when(F.col("repeat_count") > 1, F.col("at")).alias("last_repeat_at"))
-    return events.withColumn("entry_no", F.row_number().over(by).cast("int")).withColumns({"repeat_count": F.lit(1), "last_repeat_at": F.lit(None).cast("timestamp")})
+    d = running(events, GROUP, in_time(), {"entry_no": Running("total", F.lit(1))}, block).withColumn("entry_no", F.col("entry_no").cast("int"))
+    return d.withColumns({"repeat_count": F.lit(1), "last_repeat_at": F.lit(None).cast("timestamp")})
 
 
 def builtin_notes(settings: Timeline) -> Column:
@@ -74,32 +75,38 @@ def builtin_notes(settings: Timeline) -> Column:
     )
 
 
-def offsets(entries: DataFrame) -> DataFrame:
+def offsets(entries: DataFrame, block: Column | None = None) -> DataFrame:
     """Adds since_start_ms and since_previous_ms; undated entries have neither and are passed over."""
-    by = entry_window()
-    start = F.first("ts", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    prior = F.last(F.when(F.col("ts").isNotNull(), F.coalesce("last_repeat_at", "ts")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.when(F.col("ts").isNotNull(), F.coalesce("last_repeat_at", "ts"))
+    entries = running(entries, GROUP, [F.col("entry_no")], {"start_at": Running("first", F.col("ts")), "prior_at": Running("before", last)}, block)
     ms = lambda a, b: F.floor((F.unix_micros(a) - F.unix_micros(b)) / 1000).cast("long")
-    return entries.withColumns({"start_at": start, "prior_at": prior}).withColumns({"since_start_ms": ms("ts", "start_at"), "since_previous_ms": ms("ts", "prior_at")}).drop("start_at", "prior_at")
+    return entries.withColumns({"since_start_ms": ms("ts", "start_at"), "since_previous_ms": ms("ts", "prior_at")}).drop("start_at", "prior_at")
 
 
-def http_links(entries: DataFrame) -> DataFrame:
+def http_links(entries: DataFrame, block: Column | None = None) -> DataFrame:
     """Adds related_ids: a request and the next response of its timeline know each other."""
-    by = entry_window()
-    answer = F.first(F.when(F.col("kind") == "HTTP_RESPONSE", F.col("entry_no")), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    d = entries.withColumn("answer", F.when(F.col("kind") == "HTTP_REQUEST", answer))
-    # requests that a response answers: those since the response before it
-    asked = F.sum((F.col("kind") == "HTTP_RESPONSE").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("turn", F.coalesce(asked, F.lit(0)))
-    askers = F.collect_list(F.when(F.col("answer").isNotNull(), F.col("entry_no"))).over(Window.partitionBy(*GROUP, "turn").orderBy("entry_no"))
+    answers = F.when(F.col("kind") == "HTTP_RESPONSE", F.col("entry_no"))
+    d = running(entries, GROUP, [F.col("entry_no")], {"answer": Running("following", answers)}, block)
+    d = d.withColumn("answer", F.when(F.col("kind") == "HTTP_REQUEST", F.col("answer")))
+    if block is None:
+        # requests that a response answers: those since the response before it
+        asked = F.sum((F.col("kind") == "HTTP_RESPONSE").cast("int")).over(Window.partitionBy(*GROUP).orderBy("entry_no").rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("turn", F.coalesce(asked, F.lit(0)))
+        d = d.withColumn("askers", F.collect_list(F.when(F.col("answer").isNotNull(), F.col("entry_no"))).over(Window.partitionBy(*GROUP, "turn").orderBy("entry_no"))).drop("turn")
+    else:  # brought to the response by a join, as those since the last response may be the whole timeline
+        d = checkpointed(d)
+        asked = d.where("answer IS NOT NULL").groupBy(*GROUP, F.col("answer").alias("entry_no")).agg(F.array_sort(F.collect_list(F.col("entry_no"))).alias("askers"))
+        d = d.join(asked, [*GROUP, "entry_no"], "left")
+    askers = F.coalesce("askers", F.array().cast("array<int>"))
     ids = F.when(F.col("kind") == "HTTP_RESPONSE", askers).when(F.col("answer").isNotNull(), F.array("answer")).otherwise(F.array().cast("array<int>"))
-    return d.withColumn("related_ids", F.transform(ids, lambda n: F.concat(F.lit("e"), n.cast("string")))).drop("answer", "turn")
+    return d.withColumn("related_ids", F.transform(ids, lambda n: F.concat(F.lit("e"), n.cast("string")))).drop("answer", "askers")
 
 
 def build_entries(correlated: DataFrame, settings: Timeline = Timeline()) -> DataFrame:
     """Entries of every timeline: entry_id, annotations, offsets, related ids and derived columns."""
-    d = offsets(merge_repeats(correlated, settings))
-    d = http_links(d) if settings.link_http else d.withColumn("related_ids", F.array().cast("array<string>"))
+    block = by_entry(settings.block_entries)
+    d = offsets(merge_repeats(correlated, settings), block)
+    d = http_links(d, block) if settings.link_http else d.withColumn("related_ids", F.array().cast("array<string>"))
     gap = F.col("since_previous_ms") >= settings.suspicious_gap_seconds * 1000
     extra = notes(
         (gap, note("SLOW", F.concat(F.lit("pause of "), format_duration(F.col("since_previous_ms")), F.lit(" before")))),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +21,10 @@ from ..rules.model import Rule, load_rules
 from ..sources.files import from_files, from_text
 
 
+#: Lines of a file that one task puts together, unless the settings say otherwise.
+FILE_BLOCK = 200_000
+
+
 @dataclass(frozen=True)
 class Analysis:
     events: DataFrame
@@ -48,7 +52,7 @@ def analyze_events(events: DataFrame, config: Config = Config(), rules: list[Rul
     rules = load_rules(config.rules.files, config.rules.builtin) if rules is None else rules
     # read by every table below; kept, so that parsing and windows run once and later plans stay small
     events = events.persist(StorageLevel.MEMORY_AND_DISK)
-    entries = apply_rules(build_entries(correlate(events, config.correlation), config.timeline), rules).persist(StorageLevel.MEMORY_AND_DISK)
+    entries = apply_rules(build_entries(correlate(events, config.correlation), config.timeline), rules, config.timeline.block_entries).persist(StorageLevel.MEMORY_AND_DISK)
     spans = timelines(entries)
     summary = event_summary(events).crossJoin(spans.agg(F.count("*").alias("timelines"), F.count_if("is_failed").alias("failed_timelines")))  # one row each
     return Analysis(events, entries, spans, rule_hits(entries, rules), analyzer(entries, rules, config.analysis), summary, warnings)
@@ -66,4 +70,6 @@ def analyze_text(spark: SparkSession, text: str, config: Config = Config(), name
 
 def analyze_files(spark: SparkSession, paths: list[str], config: Config = Config(), **filters: str | None) -> Analysis:
     lines, warnings = from_files(spark, paths, config.parse.charset)
+    if not config.parse.block_lines:  # else one task would put a whole file's records together
+        config = replace(config, parse=replace(config.parse, block_lines=FILE_BLOCK))
     return analyze_lines(lines, config, warnings=warnings, **filters)

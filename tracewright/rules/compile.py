@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import at_least
-from ..operators.timeline import GROUP, NOTES, entry_window, first_of_each, note
+from ..operators.scan import Running, running
+from ..operators.timeline import GROUP, NOTES, by_entry, first_of_each, note
 from .model import Condition, Rule, in_order
 
 
@@ -57,31 +58,31 @@ def matches(c: Condition) -> Column:
     return reduce(lambda a, b: a & b, terms)
 
 
-def preceded(condition: Column, within_seconds: int) -> Column:
+def _looks_back(r: Rule, i: int) -> dict[str, Running]:
+    """The last earlier entry that meets the rule's condition, and the time of the last such dated one."""
+    met = matches(r.precededBy.when)
+    return {f"_hit{i}": Running("before", F.when(met, F.col("entry_no"))), f"_at{i}": Running("before", F.when(met, F.unix_micros("ts")))}
+
+
+def preceded(hit: Column, last_at: Column, within_seconds: int) -> Column:
     """An earlier entry of the timeline meets a condition, within so many seconds (0: any time).
 
     Going back ends at the first dated entry beyond the window; an undated side is not checked.
     """
-    before = entry_window().rowsBetween(Window.unboundedPreceding, -1)
     if not within_seconds:
-        return F.coalesce(F.max(condition.cast("int")).over(before) == 1, F.lit(False))
-    hit = F.max(F.when(condition, F.col("entry_no"))).over(before)
+        return hit.isNotNull()
     limit = F.unix_micros("ts") - within_seconds * 1_000_000
     # entries go by time, so the last hit decides: it is dated and inside, or nothing stands between that ends the search
-    last_ts = F.max(F.when(condition, F.unix_micros("ts"))).over(before)
-    return F.coalesce(F.when(F.col("ts").isNull(), hit.isNotNull()).otherwise(hit.isNotNull() & (last_ts >= limit)), F.lit(False))
+    return F.coalesce(F.when(F.col("ts").isNull(), hit.isNotNull()).otherwise(hit.isNotNull() & (last_at >= limit)), F.lit(False))
 
 
-def apply_rules(entries: DataFrame, rules: list[Rule]) -> DataFrame:
+def apply_rules(entries: DataFrame, rules: list[Rule], block_entries: int = 0) -> DataFrame:
     """entries with hits (indexes into the ordered rules, first to last) and the rules' annotations added."""
     ordered = in_order(rules)
-    d, needed = entries, []
-    for i, r in enumerate(ordered):
-        if r.precededBy:
-            name = f"_before{i}"
-            d = d.withColumn(name, preceded(matches(r.precededBy.when), r.precededBy.withinSeconds))
-            needed.append(name)
-    hits = [F.when(matches(r.when) & (F.col(f"_before{i}") if r.precededBy else F.lit(True)), F.lit(i)) for i, r in enumerate(ordered)]
+    needed = {n: v for i, r in enumerate(ordered) if r.precededBy for n, v in _looks_back(r, i).items()}
+    d = running(entries, GROUP, [F.col("entry_no")], needed, by_entry(block_entries)) if needed else entries
+    back = lambda i, r: preceded(F.col(f"_hit{i}"), F.col(f"_at{i}"), r.precededBy.withinSeconds) if r.precededBy else F.lit(True)
+    hits = [F.when(matches(r.when) & back(i, r), F.lit(i)) for i, r in enumerate(ordered)]
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
     d = d.withColumn("hits", found.cast("array<int>"))
     if stops := [i for i, r in enumerate(ordered) if r.stopOnMatch]:
