@@ -99,9 +99,8 @@ def context(values: Column) -> Column:
     return out
 
 
-def json_fields(values: Column, said: Column, zone: str, day: str) -> dict[str, Column]:
-    """Event columns of a JSON record, from its scalars and what context() makes of them."""
-    text = {name: first_text(values, keys) for name, keys in NAMES.items()}
+def json_time(values: Column, zone: str, day: str) -> Column:
+    """The first of the time fields that can be read."""
     get = lambda key: F.try_element_at(values, F.lit(key))
     number = lambda c: F.when(c.rlike(r"^-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?$"), c.try_cast("double").try_cast("long"))
 
@@ -110,7 +109,13 @@ def json_fields(values: Column, said: Column, zone: str, day: str) -> dict[str,
         return F.coalesce(let(number(text), counted), parse_timestamp(text, zone, day))
 
     instant = F.timestamp_micros(get("instant.epochSecond").try_cast("long") * 1_000_000 + F.floor(F.coalesce(get("instant.nanoOfSecond").try_cast("long"), F.lit(0)) / 1000))
-    out = {"ts": F.coalesce(instant, F.get(F.filter(F.transform(F.array(*[get(n) for n in NAMES["ts"]]), when), lambda t: t.isNotNull()), F.lit(0))), "level": parse_level(text["level"]), "message": F.coalesce(text["message"], F.lit(""))}
+    return F.coalesce(instant, F.get(F.filter(F.transform(F.array(*[get(n) for n in NAMES["ts"]]), when), lambda t: t.isNotNull()), F.lit(0)))
+
+
+def json_fields(values: Column, said: Column, zone: str, day: str) -> dict[str, Column]:
+    """Event columns of a JSON record, from its scalars and what context() makes of them."""
+    text = {name: first_text(values, keys) for name, keys in NAMES.items()}
+    out = {"ts": json_time(values, zone, day), "level": parse_level(text["level"]), "message": F.coalesce(text["message"], F.lit(""))}
     for name in ("logger", "thread", "service"):
         out[name] = nonblank(text[name])
     for name in IDS:  # a context's ids come before the record's own

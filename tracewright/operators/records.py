@@ -123,8 +123,8 @@ def _mined(d: DataFrame, parse: Parse) -> DataFrame:
     return d.drop("found")
 
 
-def read_records(records: DataFrame, parse: Parse) -> DataFrame:
-    """Events of assembled records; timestamps as the records themselves have them."""
+def read_records(records: DataFrame, parse: Parse, *more: str) -> DataFrame:
+    """Events of assembled records; timestamps as the records themselves have them.  more: columns that come along."""
     line, cls = F.get("block", 0), F.col("cls")
     d = records.withColumn("p", F.when(cls == "P", text_fields(line, parse))).withColumn("object", F.when(cls == "J", json_records.json_object(line)))
     d = d.withColumn("values", json_records.scalars(F.col("object"))).withColumn("said", json_records.context(F.col("values")))
@@ -133,7 +133,7 @@ def read_records(records: DataFrame, parse: Parse) -> DataFrame:
     p, empty = F.col("p"), F.create_map().cast("map<string,string>")
     pick = lambda name: F.when(cls == "J", j[name]).when(cls == "P", p[name]) if name in ("trace_id", "span_id", "service", "logger", "thread", "level", "ts") else F.when(cls == "J", j[name])
     d = d.select(
-        *["source_file", "file_ord", "line_no", "cls", "block", "headers"],
+        *["source_file", "file_ord", "line_no", "cls", "block", "headers", *more],
         pick("ts").alias("ts"),
         F.coalesce(F.when(cls == "O", "ERROR").when(cls == "U", "UNKNOWN"), pick("level"), F.lit("UNKNOWN")).alias("level"),
         *[pick(n).alias(n) for n in ("logger", "thread", "service", *IDS)],
@@ -153,6 +153,7 @@ def read_records(records: DataFrame, parse: Parse) -> DataFrame:
         *["ts", "level", "logger", "thread", "message", *IDS, "service", "exception", "http", "kind", "attributes", "source_file"],
         F.col("line_no").cast("int").alias("source_line"),
         F.array_join("block", "\n").alias("raw"),
+        *more,
     )
 
 
@@ -165,9 +166,14 @@ def inherit_timestamps(events: DataFrame, block_lines: int = 0) -> DataFrame:
     ends = ends.withColumn("carried", F.last("end", ignorenulls=True).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))).select("ord", "carried")
     d = running(d, ["ord"], [F.col("seq")], {"inside": Running("last", own)}, F.floor(F.col("seq") / block_lines) if block_lines else None)
     d = d.join(ends, "ord").withColumn("known", F.coalesce("inside", "carried"))
-    late = F.col("ts").isNull() & (F.col("kind") != "UNPARSED") & F.col("known").isNotNull()
-    d = d.withColumn("attributes", F.when(late, _put(F.col("attributes"), "timestampInherited", F.lit("true"))).otherwise(F.col("attributes")))
-    return d.withColumn("ts", F.when(late, F.col("known")).otherwise(F.col("ts"))).select(*events.columns)
+    return date_late(d, "known").select(*events.columns)
+
+
+def date_late(events: DataFrame, known: str) -> DataFrame:
+    """Undated records take the time of the column `known`, which goes."""
+    late = F.col("ts").isNull() & (F.col("kind") != "UNPARSED") & F.col(known).isNotNull()
+    d = events.withColumn("attributes", F.when(late, _put(F.col("attributes"), "timestampInherited", F.lit("true"))).otherwise(F.col("attributes")))
+    return d.withColumn("ts", F.when(late, F.col(known)).otherwise(F.col("ts"))).drop(known)
 
 
 def first_events(events: DataFrame, most: int, block_lines: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,6 +193,12 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _correlated(spark, sf_dir).select("seq", "corr_kind", "corr_key")
 
 
+@query(f"WITH {CORR} SELECT seq, corr_kind, corr_key FROM co")
+def correlation_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by days of a thread, so that no task holds a thread."""
+    return correlate(log_events(spark, sf_dir), replace(SETTINGS.correlation, block_seconds=86_400)).select("seq", "corr_kind", "corr_key")
+
+
 @query(f"WITH {SQL}, g AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n, bool_or(is_error) OVER (PARTITION BY trace_id) AS bad FROM ev WHERE trace_id IS NOT NULL) SELECT seq, trace_id AS corr_key FROM g WHERE n >= 3 OR bad")
 def corr_min_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Correlation(priority=("TRACE",), inherit_trace_from_thread=False, fallback_to_file=False, min_events_per_timeline=3)
@@ -209,6 +216,13 @@ def dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("corr_kind", "corr_key", "entry_no", "seq", "repeat_count", F.coalesce(F.unix_micros("last_repeat_at"), F.lit(0)).alias("last_us"))
 
 
+@query(f"WITH {ENTRIES} SELECT corr_kind, corr_key, entry_no, seq, repeat_count, since_start_ms, since_previous_ms FROM nt")
+def entries_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats by days of a timeline, offsets by 100 entries of it."""
+    own = replace(SETTINGS.timeline, block_seconds=86_400, block_entries=100)
+    return build_entries(_correlated(spark, sf_dir), own).select("corr_kind", "corr_key", "entry_no", "seq", "repeat_count", "since_start_ms", "since_previous_ms")
+
+
 @query(f"WITH {ENTRIES} SELECT corr_kind, corr_key, entry_no, since_start_ms, since_previous_ms FROM nt")
 def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("corr_kind", "corr_key", "entry_no", "since_start_ms", "since_previous_ms")
