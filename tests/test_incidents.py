@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from tracewright import config as settings
 from tracewright.cli import run as cli
 from tracewright.config import Correlation, Timeline
 from tracewright.operators.correlate import correlate
-from tracewright.operators.filters import filter_events
+from tracewright.operators.filters import filter_events, parse_time
 from tracewright.operators.timeline import build_entries, merge_repeats, timelines
 from tracewright.plans.analysis import analyze_events, analyze_text
 from tracewright.reports.model import collect
@@ -223,6 +223,32 @@ def test_rules_exported_and_validated(tmp_path, capsys):
     assert cli(["rules", "--validate", str(tmp_path / "none.yaml")]) == 1
 
 
+def test_one_note_for_a_null_reference(report):
+    notes = [[(a["type"], a["label"]) for a in e["annotations"]] for t in report["timelines"] for e in t["entries"]]
+    of_null = [n for n in notes if ("EXCEPTION", "root: NullPointerException") in n or ("EXCEPTION", "NullPointerException") in n]
+    assert of_null and all(len(n) == len(set(n)) for n in notes)
+    labels = {r.name: [label for _, label in r.annotate] for r in builtin_rules()}
+    assert labels["null-pointer"] == ["NullPointerException"] and labels["socket-timeout"][1] == labels["connect-timeout"][1]
+
+
+def test_times_of_filters(tmp_path):
+    utc = lambda t, **more: parse_time(t, **more).astimezone(timezone.utc).replace(tzinfo=None)
+    assert parse_time(None) is None and parse_time(" ") is None
+    assert utc("2026-08-09T10:00:00Z") == utc("2026-08-09T13:00:00.000000000+03:00") == datetime(2026, 8, 9, 10)
+    assert utc("2026-08-09 13:00", zone="Europe/Moscow") == datetime(2026, 8, 9, 10)
+    assert parse_time("2026-08-09T10:00:00").replace(tzinfo=None) == datetime(2026, 8, 9, 10)
+    for bad in ("soon", "2026-08-09", "2026-02-30T10:00:00", "10:00:00", "2026-08-09 10:00:00Z"):
+        with pytest.raises(ValueError):
+            parse_time(bad)
+    assert cli(["analyze", "-t", "10:00:00 INFO a.B - x", "--since", "soon"]) == 1
+
+
+def test_a_null_reference_gets_one_note(spark):
+    made = events(spark, [(0, {"trace_id": "t", "level": "ERROR", "kind": "EXCEPTION", "exception": [("java.lang.NullPointerException", "boom", [], 0, [])]})])
+    entries = apply_rules(build_entries(correlate(made)), builtin_rules()).collect()
+    assert [(a["type"], a["label"]) for a in entries[0]["annotations"] if a["type"] == "EXCEPTION"] == [("EXCEPTION", "NullPointerException")]
+
+
 def test_another_analyzer(spark):
     mine = lambda entries, rules, given: entries.where("is_error").select("corr_key", F.lit("mine").alias("title"))
     found = analyze_events(events(spark, [(0, {"trace_id": "t", "level": "ERROR"}), (1, {"trace_id": "u"})]), rules=[], analyzer=mine)

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import config as settings
-from .operators.filters import recognised
+from .operators.filters import parse_time, recognised
 from .operators.text_patterns import text_fields
 from .plans.analysis import analyze_files, analyze_text
 from .reports.model import collect
@@ -88,7 +88,7 @@ def run(argv: list[str]) -> int:
             rules=replace(c.rules, builtin=c.rules.builtin and not a.no_builtin_rules, files=c.rules.files + tuple(a.rules)),
             analysis=replace(c.analysis, application_packages=c.analysis.application_packages + tuple(a.app_package)),
         )
-        filters = {"since": a.since, "until": a.until, "min_level": a.min_level and a.min_level.upper()}
+        filters = {"since": parse_time(a.since), "until": parse_time(a.until), "min_level": a.min_level and a.min_level.upper()}
         if a.input:
             paths = expand(a.input, tuple(a.include or MASKS), a.recursive, spark)
             found = analyze_files(spark, paths, c, **filters)

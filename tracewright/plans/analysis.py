@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -58,17 +59,17 @@ def analyze_events(events: DataFrame, config: Config = Config(), rules: list[Rul
     return Analysis(events, entries, spans, rule_hits(entries, rules), analyzer(entries, rules, config.analysis), summary, warnings)
 
 
-def analyze_lines(lines: DataFrame, config: Config = Config(), rules: list[Rule] | None = None, warnings: DataFrame | None = None, since: str | None = None, until: str | None = None, min_level: str | None = None) -> Analysis:
+def analyze_lines(lines: DataFrame, config: Config = Config(), rules: list[Rule] | None = None, warnings: DataFrame | None = None, since: str | datetime | None = None, until: str | datetime | None = None, min_level: str | None = None) -> Analysis:
     events = filter_events(parse_lines(lines, config.parse), since, until, min_level)
     cut = cut_records(lines, config.parse)
     return analyze_events(events, config, rules, warnings.unionByName(cut) if warnings is not None else cut)
 
 
-def analyze_text(spark: SparkSession, text: str, config: Config = Config(), name: str = "snippet", **filters: str | None) -> Analysis:
+def analyze_text(spark: SparkSession, text: str, config: Config = Config(), name: str = "snippet", **filters: str | datetime | None) -> Analysis:
     return analyze_lines(from_text(spark, text, name), config, **filters)
 
 
-def analyze_files(spark: SparkSession, paths: list[str], config: Config = Config(), **filters: str | None) -> Analysis:
+def analyze_files(spark: SparkSession, paths: list[str], config: Config = Config(), **filters: str | datetime | None) -> Analysis:
     lines, warnings = from_files(spark, paths, config.parse.charset)
     if not config.parse.block_lines:  # else one task would put a whole file's records together
         config = replace(config, parse=replace(config.parse, block_lines=FILE_BLOCK))

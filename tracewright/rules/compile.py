@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import at_least
@@ -58,13 +58,18 @@ def matches(c: Condition) -> Column:
     return reduce(lambda a, b: a & b, terms)
 
 
-def _looks_back(r: Rule, i: int) -> dict[str, Running]:
-    """The last earlier entry that meets the rule's condition, and the time of the last such dated one."""
-    met = matches(r.precededBy.when)
-    return {f"_hit{i}": Running("before", F.when(met, F.col("entry_no"))), f"_at{i}": Running("before", F.when(met, F.unix_micros("ts")))}
+def _looks_back(condition: Column) -> tuple[Column, Column]:
+    """Numbers of entries that meet a condition, and their times; the last ones before an entry decide."""
+    return F.when(condition, F.col("entry_no")), F.when(condition, F.unix_micros("ts"))
 
 
-def preceded(hit: Column, last_at: Column, within_seconds: int) -> Column:
+def preceded(condition: Column, within_seconds: int) -> Column:
+    """An earlier entry of the timeline meets a condition, as a window over whole timelines."""
+    before = Window.partitionBy(*GROUP).orderBy("entry_no").rowsBetween(Window.unboundedPreceding, -1)
+    return _preceded(*[F.last(c, ignorenulls=True).over(before) for c in _looks_back(condition)], within_seconds)
+
+
+def _preceded(hit: Column, last_at: Column, within_seconds: int) -> Column:
     """An earlier entry of the timeline meets a condition, within so many seconds (0: any time).
 
     Going back ends at the first dated entry beyond the window; an undated side is not checked.
@@ -79,9 +84,9 @@ def preceded(hit: Column, last_at: Column, within_seconds: int) -> Column:
 def apply_rules(entries: DataFrame, rules: list[Rule], block_entries: int = 0) -> DataFrame:
     """entries with hits (indexes into the ordered rules, first to last) and the rules' annotations added."""
     ordered = in_order(rules)
-    needed = {n: v for i, r in enumerate(ordered) if r.precededBy for n, v in _looks_back(r, i).items()}
+    needed = {f"_{name}{i}": Running("before", c) for i, r in enumerate(ordered) if r.precededBy for name, c in zip(("hit", "at"), _looks_back(matches(r.precededBy.when)), strict=True)}
     d = running(entries, GROUP, [F.col("entry_no")], needed, by_entry(block_entries)) if needed else entries
-    back = lambda i, r: preceded(F.col(f"_hit{i}"), F.col(f"_at{i}"), r.precededBy.withinSeconds) if r.precededBy else F.lit(True)
+    back = lambda i, r: _preceded(F.col(f"_hit{i}"), F.col(f"_at{i}"), r.precededBy.withinSeconds) if r.precededBy else F.lit(True)
     hits = [F.when(matches(r.when) & back(i, r), F.lit(i)) for i, r in enumerate(ordered)]
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
     d = d.withColumn("hits", found.cast("array<int>"))
