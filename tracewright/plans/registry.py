@@ -19,13 +19,14 @@ from ..operators.correlate import correlate
 from ..operators.filters import filter_events, filter_timelines
 from ..operators.http_dump import parse_dump
 from ..operators.json_records import context, json_fields, json_object, scalars
-from ..operators.records import classify, record_starts
+from ..operators.records import classify, guess_level, inherit_timestamps, record_starts
 from ..operators.rootcause import root_causes
 from ..operators.text_patterns import text_fields
 from ..operators.timeline import build_entries, timelines
 from ..rules.compile import apply_rules, rule_hits
 from ..rules.model import parse_rules
 from ..functions.stacks import exception_chain
+from ..schema import LINES
 from .adapter import SQL, log_events, log_lines, raw_events
 from .analysis import event_summary
 
@@ -309,6 +310,58 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(first, ["corr_kind", "corr_key"], "left")
 
 
+@query(f"""WITH {SQL}, f AS (SELECT seq, user_id % 16 AS ord, CASE WHEN seq % 3 = 0 THEN epoch_us(ts) END AS own FROM ev)
+SELECT seq, coalesce(last_value(own IGNORE NULLS) OVER (ORDER BY ord, seq), 0) AS ts_us, own IS NULL AND last_value(own IGNORE NULLS) OVER (ORDER BY ord, seq) IS NOT NULL AS inherited FROM f""")
+def timestamp_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the events without a time take the last one before them, across files; by blocks of 500 lines."""
+    d = log_events(spark, sf_dir).withColumn("ts", F.when(F.col("seq") % 3 == 0, F.col("ts"))).withColumn("seq", (F.col("user_id").cast("long") % 16) * LINES + F.col("seq"))
+    d = inherit_timestamps(d, block_lines=500)
+    late = F.coalesce(F.try_element_at("attributes", F.lit("timestampInherited")) == "true", F.lit(False))
+    return d.select((F.col("seq") % LINES).alias("seq"), F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("ts_us"), late.alias("inherited"))
+
+
+@query(f"WITH {SQL} SELECT seq, CASE WHEN exc IS NOT NULL OR coalesce(status, 0) >= 400 THEN 'ERROR' WHEN k % 5 = 0 THEN 'INFO' ELSE level END AS guessed FROM ev")
+def level_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of records that carry none: by exception or failed call, else by the first level word, else INFO."""
+    d = log_events(spark, sf_dir).withColumn("k", F.regexp_extract("message", "k=(\\d+)", 1).cast("int"))
+    word = F.when(F.col("k") % 5 == 0, "INFORMED about WARNINGS").when(F.col("level") == "WARN", "a WARNING: and an ERROR").otherwise(F.concat(F.lit("state ["), "level", F.lit("] FATAL")))
+    return d.select("seq", guess_level(F.col("exception"), F.col("http"), word).alias("guessed"))
+
+
+@query(f"WITH {SQL} SELECT seq, service AS nested, service AS bare, session_id AS session, status::VARCHAR AS deep FROM ev")
+def json_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested values of JSON lines under dotted keys, those of a context under bare ones too."""
+    d = log_lines(spark, sf_dir, "json").withColumn("values", scalars(json_object(F.col("line")))).withColumn("said", context(F.col("values")))
+    a = json_fields(F.col("values"), F.col("said"), "UTC", "2024-01-01")["attributes"]
+    get = lambda key: F.try_element_at(a, F.lit(key))
+    return d.select("seq", get("mdc.tenant").alias("nested"), get("tenant").alias("bare"), get("mdc.sessionId").alias("session"), get("http_.response.status").alias("deep"))
+
+
+WORDED = """
+rules:
+- {name: slow-words, priority: 50, when: {messageRegex: 'took [1-9][0-9]{3} ms'}, annotate: [{type: SLOW}]}
+- {name: of-logger, priority: 40, when: {loggerRegex: '^app[.](click|view)$', levelAtLeast: INFO}, annotate: [{type: LIFECYCLE}]}
+"""
+
+
+@query(f"WITH {ENTRIES} SELECT corr_kind, corr_key, entry_no, 'slow-words' AS rule FROM nt WHERE regexp_matches(message, 'took [1-9][0-9]{{3}} ms') UNION ALL SELECT corr_kind, corr_key, entry_no, 'of-logger' FROM nt WHERE message LIKE 'view %'")
+def rules_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on messages and loggers; clicks are DEBUG and fall below the level asked for."""
+    rules = parse_rules(WORDED)
+    return rule_hits(apply_rules(_entries(spark, sf_dir), rules), rules).select("corr_kind", "corr_key", "entry_no", "rule")
+
+
+@query(ORACLES["record_boundaries"])
+def record_boundaries_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ranges of seven lines, as files of any length are put together."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    lines = d.select(F.col("doc_id"), F.col("doc_id").cast("string").alias("source_file"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1)
+    made = F.when(F.col("line_no") % 3 == 1, F.concat(F.lit("2024-01-01 10:00:00 INFO "), "line")).otherwise(F.col("line"))
+    r = record_starts(classify(lines.withColumn("line", made), Parse()), F.floor(F.col("line_no") / 7))
+    r = r.groupBy("doc_id", "record_id").agg(F.max("pos").alias("len"), F.max(F.col("start").cast("int")).alias("begun"))
+    return r.groupBy("doc_id").agg(F.sum("begun").alias("records"), F.sum("len").alias("lines"), F.max("len").alias("longest"))
+
+
 @query(f"WITH {SQL} SELECT seq, 'com.acme.Outer' || event_type || 'Exception' AS type, 'k=' || k AS message, 2 AS links, 'com.acme.Inner' || (user_id % 7) || 'Error' AS root, user_id::INT AS line, 41 AS omitted FROM ev")
 def stack_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trace with a cause made from every event and read back."""
