@@ -14,7 +14,8 @@ from tracewright.operators.correlate import correlate
 from tracewright.operators.filters import filter_events, parse_time
 from tracewright.operators.timeline import build_entries, merge_repeats, timelines
 from tracewright.plans.analysis import analyze_events, analyze_text
-from tracewright.reports.model import collect
+from tracewright.reports.files import timeline_documents, write_timelines
+from tracewright.reports.model import collect, plain
 from tracewright.reports.writers import WRITERS
 from tracewright.rules.compile import apply_rules, preceded, rule_hits
 from tracewright.rules.model import builtin_rules, in_order, parse_rules
@@ -192,6 +193,15 @@ def test_writers(report):
     assert "aaaaaaaa11111111" in out["prompt"]
 
 
+def test_documents_by_executors(spark, tmp_path):
+    found = analyze_text(spark, INCIDENT)
+    write_timelines(found, str(tmp_path / "out"))
+    got = {d["corr_key"]: d for d in map(json.loads, (r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()))}
+    want = {t["corr_key"]: t for t in json.loads(json.dumps(plain(collect(found, ["snippet"])["timelines"])))}
+    assert got == want and len(got) == 2
+    assert timeline_documents(found, only_failed=True, max_entries=1).count() == 1
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert cli(["analyze"]) == 1 and cli(["analyze", "-t", " "]) == 1 and cli(["analyze", "-i", str(tmp_path / "no.log")]) == 1
     assert cli(["rules"]) == 0 and "null-pointer" in capsys.readouterr().out
