@@ -85,8 +85,10 @@ def test_expansion(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x\n")
     short = lambda *given, **more: [os.path.relpath(p, tmp_path) for p in expand([str(tmp_path / g) for g in given], spark=spark, **more)]
+    (tmp_path / "sub" / "empty.log").touch()
+    (tmp_path / "b+ c.txt").write_text("")
     assert short("") == ["a.log", "b+ c.txt", "e.log.1"]
-    assert short("", recursive=True) == ["a.log", "b+ c.txt", "day=1/h.log", "e.log.1", "sub/f.log", "sub/k=v/g.json"]
+    assert short("", recursive=True) == ["a.log", "b+ c.txt", "day=1/h.log", "e.log.1", "sub/empty.log", "sub/f.log", "sub/k=v/g.json"]
     assert short("", masks=("*.md",)) == ["d.md"]
     assert short("*.log", "sub/f.log", "a.log", "none*.log") == ["a.log", "sub/f.log"]
     with pytest.raises(FileNotFoundError):

@@ -8,9 +8,11 @@ range's sum and its place in the range; no window goes over the lines themselves
 from __future__ import annotations
 
 import codecs
+import fnmatch
 import os
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,7 +47,7 @@ def expand(inputs: list[str], masks: tuple[str, ...] = MASKS, recursive: bool =
         elif not system.getFileStatus(path).isDirectory():
             found |= set(_listed(spark, escaped(top)))
         elif recursive:
-            found |= set(_listed(spark, escaped(top), pathGlobFilter="{" + ",".join(masks) + "}"))
+            found |= {p for p in _listed(spark, escaped(top)) if any(fnmatch.fnmatchcase(p.rpartition("/")[2], m) for m in masks)}
         else:
             deep = _listed(spark, escaped(top) + "/{" + ",".join(masks) + "}")
             found |= {p for p in deep if p.rpartition("/")[0] == re.sub("^file:/*", "/", top)}  # not those of folders that a mask meets
@@ -57,15 +59,15 @@ def escaped(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def _listed(spark: SparkSession, pattern: str, **options: str) -> list[str]:
-    """Files of a pattern; a pattern that meets nothing has none.  Their paths alone are read, no content."""
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Files of a pattern, empty ones too; a pattern that meets nothing has none.  No content is read."""
     try:
-        d = spark.read.format("binaryFile").options(recursiveFileLookup="true", **options).load(pattern)
+        d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return []
         raise
-    return [r["path"] for r in d.select(plain_path(F.col("path")).alias("path")).collect()]
+    return [re.sub("^file:/*", "/", unquote(uri)) for uri in d.inputFiles()]
 
 
 def split_lines(sources: DataFrame) -> DataFrame:
