@@ -11,6 +11,9 @@ from tracewright.functions.stacks import exception_chain, is_header
 from tracewright.functions.timestamps import parse_timestamp
 from tracewright.operators.records import parse_lines, record_starts
 from tracewright.operators.text_patterns import text_fields
+from tracewright.rules.compile import matches
+from tracewright.rules.model import Condition
+from tracewright.schema import LINK
 from tracewright.sources.files import expand, from_files, from_text
 
 PARSE = Parse(default_date="2026-08-09")
@@ -49,7 +52,7 @@ def test_tail_and_stack(events):
     e = events[1]
     assert e["message"] == "Failed\nsecond line" and e["kind"] == "EXCEPTION"
     assert [x["type"] for x in e["exception"]] == ["java.lang.IllegalStateException"]
-    assert e["exception"][0]["suppressed"] == ["java.lang.RuntimeException"] and e["exception"][0]["frames"][0]["line"] == 10
+    assert [x["type"] for x in e["exception"][0]["suppressed"]] == ["java.lang.RuntimeException"] and e["exception"][0]["frames"][0]["line"] == 10
 
 
 def test_json_record(events):
@@ -156,3 +159,52 @@ def test_files(spark, tmp_path):
     assert sorted(r["warning"] for r in warnings.collect()) == ["cannot be decoded as UTF-8", "empty file"]
     with pytest.raises(FileNotFoundError):
         expand([str(tmp_path / "none.log")], spark=spark)
+
+
+def _trees(spark, *traces):
+    rows = spark.createDataFrame([(i, t.split("\n")) for i, t in enumerate(traces)], "i int, lines array<string>").repartition(2)
+    return [r["c"] for r in rows.select("i", exception_chain(F.col("lines")).alias("c")).orderBy("i").collect()]
+
+
+def _shape(chain):
+    """Types of the links, and of what each suppresses: (type, message, methods of its frames, omitted, parent, relation)."""
+    below = lambda x: [(n["type"], n["message"], [f["method"] for f in n["frames"]], n["omitted"], n["parent"], n["relation"]) for n in x["suppressed"]]
+    return [(x["type"], [f["method"] for f in x["frames"]], below(x)) for x in chain]
+
+
+def test_suppressed_exceptions_keep_frames_and_causes(spark):
+    nested = """a.OuterException: out
+\tat a.A.run(A.java:1)
+\tSuppressed: a.FirstException: one
+\t\tat a.A.close(A.java:2)
+\t\t... 3 more
+\t\tSuppressed: a.SecondException
+\t\t\tat a.B.close(B.java:3)
+\t\tCaused by: a.RootError: disk
+\t\t\tat a.C.write(C.java:4)
+\t\t\tat a.C.flush(C.java:5)"""
+    waiting = "a.OuterException: out\n\tSuppressed: a.FirstException: one\n\t\tat a.A.close(A.java:2)\ngoes on\n\tat a.A.run(A.java:1)\n\tSuppressed: a.ThirdException\nCaused by: a.RootError\n\tat a.C.write(C.java:4)"
+    chain = "a.OuterException\n\tat a.A.run(A.java:1)\nCaused by: a.InnerException: in\n\tat a.B.run(B.java:1)\n\tSuppressed: a.FirstException\n\t\tat a.A.close(A.java:2)\nsomething else\n\tat a.Never.seen(N.java:1)"
+    ended = "a.OuterException\n\tat a.A.run(A.java:1)\na.OtherException: begins\n\tat a.Never.seen(N.java:1)"
+    n, w, c, e = _trees(spark, nested, waiting, chain, ended)
+    assert _shape(n) == [("a.OuterException", ["run"], [("a.FirstException", "one", ["close"], 3, None, "suppressed"), ("a.SecondException", None, ["close"], 0, 0, "suppressed"), ("a.RootError", "disk", ["write", "flush"], 0, 1, "cause")])]
+    assert _shape(w) == [("a.OuterException", ["run"], [("a.FirstException", "one", ["close"], 0, None, "suppressed"), ("a.ThirdException", None, [], 0, None, "suppressed"), ("a.RootError", None, ["write"], 0, 1, "cause")])]
+    assert w[0]["message"] == "out\ngoes on"
+    assert _shape(c) == [("a.OuterException", ["run"], []), ("a.InnerException", ["run"], [("a.FirstException", None, ["close"], 0, None, "suppressed")])]
+    assert _shape(e) == [("a.OuterException", ["run"], [])]
+
+
+def test_long_chains_and_odd_stacks(spark):
+    many = "a.E0\n" + "\n".join(f"Caused by: a.E{i}" for i in range(1, 80))
+    deep = "a.E0\n" + "\n".join("\t" * i + f"Suppressed: a.E{i}" for i in range(1, 80))
+    m, d, none, blank = _trees(spark, many, deep, "", " \n\t")
+    assert [x["type"] for x in m] == [f"a.E{i}" for i in range(64)] and not any(x["suppressed"] for x in m)
+    assert [(x["type"], x["parent"]) for x in d[0]["suppressed"]] == [(f"a.E{i}", i - 2 if i > 1 else None) for i in range(1, 80)]
+    assert none is None and blank is None
+
+
+def test_rules_see_directly_suppressed_types_alone(spark):
+    (n,) = _trees(spark, "a.Outer\n\tat a.A.run(A.java:1)\n\tSuppressed: a.First\n\t\tat a.A.run(A.java:1)\n\t\tSuppressed: a.Second")
+    d = spark.createDataFrame([(n,)], f"exception array<{LINK}>")
+    hit = lambda kind: d.where(matches(Condition(exceptionType=kind))).count()
+    assert (hit("First"), hit("Second"), hit("Outer")) == (1, 0, 1)

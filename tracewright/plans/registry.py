@@ -377,6 +377,26 @@ def stack_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("seq", F.get(c, 0)["type"].alias("type"), F.get(c, 0)["message"].alias("message"), F.size(c).alias("links"), F.element_at(c, -1)["type"].alias("root"), F.get(F.get(c, 0)["frames"], 0)["line"].alias("line"), F.element_at(c, -1)["omitted"].alias("omitted"))
 
 
+@query(f"""WITH {SQL} SELECT seq, 'com.acme.Outer' || event_type || 'Exception' AS type, 'com.acme.Close' || (k % 3) || 'Exception>com.acme.DiskError<0' || CASE WHEN k % 2 = 0 THEN '>com.acme.AgainException<1' ELSE '' END AS tree,
+  user_id::INT AS close_line, CASE WHEN k % 2 = 0 THEN 'again ' || k END AS again, 'k=' || k || CASE WHEN k % 2 = 0 THEN '' ELSE chr(10) || 'tail' END AS cause_message FROM ev""")
+def suppressed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace with suppressed exceptions, their frames and their causes, made from every event and read back."""
+    even = F.col("k") % 2 == 0
+    lines = F.array_compact(F.array(
+        F.concat(F.lit("com.acme.Outer"), "event_type", F.lit("Exception")),
+        F.lit("\tat com.acme.Service.call(Service.java:1)"),
+        F.concat(F.lit("\tSuppressed: com.acme.Close"), (F.col("k") % 3).cast("string"), F.lit("Exception: closing")),
+        F.concat(F.lit("\t\tat com.acme.Store.close(Store.java:"), F.col("user_id").cast("string"), F.lit(")")),
+        F.concat(F.lit("\tCaused by: com.acme.DiskError: k="), F.col("k").cast("string")),
+        F.when(~even, "tail"),
+        F.when(even, F.concat(F.lit("\t\tSuppressed: com.acme.AgainException: again "), F.col("k").cast("string"))),
+    ))
+    d = raw_events(spark, sf_dir).select("seq", F.get(exception_chain(lines), 0).alias("e"))
+    below = F.col("e.suppressed")
+    tree = F.array_join(F.transform(below, lambda n: F.concat(n["type"], F.coalesce(F.concat(F.lit("<"), n["parent"].cast("string")), F.lit("")))), ">")
+    return d.select("seq", "e.type", tree.alias("tree"), F.get(F.get(below, 0)["frames"], 0)["line"].alias("close_line"), F.get(below, 2)["message"].alias("again"), F.get(below, 1)["message"].alias("cause_message"))
+
+
 @query(f"WITH {SQL} SELECT seq, 200 + k % 300 AS status, 'Reason ' || k AS status_text, service AS served, event_type || chr(10) || 'k=' || k AS body FROM ev")
 def http_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.array(

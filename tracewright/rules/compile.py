@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import at_least
+from ..functions.stacks import suppressed_types
 from ..operators.scan import Running, running
 from ..operators.timeline import GROUP, NOTES, by_entry, first_of_each, note
 from .model import Condition, Rule, in_order
@@ -47,7 +48,7 @@ def matches(c: Condition) -> Column:
         terms.append(_finds(F.col("thread"), c.threadRegex, c.caseSensitive))
     if c.exceptionType:
         kind = c.exceptionType
-        terms.append(F.coalesce(F.exists("exception", lambda x: _finds(x["type"], kind, c.caseSensitive) | F.coalesce(F.exists(x["suppressed"], lambda s: _finds(s, kind, c.caseSensitive)), F.lit(False))), F.lit(False)))
+        terms.append(F.coalesce(F.exists("exception", lambda x: _finds(x["type"], kind, c.caseSensitive) | F.coalesce(F.exists(suppressed_types(x), lambda s: _finds(s, kind, c.caseSensitive)), F.lit(False))), F.lit(False)))
     if c.exceptionMessageRegex:
         said = c.exceptionMessageRegex
         terms.append(F.coalesce(F.exists("exception", lambda x: _finds(x["message"], said, c.caseSensitive)), F.lit(False)))

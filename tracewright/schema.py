@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 FRAME = "struct<cls:string,method:string,file:string,line:int,native:boolean,raw:string>"
-#: One link of an exception chain, the outermost first; suppressed: types of directly suppressed exceptions.
-LINK = f"struct<type:string,message:string,frames:array<{FRAME}>,omitted:int,suppressed:array<string>>"
+#: An exception below a suppressed one: parent is the place of its parent in the same array, null below the link itself;
+#: relation is "suppressed" or "cause".
+BELOW = f"struct<type:string,message:string,frames:array<{FRAME}>,omitted:int,parent:int,relation:string>"
+#: One link of an exception chain, the outermost first; suppressed: the tree of its suppressed exceptions, parents first.
+LINK = f"struct<type:string,message:string,frames:array<{FRAME}>,omitted:int,suppressed:array<{BELOW}>>"
 HTTP = "struct<direction:string,method:string,url:string,host:string,status:int,status_text:string,duration_ms:bigint,headers:map<string,string>,body:string>"
 ATTRIBUTES = "map<string,string>"
 
