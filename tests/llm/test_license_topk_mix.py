@@ -49,6 +49,16 @@ def test_license_base_by_hand(spark):
     assert got[3]["labels"] == "cc-by,cc-by-nc" and got[3]["score"] == 0.9
 
 
+def test_license_scan_of_very_long_texts(spark):
+    """Hundreds of thousands of matches in one text, within seconds."""
+    phrase = "under the mit license and "
+    docs = spark.createDataFrame([(1, phrase * 80_000), (2, phrase * 3 + "w " * 600_000 + "Apache License, Version 2.0"), (3, "cc by cc by sa " * 50_000)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["labels"]) == (400_000, 80_000, 2, 399_997, "mit")
+    assert (got[2]["n_base"], got[2]["last_word"], got[2]["labels"]) == (4, 600_015, "apache,apache-2.0,mit")
+    assert (got[3]["n_base"], got[3]["labels"]) == (100_000, "cc-by,cc-by-sa")
+
+
 def _examples(regex):
     """Texts that a signature matches, one for each of its alternatives and options."""
     m = re.search(r"\(\?:((?:[^()]|\(\?:[^()]*\))*)\)(\??)", regex)

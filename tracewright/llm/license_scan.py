@@ -3,7 +3,7 @@
 A cheap test of the raw text lets most documents pass at once.  The others become one string of words, " w1  w2 ", on which
 a rule's keyword is looked for first and its regex only then; its matches give intervals of words.  Suppression: in the order
 of (start, longer first, higher priority, rule) an interval inside an earlier one of the same or a higher priority falls.
-The base phrases are counted apart and their labels always stay.
+The base phrases are counted apart and their labels always stay.  The work on a text grows with its length and, by a sort, with its matches.
 
 Null and empty texts: 0 words, no labels, score 0.  Repeated rows: one result each.  Other columns are ignored.
 """
@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.let import let
 from .license_rules import BASE, CONFIDENCE, GATE, signatures
 
+MARK = "\x01"  # no word holds it
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words once A-Z are lower-case, words as they come, and what stands between them.
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -43,16 +45,17 @@ def license_scan(docs: DataFrame) -> DataFrame:
     joined = F.regexp_replace(F.translate("text", UPPER, LOWER), BETWEEN, "  ")
     d = d.select("doc_id", "n_words", F.concat(F.lit(" "), F.regexp_replace(joined, "^  |  $", ""), F.lit(" ")).alias("norm"))
 
-    def interval(acc: Column, i: Column, pieces: Column, found: Column) -> Column:
-        start = acc["at"] + _words(F.get(pieces, i))
-        end = start + _words(F.get(found, i))
-        return F.struct(end.alias("at"), F.array_append(acc["hits"], F.struct(start.alias("start"), end.alias("end"))).alias("hits"))
-
     def intervals(r: Column) -> Column:
-        pieces, found = F.split(F.col("norm"), r["regex"], -1), F.regexp_extract_all(F.col("norm"), r["regex"], F.lit(0))
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("hits"))
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, lambda acc, i: interval(acc, i, pieces, found))
-        return F.transform(walked["hits"], lambda h: F.struct(h["start"].alias("start"), (-h["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["order"].alias("order"), r["label"].alias("label")))
+        # marks before and after every match; the places of the marks among the words are the intervals, whatever their number
+        marked = F.split(F.regexp_replace(F.col("norm"), r["regex"], F.lit(f" {MARK}$0{MARK} ")), F.lit(" +"), -1)
+        places = F.array_compact(F.transform(marked, lambda w, i: F.when(w == MARK, i)))
+        bounds = F.transform(places, lambda at, i: (at - 1 - i).cast("long"))  # an empty piece stands first, i marks before this one
+
+        def pairs(b: Column) -> Column:
+            one = lambda i: F.struct(F.get(b, i).alias("start"), (-F.get(b, i + 1)).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["order"].alias("order"), r["label"].alias("label"))
+            return F.transform(F.sequence(F.lit(0), F.size(b) - 2, F.lit(2)), one)
+
+        return let(bounds, pairs)
 
     matching = F.filter(rules, lambda r: F.contains(F.col("norm"), r["keyword"]) & F.rlike(F.col("norm"), r["regex"]))
     d = d.select("*", F.when(F.col("norm").isNotNull(), matching).alias("rules"))
