@@ -6,6 +6,8 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tracewright.llm import license_scan, mixture, norm_buckets
 from tracewright.llm.license_rules import BASE, GATE, signatures
@@ -99,6 +101,33 @@ def test_top_k_brute_force(spark, spread):
         assert [got[i, k + 1] for k in range(20)] == [(j, -s) for s, j in best]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(2, 30), st.integers(1, 50), max_size=12), st.integers(1, 20))
+def test_blocks_by_reach(counts, block):
+    where, met = norm_buckets.deal(counts, block, 31)
+    assert set(where) == set(counts) and met == sorted(met, reverse=True)
+    blocks = sorted({b for first, n in where.values() for b in range(first, first + n)})
+    assert blocks == list(range(len(blocks))) and len(blocks) <= sum(counts.values()) // block + len(counts)
+    for reach, (first, n) in where.items():
+        assert all(first + n <= met[b] for b in range(1, reach))  # a query's block is met by all buckets within its reach
+        group = [r for r, at in where.items() if at == (first, n)]
+        assert (n - 1) * block < sum(counts[r] for r in group) <= n * block
+    for b in range(1, 31):  # and no bucket meets a block that does not reach it
+        assert met[b] == sum(n for first, n in set(where.values()) if max(r for r, at in where.items() if at == (first, n)) > b)
+
+
+def test_candidates_go_to_blocks_within_reach(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 6)) * np.exp(1.2 * rng.normal(size=(1200, 1)))
+    df = _vectors(spark, [(i, [float(v) for v in r], 0) for i, r in enumerate(x)])
+    dealt = []
+    plain = norm_buckets.deal
+    monkeypatch.setattr(norm_buckets, "deal", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    assert norm_buckets.top_k(df, norm_buckets.every_nth(df, 5), k=5, bucket_rows=60, block=20).count() == 240 * 5
+    ((where, met),) = dealt
+    assert sum(met[1:]) < 0.6 * len(met[1:]) * (240 // 20 + 1)  # copies of buckets, against every bucket in every block
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 2.0], 0), (1, None, 0), (2, [1.0, None], 0), (3, [float("nan"), 1.0], 0), (4, [float("inf"), 1.0], 0), (5, [0.5, 0.5], 0), (6, [0.0, 0.0], 0), (None, [9.0, 9.0], 0), (20, [-1.0, 1.0], 0)]
     df = _vectors(spark, rows)

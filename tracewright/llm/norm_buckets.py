@@ -8,7 +8,9 @@ coordinate of a unit vector that reaches the threshold lies in a narrow range ar
 pruning.  What is left is verified with integer products.
 
 Work is dealt as (bucket, block of queries) groups of bounded size; nothing is broadcast but the bucket lengths, of which
-there are at most `most_buckets`.  The number of pairs read grows with queries times candidates, as exact search must.
+there are at most `most_buckets`.  Behind the top bucket a block holds queries that reach about equally far, and a candidate
+is copied to the blocks that reach its bucket alone.  The number of pairs read grows with queries times candidates within
+reach, as exact search must.
 
 Vectors that are null, or hold null or non-finite components, take no part; nor do those without vec_id, nor vectors of
 another dimension than the query's (their product is not defined).  Repeated vec_ids are separate candidates.  A query meets
@@ -79,6 +81,28 @@ def bucket_top(q_ids, q_vecs, floors, c_ids, c_vecs, k: int, coordinate_from: fl
             yield q, int(c_ids[at[i]]), int(scores[i])
 
 
+def deal(counts: dict[int, int], block: int, buckets: int) -> tuple[dict[int, tuple[int, int]], list[int]]:
+    """Blocks of queries that reach as far as one another.
+
+    counts: how many queries reach so many buckets.  Gives the first block and the number of blocks for every reach, and for
+    every bucket how many blocks it meets; far-reaching blocks come first, so that these are the blocks 0 to that number.
+    """
+    where: dict[int, tuple[int, int]] = {}
+    met = [0] * buckets
+    first, held, total = 0, [], 0
+    least = min(counts, default=0)
+    for reach in sorted(counts, reverse=True):
+        held.append(reach)
+        total += counts[reach]
+        if total >= block or reach == least:
+            n = -(-total // block)
+            where |= {r: (first, n) for r in held}
+            first += n
+            met[: held[0]] = [first] * held[0]
+            held, total = [], 0
+    return where, met
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, bucket_rows: int = 8192, block: int = 2048, most_buckets: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score.  queries: the rows (vec_id, embedding) that ask."""
 
@@ -138,13 +162,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         keys = ["bucket", "part", "block"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, SCHEMA)
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
-    spread = lambda c: c.select("vec_id", "v", "bucket", "part", blocks)
+    spread = lambda c, met: c.select("vec_id", "v", "bucket", "part", F.explode(F.sequence(F.lit(0), met - 1)).alias("block"))
     by_part = lambda q: q.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("bucket")] - 1)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
+    ranked = lambda s: s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
     first = asks.withColumn("bucket", F.lit(0)).withColumn("floor", F.lit(None).cast("double"))
-    seen = meet(by_part(first), spread(cands.where("bucket = 0")))
+    seen = meet(by_part(first), spread(cands.where("bucket = 0"), F.lit(n_blocks)))
     seen = stored(seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
     if len(bounds) > 1:
         floors = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
@@ -153,10 +178,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         highest = F.array(*[F.lit(bounds[b]) for b in sorted(bounds)])
         # |query|**2 * |bucket|**2 below floor**2: this bucket and all later ones cannot matter
         alive = F.size(F.filter(highest, lambda h: F.col("floor").isNull() | (F.col("floor") <= 0) | (h * norm2 * (1 + 1e-9) >= F.col("floor") * F.col("floor"))))
-        later = need.withColumn("alive", alive).where("alive > 1").withColumn("bucket", F.explode(F.sequence(F.lit(1), F.col("alive") - 1)))
-        rest = meet(by_part(later.select("query_id", "v", "floor", "block", "bucket")), spread(cands.where("bucket > 0")))
+        later = stored(need.select("query_id", "v", "floor", alive.alias("alive")).where("alive > 1"))
+        where, met = deal({r["alive"]: r["n"] for r in later.groupBy("alive").agg(F.count("*").alias("n")).collect()}, block, len(bounds))  # a count a bucket at most
+        if not where:
+            return ranked(seen)
+        begun, dealt = (F.create_map(*[F.lit(x) for reach, at in where.items() for x in (reach, at[i])])[F.col("alive")] for i in (0, 1))
+        later = later.withColumn("block", (begun + F.pmod(F.xxhash64("query_id", F.lit(1)), dealt)).cast("int"))
+        later = later.withColumn("bucket", F.explode(F.sequence(F.lit(1), F.col("alive") - 1)))
+        copies = F.array(*[F.lit(n) for n in met])
+        # candidates go to the blocks that reach their bucket, and to no other
+        rest = meet(by_part(later.select("query_id", "v", "floor", "block", "bucket")), spread(cands.where("bucket > 0").withColumn("met", F.get(copies, F.col("bucket"))).where("met > 0"), F.col("met")))
         seen = seen.unionByName(rest)
-    return seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked(seen)
 
 
 def every_nth(vectors: DataFrame, n: int = 20) -> DataFrame:
