@@ -1,5 +1,6 @@
 """Correlation, timelines, rules, causes, reports, settings and streaming."""
 
+import io
 import json
 import random
 from datetime import datetime, timedelta, timezone
@@ -12,11 +13,12 @@ from tracewright.cli import run as cli
 from tracewright.config import Correlation, Timeline
 from tracewright.operators.correlate import correlate
 from tracewright.operators.filters import filter_events, parse_time
+from tracewright.operators.rootcause import incidents, root_causes
 from tracewright.operators.timeline import build_entries, merge_repeats, timelines
 from tracewright.plans.analysis import analyze_events, analyze_text
 from tracewright.reports.files import timeline_documents, write_timelines
 from tracewright.reports.model import collect, plain
-from tracewright.reports.writers import WRITERS
+from tracewright.reports.writers import WRITERS, write
 from tracewright.rules.compile import apply_rules, preceded, rule_hits
 from tracewright.rules.model import builtin_rules, in_order, parse_rules
 from tracewright.schema import EVENT
@@ -202,6 +204,40 @@ def test_documents_by_executors(spark, tmp_path):
     assert timeline_documents(found, only_failed=True, max_entries=1).count() == 1
 
 
+def test_incidents_in_one_partitioning(spark):
+    found = analyze_text(spark, INCIDENT)
+    rules = builtin_rules()
+    for asked in (settings.Analysis(), settings.Analysis(block_entries=2), settings.Analysis(min_confidence=0.99)):
+        got = {r["corr_key"]: r.asDict(True) for r in incidents(found.entries, rules, asked).collect()}
+        spans = {r["corr_key"]: r.asDict() for r in found.timelines.where("is_failed").collect()}
+        causes = {r["corr_key"]: r.asDict(True) for r in root_causes(found.entries, rules, asked).where("rank = 1").collect()}
+        assert set(got) == set(spans) and got
+        for key, r in got.items():
+            assert {n: r[n] for n in ("start", "end", "event_count", "entry_count", "error_count", "warning_count", "duration_ms")} == {n: spans[key][n] for n in ("start", "end", "event_count", "entry_count", "error_count", "warning_count", "duration_ms")}
+            want = causes.get(key, dict.fromkeys(("title", "confidence", "entry_no", "evidence")))
+            assert {n: r[n] for n in ("title", "confidence", "entry_no", "evidence")} == {n: want[n] for n in ("title", "confidence", "entry_no", "evidence")}
+    assert not causes  # none is as sure as that, and the timelines stay
+    plan = incidents(found.entries, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0]  # kept entries lie by timeline already
+
+
+def test_pasted_text_and_other_writers(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.StringIO(INCIDENT))
+    assert cli(["analyze", "-p", "-f", "json"]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert len(report["timelines"]) == 2
+    assert cli(["analyze", "-p", "--stdin"]) == 1
+    monkeypatch.setitem(WRITERS, "count", lambda report, **options: f"{len(report['timelines'])} {options}")
+    out = io.StringIO()
+    write(report, out, "count", wide=True)
+    assert out.getvalue() == "2 {'wide': True}"
+    for name in "ab":
+        (tmp_path / f"{name}.yaml").write_text(f"rules:\n- {{name: rule-{name}, when: {{level: ERROR}}}}\n")
+    assert cli(["rules", "--no-builtin-rules", "--rules", f"{tmp_path}/a.yaml,{tmp_path}/b.yaml"]) == 0
+    said = capsys.readouterr().out
+    assert "rule-a" in said and "rule-b" in said
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert cli(["analyze"]) == 1 and cli(["analyze", "-t", " "]) == 1 and cli(["analyze", "-i", str(tmp_path / "no.log")]) == 1
     assert cli(["rules"]) == 0 and "null-pointer" in capsys.readouterr().out

@@ -21,6 +21,11 @@ from .rules.model import BUILTIN, in_order, load_rules
 from .sources.files import MASKS, expand
 
 
+def _listed(value: str) -> list[str]:
+    """One option may name several things, parted by commas."""
+    return [x for x in value.split(",") if x]
+
+
 def _arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracewright")
     sub = p.add_subparsers(dest="command", required=True)
@@ -30,12 +35,13 @@ def _arguments() -> argparse.ArgumentParser:
         given.add_argument("-i", "--input", action="append")
         given.add_argument("-t", "--text")
         given.add_argument("--stdin", action="store_true")
-        a.add_argument("--include", action="append")
+        given.add_argument("-p", "--paste", action="store_true")
+        a.add_argument("--include", action="extend", type=_listed)
         a.add_argument("-r", "--recursive", action="store_true")
         a.add_argument("-o", "--output")
         a.add_argument("-f", "--format", choices=sorted(WRITERS), default="text")
         a.add_argument("-c", "--config")
-        a.add_argument("--rules", action="append", default=[])
+        a.add_argument("--rules", action="extend", type=_listed, default=[])
         a.add_argument("--no-builtin-rules", action="store_true")
         for option in ("--trace", "--since", "--until", "--min-level", "--charset", "--zone"):
             a.add_argument(option)
@@ -45,7 +51,7 @@ def _arguments() -> argparse.ArgumentParser:
         for option in ("--only-failed", "--no-stacktraces", "--fail-on-error"):
             a.add_argument(option, action="store_true")
     r = sub.add_parser("rules")
-    r.add_argument("--rules", action="append", default=[])
+    r.add_argument("--rules", action="extend", type=_listed, default=[])
     r.add_argument("--no-builtin-rules", action="store_true")
     r.add_argument("--export")
     r.add_argument("--validate")
@@ -93,7 +99,9 @@ def run(argv: list[str]) -> int:
             paths = expand(a.input, tuple(a.include or MASKS), a.recursive, spark)
             found = analyze_files(spark, paths, c, **filters)
         else:
-            text = sys.stdin.read() if a.stdin else a.text
+            if a.paste:
+                print("Paste the log and end it with Ctrl+D (Ctrl+Z and Enter on Windows):", file=sys.stderr)
+            text = a.text if a.text is not None else sys.stdin.read()
             if not text.strip():
                 return 1
             paths, found = ["snippet"], analyze_text(spark, text, c, **filters)

@@ -12,7 +12,7 @@ from ..functions.text import one_line, shortened
 from ..rules.model import Rule, in_order
 from ..schema import RELIABILITY
 from .scan import Running, running, whole
-from .timeline import GROUP, by_entry
+from .timeline import GROUP, by_entry, duration_ms, span_values
 
 EVIDENCE = "struct<entry_id:string,ts:string,summary:string>"
 CANDIDATE = f"struct<src:int,rule_no:int,title:string,description:string,category:string,source:string,rule:string,recommendation:string,raw:double,extra:array<{EVIDENCE}>>"
@@ -63,8 +63,12 @@ def _candidate(src: int, title: Column, description: Column, category: Column, r
     ).cast(CANDIDATE)
 
 
-def candidates(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysis()) -> DataFrame:
-    """One row a candidate, of timelines that have an error."""
+def candidates(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysis(), spans: bool = False) -> DataFrame:
+    """One row a candidate, of timelines that have an error.
+
+    spans: with a struct `span` of the timeline's span and counts, from the same partitioning, and one row without a candidate for
+    every timeline.
+    """
     has = F.coalesce(F.size("exception") > 0, F.lit(False)) & F.col("exception").isNotNull()
     marked = F.exists("annotations", lambda a: a["type"].isin(TRIGGERS))
     d = ruled.withColumn("ev", _evidence())
@@ -78,6 +82,8 @@ def candidates(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysi
         "errors": F.count_if("is_error"),
         "thrown": F.min(F.when(has, F.col("entry_no"))),
     }
+    of_span = {f"_span_{n}": c for n, c in span_values().items()} if spans else {}
+    of_all |= of_span
     d = whole(d, GROUP, of_all, bool(settings.block_entries)).where(F.col("fe").isNotNull())
     near = F.when(marked & F.col("entry_no").between(F.col("fe") - 10, F.col("fe") - 1), F.col("entry_no"))
     d = whole(d, GROUP, {"trigger": F.max(near)}, bool(settings.block_entries))
@@ -147,19 +153,39 @@ def candidates(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysi
             ),
         )
         every += [F.array_compact(F.array(of_trigger, of_cascade))]
-    d = d.select(*GROUP, "entry_no", "entry_id", "ev", "prev_ev", F.explode(F.concat(*every)).alias("c"))
+    if spans:
+        d = d.withColumn("span", F.struct(*[F.col(n).alias(n.removeprefix("_span_")) for n in of_span]))
+        every.append(F.when(F.col("entry_no") == F.col("fe"), F.array(F.lit(None).cast(CANDIDATE))).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
+    kept = [*GROUP, *(["span"] if spans else []), "entry_no"]
+    d = d.select(*kept, "entry_id", "ev", "prev_ev", F.explode(F.concat(*every)).alias("c"))
     extra = F.filter("c.extra", lambda e: e["entry_id"] != F.col("entry_id"))
     evidence = F.array_compact(F.concat(F.array("ev"), extra, F.array("prev_ev")))
-    return d.select(*GROUP, "entry_no", "c.*", evidence.alias("evidence")).drop("extra")
+    return d.select(*kept, "c.*", evidence.alias("evidence")).drop("extra")
 
 
-def root_causes(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysis()) -> DataFrame:
-    """Ranked causes (rank 1 the probable one, then alternatives) with confidence scaled by how reliable the grouping is."""
-    c = candidates(ruled, rules, settings)
+def _ranked(c: DataFrame, settings: Analysis) -> DataFrame:
     # of one rule's hits on one entry the surer one counts, the earlier one of equals
     same = Window.partitionBy(*GROUP, "src", "rule", "entry_no").orderBy(F.desc("raw"), "rule_no")
     c = c.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth")
     reliability = F.element_at(F.create_map(*[F.lit(x) for pair in RELIABILITY.items() for x in pair]), F.col("corr_kind"))
-    c = c.withColumn("confidence", F.col("raw") * (F.lit(0.85) + F.lit(0.15) * reliability)).where(F.col("confidence") >= settings.min_confidence)
-    order = Window.partitionBy(*GROUP).orderBy(F.desc("raw"), "src", "entry_no", "rule_no")
-    return c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.max_alternatives + 1).drop("raw", "src", "rule_no")
+    c = c.withColumn("confidence", F.col("raw") * (F.lit(0.85) + F.lit(0.15) * reliability)).where(F.col("src").isNull() | (F.col("confidence") >= settings.min_confidence))
+    order = Window.partitionBy(*GROUP).orderBy(F.desc_nulls_last("raw"), "src", "entry_no", "rule_no")
+    return c.withColumn("rank", F.row_number().over(order))
+
+
+def root_causes(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysis()) -> DataFrame:
+    """Ranked causes (rank 1 the probable one, then alternatives) with confidence scaled by how reliable the grouping is."""
+    c = _ranked(candidates(ruled, rules, settings), settings)
+    return c.where(F.col("rank") <= settings.max_alternatives + 1).drop("raw", "src", "rule_no")
+
+
+def incidents(ruled: DataFrame, rules: list[Rule], settings: Analysis = Analysis()) -> DataFrame:
+    """One row a failed timeline: its span and counts, and its probable cause, null where none is sure enough.
+
+    Spans and causes are windows of one partitioning; entries are neither planned nor shuffled twice.
+    """
+    c = _ranked(candidates(ruled, rules, settings, spans=True), settings).where("rank = 1")
+    span = lambda n: F.col(f"span.{n}")
+    cause = ["entry_no", "title", "description", "category", "source", "rule", "recommendation", "confidence", "evidence"]
+    has = F.col("src").isNotNull()  # the row without a candidate stands at the first error
+    return c.select(*GROUP, "span.*", duration_ms(span("start"), span("end")).alias("duration_ms"), *[F.when(has, F.col(n)).alias(n) for n in cause])

@@ -116,22 +116,29 @@ def build_entries(correlated: DataFrame, settings: Timeline = Timeline()) -> Dat
     return with_derived(d.withColumn("entry_id", F.concat(F.lit("e"), F.col("entry_no").cast("string"))))
 
 
-def timelines(entries: DataFrame) -> DataFrame:
-    """One row a timeline: span, counts and services."""
+def span_values() -> dict[str, Column]:
+    """What a timeline's span and counts are, as aggregates over its entries; by groups or by windows."""
     place = F.when(F.col("ts").isNotNull(), F.col("entry_no"))
     end = F.coalesce("last_repeat_at", "ts")
+    return {
+        "start": F.min_by("ts", place),
+        "end": F.max_by(end, F.when(end.isNotNull(), F.col("entry_no"))),
+        "first_seq": F.min("seq"),
+        "event_count": F.sum("repeat_count"),
+        "entry_count": F.count("*"),
+        "error_count": F.count_if("is_error"),
+        "warning_count": F.count_if(F.col("level") == "WARN"),
+        "first_error": F.min(F.when(F.col("is_error"), F.col("entry_no"))),
+        "last_error": F.max(F.when(F.col("is_error"), F.col("entry_no"))),
+    }
+
+
+def duration_ms(start: Column, end: Column) -> Column:
+    return F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000).cast("long")
+
+
+def timelines(entries: DataFrame) -> DataFrame:
+    """One row a timeline: span, counts and services."""
     services = F.array_sort(F.collect_list(F.when(F.col("service").isNotNull(), F.struct("entry_no", "service"))))
-    out = entries.groupBy(*GROUP).agg(
-        F.min_by("ts", place).alias("start"),
-        F.max_by(end, F.when(end.isNotNull(), F.col("entry_no"))).alias("end"),
-        F.min("seq").alias("first_seq"),
-        F.sum("repeat_count").alias("event_count"),
-        F.count("*").alias("entry_count"),
-        F.count_if("is_error").alias("error_count"),
-        F.count_if(F.col("level") == "WARN").alias("warning_count"),
-        F.min(F.when(F.col("is_error"), F.col("entry_no"))).alias("first_error"),
-        F.max(F.when(F.col("is_error"), F.col("entry_no"))).alias("last_error"),
-        F.array_distinct(F.transform(services, lambda s: s["service"])).alias("services"),
-    )
-    ms = F.floor((F.unix_micros("end") - F.unix_micros("start")) / 1000).cast("long")
-    return out.withColumns({"duration_ms": ms, "is_failed": F.col("error_count") > 0})
+    out = entries.groupBy(*GROUP).agg(*[c.alias(n) for n, c in span_values().items()], F.array_distinct(F.transform(services, lambda s: s["service"])).alias("services"))
+    return out.withColumns({"duration_ms": duration_ms(F.col("start"), F.col("end")), "is_failed": F.col("error_count") > 0})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Analysis as AnalysisSettings
@@ -19,8 +19,9 @@ from ..operators.correlate import correlate
 from ..operators.filters import filter_events, filter_timelines
 from ..operators.http_dump import parse_dump
 from ..operators.json_records import context, json_fields, json_object, scalars
-from ..operators.records import classify, guess_level, inherit_timestamps, record_starts
-from ..operators.rootcause import root_causes
+from ..operators.records import classify, guess_level, inherit_timestamps, parse_lines, record_starts
+from ..operators.rootcause import app_frame, frame_text, root_causes
+from ..operators.rootcause import incidents as failed_timelines
 from ..operators.text_patterns import text_fields
 from ..operators.timeline import build_entries, timelines
 from ..rules.compile import apply_rules, rule_hits
@@ -279,11 +280,14 @@ def _causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return root_causes(ruled, rules, SETTINGS.analysis)
 
 
+def _cause_name() -> Column:
+    return F.coalesce("rule", F.when(F.col("category") == "exception", "exception").when(F.col("title").startswith("Cascade"), "cascade").when(F.col("title").isNotNull(), "trigger"))
+
+
 @query(f"WITH {CAUSES} SELECT corr_kind, corr_key, rank, entry_no, title, round(confidence, 6) AS confidence FROM rk WHERE rank <= 4")
 def root_cause_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _causes(spark, sf_dir)
-    title = F.coalesce("rule", F.when(F.col("category") == "exception", "exception").when(F.col("title").startswith("Cascade"), "cascade").otherwise("trigger"))
-    return d.select("corr_kind", "corr_key", "rank", "entry_no", title.alias("title"), F.round("confidence", 6).alias("confidence"))
+    return d.select("corr_kind", "corr_key", "rank", "entry_no", _cause_name().alias("title"), F.round("confidence", 6).alias("confidence"))
 
 
 SPANS = f"""{ENTRIES}, tl AS (SELECT corr_kind, corr_key, min(us) AS start_us, max(greatest(us, CASE WHEN repeat_count > 1 THEN last_us ELSE us END)) AS end_us, sum(repeat_count)::BIGINT AS event_count, count(*) AS entry_count,
@@ -305,9 +309,9 @@ def top_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CAUSES}, tl AS (SELECT corr_kind, corr_key, sum(repeat_count)::BIGINT AS event_count, count(*) FILTER (is_error) AS error_count FROM nt GROUP BY ALL) SELECT tl.*, title, round(confidence, 6) AS confidence FROM tl LEFT JOIN (SELECT * FROM rk WHERE rank = 1) USING (corr_kind, corr_key) WHERE error_count > 0")
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed timelines with their probable cause."""
-    spans = timelines(_entries(spark, sf_dir)).where("is_failed").select("corr_kind", "corr_key", "event_count", "error_count")
-    first = root_cause_ranking(spark, sf_dir).where("rank = 1").select("corr_kind", "corr_key", "title", "confidence")
-    return spans.join(first, ["corr_kind", "corr_key"], "left")
+    ruled, rules = _ruled(spark, sf_dir)
+    d = failed_timelines(ruled, rules, SETTINGS.analysis)
+    return d.select("corr_kind", "corr_key", "event_count", "error_count", _cause_name().alias("title"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"""WITH {SQL}, f AS (SELECT seq, user_id % 16 AS ord, CASE WHEN seq % 3 = 0 THEN epoch_us(ts) END AS own FROM ev)
@@ -405,3 +409,43 @@ def http_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     d = raw_events(spark, sf_dir).select("seq", parse_dump(block).alias("h"))
     return d.select("seq", "h.status", "h.status_text", F.try_element_at("h.headers", F.lit("X-Served-By")).alias("served"), "h.body")
+
+
+@query(f"WITH {SQL} SELECT seq, level, 'EXCEPTION' AS kind, message || chr(10) || 'detail ' || k AS message, 'com.acme.Late' || event_type || 'Exception' AS type, 'k ' || k AS said, user_id::INT AS line FROM ev")
+def record_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of four lines, by files of one sixteenth of the users: a formatted line, a line of text and a stack trace."""
+    more = F.array(
+        F.concat(F.lit("detail "), F.col("k").cast("string")),
+        F.concat(F.lit("com.acme.Late"), "event_type", F.lit("Exception: k "), F.col("k").cast("string")),
+        F.concat(F.lit("\tat com.acme.Service.run(Service.java:"), F.col("user_id").cast("string"), F.lit(")")),
+    )
+    tails = raw_events(spark, sf_dir).select("seq", (F.col("user_id") % 16).cast("int").alias("file_ord"), more.alias("more"))
+    d = log_lines(spark, sf_dir, "logback").join(tails, "seq")
+    d = d.select("file_ord", F.col("file_ord").cast("string").alias("source_file"), "seq", F.posexplode(F.concat(F.array("line"), "more")).alias("pos", "line"))
+    e = parse_lines(d.select("source_file", "file_ord", (F.col("seq") * 4 + F.col("pos")).alias("line_no"), "line"), Parse(default_date="2024-01-01"))
+    link = F.get("exception", F.lit(0))
+    return e.select(F.floor((F.col("seq") % LINES) / 4).cast("long").alias("seq"), "level", "kind", "message", link["type"].alias("type"), link["message"].alias("said"), F.get(link["frames"], 0)["line"].alias("line"))
+
+
+@query(f"""WITH {SQL} SELECT seq, 'com.acme.' || event_type || CASE WHEN k % 2 = 0 THEN 'Exception' ELSE 'Error' END AS type, 'said ' || k AS said, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS frames FROM ev""")
+def json_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exceptions of JSON lines: as a stack trace in one text, or as an object with class and message."""
+    even, k = F.col("k") % 2 == 0, F.col("k").cast("string")
+    trace = F.concat(F.lit("com.acme."), "event_type", F.lit("Exception: said "), k, F.lit("\n\tat com.acme.Service.run(Service.java:5)"))
+    parts = F.struct(F.concat(F.lit("com.acme."), "event_type", F.lit("Error")).alias("class"), F.concat(F.lit("said "), k).alias("message"))
+    line = F.to_json(F.struct("message", F.when(even, trace).alias("stack_trace"), F.when(~even, parts).alias("error")))
+    d = raw_events(spark, sf_dir).select("seq", line.alias("line")).withColumn("values", scalars(json_object(F.col("line")))).withColumn("said", context(F.col("values")))
+    link = F.get(json_fields(F.col("values"), F.col("said"), "UTC", "2024-01-01")["exception"], F.lit(0))
+    return d.select("seq", link.alias("x")).select("seq", "x.type", F.col("x.message").alias("said"), F.size("x.frames").alias("frames"))
+
+
+@query(f"WITH {SQL} SELECT seq, 'com.acme.' || event_type || '.run(Service.java:' || user_id || ')' AS own, 'org.springframework.Proxy.call(Proxy.java)' AS chosen, 'com.acme.' || event_type || '.run(Service.java:' || user_id || ')' AS short FROM ev")
+def app_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place in the application's own code, by the packages known as foreign and by packages named."""
+    lines = F.array(
+        F.lit("com.acme.WrongException: x"), F.lit("\tat java.util.List.of(Native Method)"), F.lit("\tat org.springframework.Proxy.call(Proxy.java)"),
+        F.concat(F.lit("\tat com.acme."), "event_type", F.lit(".run(Service.java:"), F.col("user_id").cast("string"), F.lit(")")), F.lit("\tat com.acme.Main.main(Main.java:1)"),
+    )
+    d = raw_events(spark, sf_dir).select("seq", F.get(exception_chain(lines), 0).alias("x"))
+    place = lambda *packages: frame_text(app_frame(F.col("x"), packages))
+    return d.select("seq", place().alias("own"), place("org.springframework.").alias("chosen"), place("com.acme.").alias("short"))

@@ -6,6 +6,7 @@ import html
 import json
 import textwrap
 from datetime import datetime
+from typing import Any, Protocol, TextIO
 
 from .model import plain
 
@@ -140,4 +141,16 @@ def to_prompt(report: dict, trace: str | None = None, max_entries: int = 60, max
     return "\n".join(out) + "\n"
 
 
-WRITERS = {"json": to_json, "text": to_text, "html": to_html, "mermaid": to_mermaid, "prompt": to_prompt}
+
+class ReportWriter(Protocol):
+    """A report (reports.model.collect) as text.  Whoever has another format puts it into WRITERS under a name of its own."""
+
+    def __call__(self, report: dict, **options: Any) -> str: ...
+
+
+WRITERS: dict[str, ReportWriter] = {"json": to_json, "text": to_text, "html": to_html, "mermaid": to_mermaid, "prompt": to_prompt}
+
+
+def write(report: dict, out: TextIO, form: str = "text", **options: Any) -> None:
+    """The report in a named format into anything that takes text."""
+    out.write(WRITERS[form](report, **options))
