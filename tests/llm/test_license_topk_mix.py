@@ -128,6 +128,39 @@ def test_candidates_go_to_blocks_within_reach(spark, monkeypatch):
     assert sum(met[1:]) < 0.6 * len(met[1:]) * (240 // 20 + 1)  # copies of buckets, against every bucket in every block
 
 
+def _best_of(q, i, k=20):
+    scores = [sum(a * b for a, b in zip(q[i], r, strict=True)) for r in q]
+    return [(n + 1, j, -s) for n, (s, j) in enumerate(sorted((-s, j) for j, s in enumerate(scores) if j != i)[:k])]
+
+
+@pytest.mark.parametrize("case", ["one length", "two lengths", "beyond 2**53"])
+def test_top_k_of_crowded_lengths_and_large_products(spark, case):
+    """More vectors of one length than a bucket holds; and products that doubles do not hold."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 8))
+    if case == "beyond 2**53":
+        x = np.floor(x * 3e6)
+        x[50:90] = x[50]
+        x[200:230] = x[50]
+    else:
+        x /= np.sqrt((x**2).sum(1))[:, None]
+        x[:300] *= 1.0 if case == "one length" else 1.5
+    x = x.astype(np.float64)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in norm_buckets.top_k(df, norm_buckets.every_nth(df), bucket_rows=40, block=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    q = [[int(v) for v in r] for r in np.floor(64 * x).tolist()]
+    assert got == {i: _best_of(q, i) for i in range(0, 500, 20)}
+
+
+def test_top_k_of_repeated_ids_sql(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 4)) * np.exp(rng.normal(size=(300, 1)))
+    df = _vectors(spark, [(i % 110, [float(v) for v in r], 0) for i, r in enumerate(x)])
+    _same(norm_buckets.top_k(df, norm_buckets.every_nth(df), bucket_rows=40, block=7), norm_buckets.ORACLE, embeddings=df)
+
+
 def test_top_k_odd_rows(spark):
     rows = [(0, [1.0, 2.0], 0), (1, None, 0), (2, [1.0, None], 0), (3, [float("nan"), 1.0], 0), (4, [float("inf"), 1.0], 0), (5, [0.5, 0.5], 0), (6, [0.0, 0.0], 0), (None, [9.0, 9.0], 0), (20, [-1.0, 1.0], 0)]
     df = _vectors(spark, rows)

@@ -14,13 +14,14 @@ reach, as exact search must.
 
 Vectors that are null, or hold null or non-finite components, take no part; nor do those without vec_id, nor vectors of
 another dimension than the query's (their product is not defined).  Repeated vec_ids are separate candidates.  A query meets
-every row but those of its own vec_id; ties go to the smaller vec_id; a repeated query id gives one answer, to its
-smallest vector.  An empty table gives no rows.
+every row but those of its own vec_id; ties go to the smaller vec_id; a repeated query id gives one answer, the
+highest products of all its rows, as in SQL.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SCHEMA = "query_id long, vec_id long, score long"
+NO_FLOOR = -(2**63)  # of a query that has fewer than k products yet; floors stay whole numbers, as scores may pass 2**53
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -70,7 +72,7 @@ def bucket_top(q_ids, q_vecs, floors, c_ids, c_vecs, k: int, coordinate_from: fl
             continue
         at = np.arange(n) if keep is None else np.flatnonzero(keep)
         if big:
-            scores = np.array([sum(int(a) * int(b) for a, b in zip(v, c_vecs[i], strict=True)) for i in at.tolist()], np.int64)
+            scores = np.array([sum(map(mul, v.tolist(), c_vecs[i].tolist())) for i in at.tolist()], np.int64)
         else:
             scores = ((exact[:n] if keep is None else exact[at]) @ v.astype(np.float64)).astype(np.int64)
         good = c_ids[at] != q
@@ -114,7 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         )
 
     cands = whole(vectors).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
-    asks = whole(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id")
+    asks = whole(queries).withColumnRenamed("vec_id", "query_id")
 
     # bucket edges from a histogram of lengths: powers of two, finely cut, so at most a few thousand counts, and salts
     # keep buckets of one length bounded
@@ -125,9 +127,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     if not total:
         return cands.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     size = max(bucket_rows, total // most_buckets + 1)
-    bucket_of, held = {}, 0
-    for g, n in counts:
-        bucket_of[g] = held // size
+    bucket_of, held, bucket = {}, 0, 0
+    for g, n in counts:  # numbered without gaps, however many vectors have one length
+        if held >= size:
+            bucket, held = bucket + 1, 0
+        bucket_of[g] = bucket
         held += n
     bounds: dict[int, float] = {}
     for g, _ in counts:
@@ -155,7 +159,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
             for d in np.unique(q_dim).tolist():
                 qs, cs = q[q_dim == d], c[c_dim == d]
                 if len(cs):
-                    floors = np.array([None if x != x else int(x) for x in qs["floor"].to_numpy(float)], object)
+                    floors = np.array([None if x == NO_FLOOR else x for x in qs["floor"].tolist()], object)
                     out += bucket_top(qs["query_id"].to_numpy(), _matrix(qs["v"].tolist()).reshape(len(qs), d), floors, cs["vec_id"].to_numpy(), _matrix(cs["v"].tolist()).reshape(len(cs), d), k)
             return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -168,16 +172,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
 
     ranked = lambda s: s.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    first = asks.withColumn("bucket", F.lit(0)).withColumn("floor", F.lit(None).cast("double"))
+    first = asks.withColumn("bucket", F.lit(0)).withColumn("floor", F.lit(NO_FLOOR))
     seen = meet(by_part(first), spread(cands.where("bucket = 0"), F.lit(n_blocks)))
     seen = stored(seen.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
     if len(bounds) > 1:
         floors = seen.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-        need = asks.join(floors, "query_id", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("low").cast("double")))
+        need = asks.join(floors, "query_id", "left").withColumn("floor", F.when(F.col("n") >= k, F.col("low")).otherwise(NO_FLOOR))
+        low = F.col("floor").cast("double")
         norm2 = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
         highest = F.array(*[F.lit(bounds[b]) for b in sorted(bounds)])
         # |query|**2 * |bucket|**2 below floor**2: this bucket and all later ones cannot matter
-        alive = F.size(F.filter(highest, lambda h: F.col("floor").isNull() | (F.col("floor") <= 0) | (h * norm2 * (1 + 1e-9) >= F.col("floor") * F.col("floor"))))
+        alive = F.size(F.filter(highest, lambda h: (low <= 0) | (h * norm2 * (1 + 1e-9) >= low * low)))
         later = stored(need.select("query_id", "v", "floor", alive.alias("alive")).where("alive > 1"))
         where, met = deal({r["alive"]: r["n"] for r in later.groupBy("alive").agg(F.count("*").alias("n")).collect()}, block, len(bounds))  # a count a bucket at most
         if not where:
