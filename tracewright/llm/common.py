@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ class Tables:
     """Named tables of one computation, stored in one folder; drop() removes those that no later step reads."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, scratch(spark)
+        self.spark, self.folder, self.shared = spark, scratch(spark), []
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         return _written(df, f"{self.folder}/{name}")
@@ -68,8 +70,17 @@ class Tables:
         for name in names:
             self._delete(f"{self.folder}/{name}")
 
+    def share(self, value: Any) -> Broadcast:
+        """value for all tasks, until drop_all()."""
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
     def drop_all(self) -> None:
+        """Nothing of the computation is read any more."""
         self._delete(self.folder)
+        for x in self.shared:
+            x.destroy()
+        self.shared = []
 
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext

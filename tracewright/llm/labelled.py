@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,15 +43,24 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
     return [(r["text"], r["y"], r["doc_id"]) for r in rows.collect()], share
 
 
+def packed(model: Any) -> bytes:
+    """A model as it goes through the driver to the tasks."""
+    return zlib.compress(pickle.dumps(model), 6)
+
+
+def unpacked(data: bytes) -> Any:
+    return pickle.loads(zlib.decompress(data))
+
+
 def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable) -> bytes:
-    """fit(rows, share) of the sample, pickled.  The sample's size is bounded, so one task fits it; the driver sees the model's bytes alone."""
+    """fit(rows, share) of the sample, packed.  The sample's size is bounded, so one task fits it; the driver sees the model's bytes alone."""
     rows, share = sample(docs, labels, label, per_class)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held, share))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([packed(fit(held, share))], pa.binary())], ["model"])
 
     found = rows.coalesce(1).mapInArrow(run, "model binary").first()
-    return bytes(found["model"]) if found else pickle.dumps(fit([], share))  # an empty sample has no task
+    return bytes(found["model"]) if found else packed(fit([], share))  # an empty sample has no task

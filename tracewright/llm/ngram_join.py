@@ -9,9 +9,10 @@ Only the components matter.  First every set is compared with one partner, the f
 which joins up large groups.  A list's first member, its hub, is the one at the centre: it has most shingles that are about as frequent
 as the list's, and fewest others.  Lists that still hold several components are searched through differences: each member is
 told by its difference from the hub.  Two members linked to their hub are in one component already.  Any other two have as much apart as their differences have, so a link takes a known overlap of
-the differences, and these differ even in a group of thousands of near copies, whose sets do not.
+the differences, and these differ even in a group of thousands of near copies, whose sets do not.  A list that holds one component
+beside its hub asks for links to the hub alone, and a hub's members, while they are FEW, are compared with one another.
 
-T-occurrence search over the inverted lists of differences (hub, shingle): as above, two differences that make a link share at
+For more members, T-occurrence search over the inverted lists of differences (hub, shingle): as above, two differences that make a link share at
 least T shingles among the first ones of each.  DivideSkip: up to T - 1 of a difference's longest lists (over LONG entries) are
 left out when lists are merged and counted; partners met often enough in the merged ones are then decided by binary probes of
 one difference in the other.  Nothing is capped: a pair of different components that meets often enough is always compared.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,7 @@ from .common import Tables, stored, texts
 
 BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 LONG = 32  # entries of a list that DivideSkip may leave out
+FEW = 32  # members of a hub that are compared without lists of their differences
 CELL_BITS = 23  # of the table of counts: that many cells, by the highest bits of a shingle's hash
 CHUNK = 1 << 17  # cells of the table in a row
 HOT_LIST = 1_000_000  # a shingle that may be in more texts is not gathered in one task
@@ -168,7 +171,7 @@ def _levels(read: DataFrame) -> np.ndarray:
             for (chunk, part), x in held.items():
                 if last:
                     x = np.round(4 * np.log2(1.0 + x)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) if last else x.tobytes()], pa.binary())], ["chunk", "part", "counts"])
 
         return run
 
@@ -178,7 +181,7 @@ def _levels(read: DataFrame) -> np.ndarray:
     rows = tables.repartition("chunk").mapInArrow(added(np.uint32, True), schema).collect()
     levels = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.uint8).reshape(-1, CHUNK)
     for r in rows:
-        levels[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
+        levels[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return levels.reshape(-1)
 
 
@@ -237,13 +240,13 @@ def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
     return texts(docs).mapInArrow(run, "shingle long, v long, n int, score int, salt int")
 
 
-def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, size: int, wanted: DataFrame, tables: Tables) -> DataFrame:
     """(v, h) of the wanted (text_key, v).  A filter of fixed size spares hashing most other texts; the join decides."""
     words = wanted.select(F.pmod("text_key", F.lit(BITS)).alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("word"))
     words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    table = docs.sparkSession.sparkContext.broadcast(bits)
+    table = tables.share(bits)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -301,7 +304,10 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> DataFrame:
-    """members(v, hub) -> v, hub, n, m (size of the difference), t, linked, head (the first shingles of the difference), d."""
+    """members(v, hub, wide, many) -> v, hub, n, m (size of the difference), t, linked, head (the first shingles of the difference), d.
+
+    d is null where not wide, as the link to the hub is all that is asked there; head is null where the hub's members are few.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -309,15 +315,20 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> Da
         levels = table.value
         schema = pa.schema([("v", pa.int64()), ("hub", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("t", pa.int64()), ("linked", pa.bool_()), ("head", pa.list_(pa.int64())), ("d", pa.binary())])
         for batch in batches:
-            vs, hubs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            vs, hubs, wide, many = (batch.column(c).to_pylist() for c in (0, 1, 4, 5))
             rows, held = [], 0
             for i in range(batch.num_rows):
                 mine, other = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                linked = _apart(mine, other) <= _most_apart(len(mine) + len(other), percent)
+                if not wide[i]:
+                    if linked:
+                        rows.append((vs[i], hubs[i], len(mine), None, None, True, None, None))
+                    continue
                 d = np.setxor1d(mine, other, assume_unique=True)
                 most = len(mine) * (100 - percent) // percent  # apart from any partner
                 # no more than a quarter of what any link shares, nor so many that heads reach what all members lack
                 t = max(1, min((len(d) - most) // 4, _occurrences(len(mine))))
-                rows.append((vs[i], hubs[i], len(mine), len(d), t, len(d) <= _most_apart(len(mine) + len(other), percent), _signed(in_order(d, other, levels)[: most + t]), d.tobytes()))
+                rows.append((vs[i], hubs[i], len(mine), len(d), t, linked, _signed(in_order(d, other, levels)[: most + t]) if many[i] else None, d.tobytes()))
                 held += len(d)
                 if held > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -327,10 +338,29 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int, table) -> Da
 
     # both joins read the same shuffle of sets by v; of hubs alone the sets move on
     hubs = sets.join(members.select(F.col("hub").alias("v")).distinct(), "v").select(F.col("v").alias("hub"), F.col("h").alias("hh"))
-    both = members.join(sets, "v").join(hubs, "hub").select("v", "hub", "h", "hh")
+    both = members.join(sets, "v").join(hubs, "hub").select("v", "hub", "h", "hh", "wide", "many")
     return both.mapInArrow(run, "v long, hub long, n long, m long, t long, linked boolean, head array<long>, d binary")
 
 
+def _linked_among(groups: DataFrame, percent: int) -> DataFrame:
+    """The links between different components in each row of groups(held): at most FEW of (v, c, n, m, linked, d), d from one hub."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for held in batch.column(0):
+                rows = [(*(x[k].as_py() for k in ("v", "c", "n", "m", "linked")), np.frombuffer(x["d"].as_buffer(), np.uint64)) for x in held]
+                for (v, c, n, m, to_hub, d), (w, c2, n2, m2, to_hub2, d2) in itertools.combinations(rows, 2):
+                    most = _most_apart(n + n2, percent)
+                    if c != c2 and not (to_hub and to_hub2) and abs(m - m2) <= most and _apart(d, d2) <= most:
+                        found.append((v, w))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(v, c): every vertex of links(a, b) with the smallest vertex of its component, by alternating stars.  The last of the tables, name and its number, stays."""
     edges = tables.keep(f"{name}0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).where("u <> w").distinct())
@@ -357,14 +387,26 @@ def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent:
     """
     placed = tables.keep("placed", shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v")))
     tables.drop("shared")
-    lists = placed.groupBy("shingle").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max(F.struct("score", "v"))["v"].alias("hub")).where("x <> y")
-    members = placed.join(lists.select("shingle", "hub"), "shingle").where("v <> hub").select("v", "hub").distinct()
+    lists = placed.groupBy("shingle", "c").agg(F.max(F.struct("score", "v", "n")).alias("top"), F.count("*").alias("held"))
+    lists = lists.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("top", "held")).alias("k")).where("parts > 1")
+    # beside the hub there are several components, or else only links to the hub are left to find
+    wide = F.col("parts") - (F.col("k.held") == 1).cast("int") > 1
+    lists = lists.select("shingle", F.col("k.top.v").alias("hub"), F.col("k.top.n").alias("hub_n"), wide.alias("wide"))
+    members = placed.join(lists, "shingle").where((F.col("v") != F.col("hub")) & (F.col("wide") | _fits(F.col("n"), F.col("hub_n"), percent)))
+    members = tables.keep("members", members.groupBy("v", "hub").agg(F.max("wide").alias("wide")))
+    crowded = members.where("wide").groupBy("hub").count().where(F.col("count") > FEW).select("hub", F.lit(True).alias("many"))
+    members = members.join(crowded, "hub", "left").select("v", "hub", "wide", F.coalesce(F.col("wide") & F.col("many"), F.lit(False)).alias("many"))
     diffs = tables.keep("diffs", _differences(members, sets, percent, table))
-    tables.drop("placed", "sets")
+    tables.drop("placed", "sets", "members")
     to_hub = diffs.where("linked").select(F.col("v").alias("a"), F.col("hub").alias("b"))
 
-    # inverted lists of the differences' heads
-    heads = diffs.join(known, "v", "left").select("v", "hub", "n", "m", "t", "linked", F.coalesce("c", "v").alias("c"), F.posexplode("head").alias("at", "shingle"))
+    # a hub's few members meet each other in one row
+    few = diffs.where("head IS NULL AND d IS NOT NULL").join(known, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    few = few.groupBy("hub").agg(F.collect_list(F.struct("v", "c", "n", "m", "linked", "d")).alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+    among = _linked_among(few.select("held"), percent)
+
+    # inverted lists of the heads of many members' differences
+    heads = diffs.where("head IS NOT NULL").join(known, "v", "left").select("v", "hub", "n", "m", "t", "linked", F.coalesce("c", "v").alias("c"), F.posexplode("head").alias("at", "shingle"))
     sizes = heads.groupBy("hub", "shingle").agg(F.count("*").alias("df")).where("df > 1")
     lists = tables.keep("heads", heads.join(sizes, ["hub", "shingle"]))
     long_first = Window.partitionBy("hub", "v").orderBy(F.desc("df"), "shingle")
@@ -385,7 +427,7 @@ def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent:
     asked = pairs.select("hub", F.col("a").alias("v")).unionByName(pairs.select("hub", F.col("b").alias("v")))
     needed = diffs.select("v", "hub", "n", "d").join(asked, ["hub", "v"], "left_semi")
     side = lambda x: needed.select(F.col("v").alias(x), "hub", F.col("n").alias("n" + x), F.col("d").alias("h" + x))
-    return to_hub.unionByName(_linked(pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
+    return to_hub.unionByName(among).unionByName(_linked(pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
 
 
 def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tables: Tables | None = None) -> DataFrame:
@@ -393,7 +435,7 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tab
     spark = docs.sparkSession
     tables = tables or Tables(spark)
     read = tables.keep("read", _read(docs, size))
-    table = spark.sparkContext.broadcast(_levels(read))
+    table = tables.share(_levels(read))
     rows = read.where(F.col("chunk").isNull()).select("doc_id", "n", "v", "text_key")
     named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.min("text_key").alias("text_key"))
 
@@ -405,7 +447,7 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tab
     shared = tables.keep("shared", shared.join(able, "v"))
     tables.drop("lists")
     wanted = tables.keep("wanted", named.join(shared.select("v").distinct(), "v").select("text_key", "v"))
-    sets = tables.keep("sets", _sets(docs, size, wanted))
+    sets = tables.keep("sets", _sets(docs, size, wanted, tables))
     tables.drop("wanted")
 
     # one partner each: of its lists' first members the one met most often
@@ -450,7 +492,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     keys = found.select("doc_id", "text_key", "group_id").groupBy("group_id", "doc_id", "text_key").agg(F.count("*").alias("copies"))
     first = keys.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(F.struct(row.alias("row"), "copies")).alias("k")).select("k.row.doc_id", "k.row.text_key", "k.copies")
     alone = keys.where("group_id IS NULL").select("doc_id", "text_key", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("copies")).alias("copies"))
-    kept = stored( first.unionByName(alone)).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "copies")
+    kept = stored(first.unionByName(alone)).select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), "copies")
     tables.drop_all()
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
