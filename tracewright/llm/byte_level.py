@@ -37,6 +37,8 @@ class Pieces(Remembered):
     """Ids by key; keys that the splitter always parts are put together from their parts."""
 
     def __missing__(self, key: str) -> bytes:
+        if key.isalpha():
+            return super().__missing__(key)
         lead = "\n\n" if key[:2] == "\n\n" else ""
         body = key[len(lead) :]
         word = body.rstrip(MARKS)
@@ -89,6 +91,8 @@ class SegmentEncoder:
         return ["\n\n" + s for s in STABLE.split(text)]
 
     def _learn(self, key: str) -> bytes:
+        if self.signs and key.isascii() and key.isalpha():  # most of all keys
+            return array(self.code, [t.id for t in self.merges.tokenize(self.signs[32] + key)]).tobytes()
         text = key[2:] if key[:2] == "\n\n" else key if key[:1] == "\n" else " " + key
         word = text[1:] if text[:1] == " " else text
         if self.signs and word.isalpha() and max(word) < "\u0250":
