@@ -20,6 +20,7 @@ neighbours go to the earlier example.  Repeated rows: one result each.  Other co
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, texts
-from .labelled import fitted, held_out, unpacked
+from .labelled import fitted, held_out
 from .ngram_join import shingle_set
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -235,7 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = unpacked(data)
+        model = pickle.loads(data)
         for batch in batches:
             found = list(model.score_column(batch.column(1)))
             scores = [s for s, _ in found]
@@ -264,7 +265,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = unpacked(data)
+        model = pickle.loads(data)
         for batch in batches:
             yield batch.filter(pa.array([s < threshold for s, _ in model.score_column(batch.column(at))], pa.bool_()))
 
