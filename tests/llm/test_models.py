@@ -1,8 +1,10 @@
 """Quality rules against plain Python; held-out accuracy of the classifiers; the pipeline."""
 
 import math
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 from hashlib import md5
 from zlib import crc32
@@ -264,6 +266,47 @@ def test_nearest_are_exact(spark):
         assert [(-round(s, 9), i) for s, i in best] == want
 
 
+def test_model_is_small_where_it_is_unpacked():
+    """Postings once, in narrow numbers: some 40 bytes a posting before, matrix and names of terms aside."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(3000)]
+    data = pickle.dumps(NearestExamples([(" ".join(rnd.choices(words, k=150)), i % 2, i) for i in range(600)], 0.5))
+    tracemalloc.start()
+    model = pickle.loads(data)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    postings = sum(len(model.post[t][0]) for t in range(len(model.index)))
+    aside = 250 * len(model.index) + model.post.matrix.nbytes
+    assert postings > 80_000
+    assert held - aside < 30 * postings and peak - aside < 60 * postings, ((held - aside) / postings, (peak - aside) / postings)
+
+
+def test_model_is_all_that_a_worker_holds():
+    from tracewright.llm.labelled import Packed
+
+    data = pickle.dumps(list(range(5)))
+    assert pickle.loads(pickle.dumps(Packed(data))) == list(range(5))
+
+
+def test_blocks_out_of_reach_are_left_out():
+    rnd = random.Random(10)
+    words = ["".join(rnd.choices("klmnopqrst", k=4)) for _ in range(4000)]
+    rows = [(" ".join(["abc" if i < 160 else "xyz"] * 5 + rnd.choices(words, k=10)), int(i < 160), i) for i in range(1280)]  # "abc" alone tells, and in an eighth
+    model = NearestExamples(rows, 0.5)
+    q = model._weighted(*np.unique(np.array([model.index[w] for w in rows[70][0].split()]), return_counts=True))
+    every = model.post.sums(*q)
+    blocks = np.arange(model.post.blocks) % 3 == 1
+    assert model.post.sums_within(blocks, *q).tolist() == np.where(np.repeat(blocks, 64)[: len(every)], every, 0).tolist()
+    within, model.post.sums_within = [], lambda b, at, w, f=model.post.sums_within: (within.append(b.sum()), f(b, at, w))[1]
+    (best,) = model.nearest([q])
+    assert len(within) == 1 and 0 < within[0] < model.post.blocks / 4
+    assert best == sorted(((s, i) for i, s in enumerate(every.tolist()) if s), key=lambda x: (-x[0], x[1]))[: model.k]
+
+
+def test_examples_without_letters_score_the_share():
+    assert NearestExamples([("1 2 3", 1, 1), ("4 5 6", 0, 2)], 0.25).score(["words", ""]) == [(pytest.approx(0.25), [])] * 2
+
+
 def test_odd_rows(odd_docs, labels):
     for f in (score_toxicity, score_quality):
         rows = f(odd_docs, labels).collect()

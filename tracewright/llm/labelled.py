@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,18 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, per_class: int) ->
     return [(r["text"], r["y"], r["doc_id"]) for r in rows.collect()], share
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable) -> bytes:
-    """fit(rows, share) of the sample, pickled.  The sample's size is bounded, so one task fits it; the driver sees the model's bytes alone."""
+class Packed:
+    """A model's pickled bytes, which a task unpacks: there the broadcast's value is the model, once a worker, without bytes beside it."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return pickle.loads, (self.data,)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable) -> Broadcast:
+    """fit(rows, share) of the sample, for all tasks.  The sample's size is bounded, so one task fits it; the driver sees the model's bytes alone."""
     rows, share = sample(docs, labels, label, per_class)
 
     def run(batches: Iterator) -> Iterator:
@@ -52,4 +63,5 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held, share))], pa.binary())], ["model"])
 
     found = rows.coalesce(1).mapInArrow(run, "model binary").first()
-    return bytes(found["model"]) if found else pickle.dumps(fit([], share))  # an empty sample has no task
+    data = bytes(found["model"]) if found else pickle.dumps(fit([], share))  # an empty sample has no task
+    return docs.sparkSession.sparkContext.broadcast(Packed(data))

@@ -20,7 +20,6 @@ neighbours go to the earlier example.  Repeated rows: one result each.  Other co
 from __future__ import annotations
 
 import math
-import pickle
 import re
 from collections.abc import Iterator
 
@@ -73,32 +72,44 @@ def _ranges(first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Postings:
-    """Examples by term; an entry is a term's run of postings within one block, with its largest weight."""
+    """Examples by term; an entry is a term's run of postings within one block, with its largest weight.
 
-    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
-        """Examples one after the other: their ends, their terms and the terms' weights.  Only these travel to a task."""
-        self.ends, self.terms, self.weights, self.n_terms = ends, terms, weights, n_terms
-        self.examples = len(ends) - 1
-        self.blocks = (self.examples + BLOCK - 1) // BLOCK
-        where = np.repeat(np.arange(self.examples), np.diff(ends))
+    A posting is held once, with its example's number in as few bytes as the examples need, and no worker has a second copy.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        """Of each example its terms, ascending, and their weights."""
+        terms = np.concatenate([np.zeros(0, np.int32), *(at for at, _ in vectors)])
         order = np.argsort(terms, kind="stable")  # examples stay in order within a term
-        term, self.where, self.weight = terms[order], where[order], weights[order]
+        held = np.bincount(terms, minlength=n_terms)
+        where = np.repeat(np.arange(len(vectors), dtype=np.min_scalar_type(len(vectors))), np.array([len(at) for at, _ in vectors], int))[order]
+        self.__setstate__((len(vectors), held, where, np.concatenate([np.zeros(0), *(w for _, w in vectors)])[order]))
+
+    def __getstate__(self):
+        return self.examples, self.held, self.where, self.weight  # only these travel to a task
+
+    def __setstate__(self, state: tuple[int, np.ndarray, np.ndarray, np.ndarray]):
+        """The number of examples, and of postings by term; the postings' examples and weights."""
+        self.examples, self.held, self.where, self.weight = state
+        self.blocks = (self.examples + BLOCK - 1) // BLOCK
+        n, n_terms = len(self.where), len(self.held)
+        narrow = np.int32 if n < 1 << 31 else np.int64
+        begin = np.r_[0, np.cumsum(self.held)]
         block = self.where // BLOCK
-        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
-        self.block, self.starts = block[first], np.r_[first, len(term)]
-        self.tops = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.entries = np.searchsorted(term[first], np.arange(n_terms + 1))  # of a term, the first
-        held = np.bincount(term, minlength=n_terms)
-        often = np.flatnonzero(FREQUENT * held >= max(self.examples, FREQUENT))
-        self.row = np.full(n_terms, -1)  # of the matrix, for frequent terms
+        new = np.ones(n, bool)
+        np.not_equal(block[1:], block[:-1], out=new[1:])
+        new[begin[:-1][self.held > 0]] = True
+        first = np.flatnonzero(new)
+        self.block, self.starts = block[first], np.r_[first, n].astype(narrow)
+        self.tops = np.maximum.reduceat(self.weight, first) if n else self.weight
+        self.entries = np.searchsorted(first, begin).astype(narrow)  # of a term, the first
+        often = np.flatnonzero(FREQUENT * self.held >= max(self.examples, FREQUENT))
+        self.row = np.full(n_terms, -1, np.int32)  # of the matrix, for frequent terms
         self.row[often] = np.arange(len(often))
         self.matrix = np.zeros((len(often), self.examples))
-        mine = self.row[term] >= 0
-        self.matrix[self.row[term[mine]], self.where[mine]] = self.weight[mine]
-        self._query = np.zeros(n_terms)
-
-    def __reduce__(self):
-        return Postings, (self.ends, self.terms, self.weights, self.n_terms)
+        for row, term in zip(self.matrix, often.tolist(), strict=True):
+            where, weight = self[term]
+            row[where] = weight
 
     def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """By query and example what the frequent terms give."""
@@ -122,13 +133,13 @@ class Postings:
         at, n = _ranges(self.starts[self.entries[at]], self.starts[self.entries[at + 1]])
         return np.bincount(self.where[at], np.repeat(q, n) * self.weight[at], minlength=self.examples)
 
-    def sums_of(self, some: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """What these terms give some examples."""
-        mine, n = _ranges(self.ends[some], self.ends[some + 1])
-        self._query[at] = q
-        x = self._query[self.terms[mine]] * self.weights[mine]
-        self._query[at] = 0
-        return np.bincount(np.repeat(np.arange(len(some)), n), x, minlength=len(some))
+    def sums_within(self, blocks: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """By example what these terms give it, in the blocks marked; 0 in others."""
+        entries, n = _ranges(self.entries[at], self.entries[at + 1])
+        mine = blocks[self.block[entries]]
+        entries, q = entries[mine], np.repeat(q, n)[mine]
+        at, n = _ranges(self.starts[entries], self.starts[entries + 1])
+        return np.bincount(self.where[at], np.repeat(q, n) * self.weight[at], minlength=self.examples)
 
 
 class NearestExamples:
@@ -143,18 +154,19 @@ class NearestExamples:
         if not n1 or not n0:
             return
         number = self.index
-        bags = [np.unique(np.array([number.setdefault(t, len(number)) for t in terms_of(r[0])], np.int64), return_counts=True) for r in rows]
-        y = np.repeat(labels, [len(at) for at, _ in bags])
-        every = np.concatenate([at for at, _ in bags])
-        df1, df0 = (np.bincount(every[y == x], minlength=len(number)).astype(float) for x in (1, 0))
+        bags = []
+        for r in rows:
+            at, counts = np.unique(np.array([number.setdefault(t, len(number)) for t in terms_of(r[0])], np.int32), return_counts=True)
+            bags.append((at, counts.astype(np.int32)))
+        df1, df0 = (np.bincount(np.concatenate([at for (at, _), y in zip(bags, labels, strict=True) if y == x]), minlength=len(number)).astype(float) for x in (1, 0))
         n = len(rows)
         self.factor = (np.log((1 + n) / (1 + df0 + df1)) + 1) * (np.sqrt(self._evidence(df1, df0, n1, n0)) + 0.01)
         vectors = [self._weighted(at, c) for at, c in bags]
+        del bags
         order = sorted((i for i in range(n) if vectors[i][0].size), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), i))  # alike ones share blocks
         self.labels = labels[order]
         self.names = [rows[i][2] if len(rows[i]) > 2 else i for i in order]
-        mine = [vectors[i] for i in order]
-        self.post = Postings(np.concatenate([[0], np.cumsum([len(at) for at, _ in mine])]).astype(np.int64), np.concatenate([at for at, _ in mine]).astype(np.int32), np.concatenate([w for _, w in mine]), len(number))
+        self.post = Postings([vectors[i] for i in order], len(number))
         self._calibrate(vectors, order, labels, n1, n0)
 
     @staticmethod
@@ -182,10 +194,9 @@ class NearestExamples:
             least = np.partition(scores, -self.k)[-self.k] if len(scores) > self.k else 0.0
             bounds = self.post.bounds(at, q)
             found = np.flatnonzero(scores + np.repeat(bounds, BLOCK)[: len(scores)] >= least - 1e-9)
-            if 16 * len(found) < len(scores):
-                scores[found] += self.post.sums_of(found, at, q)
-            else:
-                scores += self.post.sums(at, q)
+            reached = np.zeros(self.post.blocks, bool)
+            reached[found // BLOCK] = True
+            scores += self.post.sums_within(reached, at, q) if 4 * np.count_nonzero(reached) < len(reached) else self.post.sums(at, q)
             if without:
                 scores[without[i]] = 0
             found = found[scores[found] > 0]
@@ -231,12 +242,12 @@ class NearestExamples:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic_neighbours, best_cosine, neighbours (doc_ids of the nearest examples, nearest first)."""
-    data = fitted(docs, labels, "toxic", per_class, lambda rows, share: NearestExamples(rows, share, k))
+    shared = fitted(docs, labels, "toxic", per_class, lambda rows, share: NearestExamples(rows, share, k))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = pickle.loads(data)
+        model = shared.value
         for batch in batches:
             found = list(model.score_column(batch.column(1)))
             scores = [s for s, _ in found]
@@ -258,14 +269,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, all columns as they are."""
-    data = fitted(docs, labels, "toxic", per_class, lambda rows, share: NearestExamples(rows, share, k))
+    shared = fitted(docs, labels, "toxic", per_class, lambda rows, share: NearestExamples(rows, share, k))
     at = docs.columns.index("text")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = pickle.loads(data)
+        model = shared.value
         for batch in batches:
             yield batch.filter(pa.array([s < threshold for s, _ in model.score_column(batch.column(at))], pa.bool_()))
 
