@@ -133,3 +133,42 @@ def test_shared_values_end_with_their_tables(spark):
     assert tables.shared == []
     with pytest.raises(Exception, match="destroyed"):
         spark.range(3).rdd.map(lambda r: value.value[r.id]).sum()
+
+
+def test_no_table_or_shuffle_outlives_its_last_reader(spark, tmp_path):
+    import time
+    from pathlib import Path
+
+    from tracewright.llm.common import Tables
+    from tracewright.llm.ngram_join import _levels, _read
+
+    beside = {}
+
+    class Watched(Tables):
+        def keep(self, name, df):
+            beside[name] = {p.name for p in Path(self.folder.removeprefix("file://")).glob("*")}
+            return super().keep(name, df)
+
+    rnd = random.Random(12)
+    rows = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.randint(3, 40)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = similarity_components(docs, 3, 90, Watched(spark))
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == sorted((d, c) for d, _, c in brute(rows, 3, 90))
+    assert beside["lists"] == {"rows"}  # the tables of counts are gone
+    assert "placed" in beside["members"] and "placed" not in beside["diffs"]
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    read = Tables(spark).keep("read", _read(docs, 3))
+    before = shuffled()
+    assert _levels(read).any()
+    for _ in range(30):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before

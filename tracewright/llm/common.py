@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import Broadcast
@@ -40,16 +42,22 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
-    """df as a table at path.  Its shuffle files go when the table stands, as nothing reads them again."""
-    spark = df.sparkSession
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go with its end, as nothing reads them again; the setting is put back."""
     before = spark.conf.get(SHUFFLES_END, None)
     spark.conf.set(SHUFFLES_END, "true")
     try:
-        df.write.options(**options).parquet(path)
+        yield
     finally:
         spark.conf.set(SHUFFLES_END, before) if before else spark.conf.unset(SHUFFLES_END)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """df as a table at path.  Its shuffle files go when the table stands."""
+    with shuffles_end(df.sparkSession):
+        df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame, **options: str) -> DataFrame:

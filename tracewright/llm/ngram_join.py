@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, stored, texts
+from .common import Tables, shuffles_end, stored, texts
 
 BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 LONG = 32  # entries of a list that DivideSkip may leave out
@@ -178,7 +178,8 @@ def _levels(read: DataFrame) -> np.ndarray:
     schema = "chunk int, part int, counts binary"
     tables = read.where("chunk IS NOT NULL").select("chunk", "part", "counts")
     tables = tables.repartition("chunk", "part").mapInArrow(added(np.uint8, False), schema)  # 512 tasks' tables at most
-    rows = tables.repartition("chunk").mapInArrow(added(np.uint32, True), schema).collect()
+    with shuffles_end(read.sparkSession):
+        rows = tables.repartition("chunk").mapInArrow(added(np.uint32, True), schema).collect()
     levels = np.zeros((1 << CELL_BITS) // CHUNK * CHUNK, np.uint8).reshape(-1, CHUNK)
     for r in rows:
         levels[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
@@ -396,8 +397,9 @@ def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent:
     members = tables.keep("members", members.groupBy("v", "hub").agg(F.max("wide").alias("wide")))
     crowded = members.where("wide").groupBy("hub").count().where(F.col("count") > FEW).select("hub", F.lit(True).alias("many"))
     members = members.join(crowded, "hub", "left").select("v", "hub", "wide", F.coalesce(F.col("wide") & F.col("many"), F.lit(False)).alias("many"))
+    tables.drop("placed")
     diffs = tables.keep("diffs", _differences(members, sets, percent, table))
-    tables.drop("placed", "sets", "members")
+    tables.drop("sets", "members")
     to_hub = diffs.where("linked").select(F.col("v").alias("a"), F.col("hub").alias("b"))
 
     # a hub's few members meet each other in one row
@@ -436,7 +438,9 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tab
     tables = tables or Tables(spark)
     read = tables.keep("read", _read(docs, size))
     table = tables.share(_levels(read))
-    rows = read.where(F.col("chunk").isNull()).select("doc_id", "n", "v", "text_key")
+    # the tasks' tables of counts are most of it, and no later step reads them
+    rows = tables.keep("rows", read.where(F.col("chunk").isNull()).select("doc_id", "n", "v", "text_key"))
+    tables.drop("read")
     named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.min("text_key").alias("text_key"))
 
     by_shingle = Window.partitionBy("shingle", "salt")  # hot ones are taken as shared
