@@ -341,3 +341,21 @@ def test_pipeline_against_its_parts(spark):
 
     digest = lambda t: sha256(",".join(map(str, sp.encode(t))).encode()).hexdigest()
     assert got == sorted((d, digest(t)) for d, t in zip(left.doc_id, left.text, strict=True) for _ in range(taken.get(d, 0)))
+
+
+def test_a_model_reaches_the_driver_in_small_results(spark):
+    """No row and no task's result is large enough to be fetched whole; the model arrives whole all the same."""
+    from tracewright.llm import labelled
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows, share = labelled.sample(docs, marks, "toxic", 20)
+    model = lambda rows, share: random.Random(len(rows)).randbytes(5_000_000)
+    sizes = labelled.in_pieces(rows, share, model).selectExpr("spark_partition_id() p", "length(piece) n").collect()
+    by_task = Counter()
+    for r in sizes:
+        by_task[r["p"]] += r["n"]
+    assert sum(by_task.values()) >= 5_000_000 and max(r["n"] for r in sizes) <= 1 << 17 and max(by_task.values()) < 1 << 20
+    shared = labelled.fitted(docs, marks, "toxic", 20, model)
+    got = spark.range(1).rdd.map(lambda _: md5(shared.value).hexdigest()).first()
+    assert got == md5(model([None] * rows.count(), share)).hexdigest()

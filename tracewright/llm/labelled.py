@@ -9,6 +9,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of a model in a row, and the tasks over which its rows are dealt on their way through the driver.  Results over
+#: spark.task.maxDirectResultSize (1 MB) are fetched whole, and the driver keeps the room that they took.
+PIECE, DEALT = 1 << 17, 32
+
 
 def held_out() -> Column:
     """crc32 of doc_id as text, modulo 5, is 0.  A row without doc_id is not held out."""
@@ -52,16 +56,30 @@ class Packed:
         return pickle.loads, (self.data,)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable) -> Broadcast:
-    """fit(rows, share) of the sample, for all tasks.  The sample's size is bounded, so one task fits it; the driver sees the model's bytes alone."""
-    rows, share = sample(docs, labels, label, per_class)
+def in_pieces(rows: DataFrame, share: float, fit: Callable) -> DataFrame:
+    """fit(rows, share), pickled, as (place, piece) dealt out evenly: no result of a task is large, however large the model.
+
+    The sample's size is bounded, so one task fits it.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held, share))], pa.binary())], ["model"])
+        data = pickle.dumps(fit(held, share))
+        for k, at in enumerate(range(0, len(data), PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data[at : at + PIECE]], pa.binary())], ["place", "piece"])
 
-    found = rows.coalesce(1).mapInArrow(run, "model binary").first()
-    data = bytes(found["model"]) if found else pickle.dumps(fit([], share))  # an empty sample has no task
+    return rows.coalesce(1).mapInArrow(run, "place int, piece binary").repartition(DEALT)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, per_class: int, fit: Callable) -> Broadcast:
+    """fit(rows, share) of the sample, for all tasks.  The driver sees the model's bytes alone."""
+    import pyarrow as pa
+
+    rows, share = sample(docs, labels, label, per_class)
+    found = in_pieces(rows, share, fit).toArrow().sort_by("place")["piece"]
+    data = b"".join(x.as_buffer() for x in found) or pickle.dumps(fit([], share))  # an empty sample has no task
+    del found
+    pa.default_memory_pool().release_unused()  # else the driver keeps the room of the pieces
     return docs.sparkSession.sparkContext.broadcast(Packed(data))
