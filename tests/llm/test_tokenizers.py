@@ -100,3 +100,36 @@ def test_wavelet_matrix(values):
         assert m.count(v, 0, i + 1) == values[: i + 1].count(v)
         assert m.select(v, values[:i].count(v)) == i
     assert m.count(999) == 0 and m.select(71, 0) == -1
+
+
+def test_a_column_of_texts_is_encoded_with_one_lookup_a_key():
+    import pyarrow as pa
+
+    encoder = SegmentEncoder(str(BYTES))
+    odd = ["", None, "a", " a", "a b", "a\nb", "a \nb", "\n", "x\n\ny", "\u00e9 \u00fc\n\u00f1", "a\u00a0b c", "don't stop, it's", "<s> hi </s>", "tab\tx y", "end\n", "end ", "\u4e2d\u6587 \u5b57"]
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in odd]
+    for column in (pa.array(odd), pa.array(["x y", *odd]).slice(1), pa.array(["", None], pa.string()), pa.array([], pa.string())):
+        got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_all(column)]
+        assert got == want[: len(column)] or got == [[]] * len(column)
+    asked = []
+    known = encoder.known
+
+    class Counting:
+        def __getitem__(self, key):
+            asked.append(key)
+            return known[key]
+
+    encoder.known = Counting()
+    text = "some words, some more\nof words"
+    assert encoder.encode_all(pa.array([text] * 500)) == [b"".join(known[k] for k in encoder.keys(text))] * 500
+    assert sorted(asked) == sorted(set(encoder.keys(text)))
+
+
+def test_batches_are_gathered_up_to_a_size():
+    import pyarrow as pa
+
+    from tracewright.llm.token_shards import gathered
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["x" * n])], ["doc_id", "text"]) for i, n in enumerate((10, 10, 500, 10, 10))]
+    got = [b.column(0).to_pylist() for b in gathered(iter(batches), 100)]
+    assert got == [[0, 1], [2], [3, 4]] and not list(gathered(iter([])))

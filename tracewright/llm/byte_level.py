@@ -14,12 +14,15 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 from .sentencepiece_bpe import Remembered
 
 #: What keeps a text from the plain way: runs of white space, and white space other than spaces and line ends.
 RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\r\v\f\x1c\x1d\x1e\x1f")
 WIDE_SPACE = re.compile(r"[^\S\x00-\x7f]")
 STABLE = re.compile(r"(?<=\S)(?=[ \n])")
+LONGEST = 1 << 26  # characters of a text that is looked up with others
 MARKS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"  # none that a special string or a contraction may begin with
 
 
@@ -82,9 +85,14 @@ class SegmentEncoder:
         return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     @staticmethod
-    def keys(text: str) -> list[str]:
+    def plain(text: str) -> bool:
+        """Whether single spaces and line ends, none in front, are all the white space of a text."""
+        return not (text[0] in " \n" or any(x in text for x in RUNS) or not text.isascii() and WIDE_SPACE.search(text))
+
+    @classmethod
+    def keys(cls, text: str) -> list[str]:
         """A key stands for a space and itself; one that begins with a line end for itself; behind two line ends for the rest."""
-        if not (text[0] in " \n" or any(x in text for x in RUNS) or not text.isascii() and WIDE_SPACE.search(text)):
+        if cls.plain(text):
             keys = text.replace("\n", " \n").split(" ")
             keys[0] = "\n\n" + keys[0]
             return keys
@@ -104,3 +112,25 @@ class SegmentEncoder:
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, self.keys(text))) if text else b""
+
+    def encode_all(self, column) -> list[bytes]:
+        """encode() of every text of an Arrow column.  Arrow tells the keys of plain texts apart, and each is looked up once for all its places."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        given = column.to_pylist()
+        plain = [bool(t) and len(t) <= LONGEST and self.plain(t) for t in given]
+        if not any(plain):
+            return [self.encode(t) for t in given]
+        keys = pc.split_pattern(pc.binary_join_element_wise("\n\n", pc.replace_substring(column.filter(pa.array(plain)), "\n", " \n"), ""), " ")  # as keys() has them
+        coded = keys.flatten().dictionary_encode()
+        known = list(map(self.known.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        ids = np.frombuffer(b"".join(known), f"<u{self.width}")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        place = coded.indices.to_numpy()
+        n = size[place]
+        ends = np.cumsum(n)
+        spread = ids[np.repeat((np.cumsum(size) - size)[place] - ends + n, n) + np.arange(int(n.sum()))].tobytes()
+        cuts = (np.r_[0, ends][keys.offsets.to_numpy() - keys.offsets[0].as_py()] * self.width).tolist()
+        found = map(spread.__getitem__, map(slice, cuts, cuts[1:]))
+        return [next(found) if p else self.encode(t) for p, t in zip(plain, given, strict=True)]

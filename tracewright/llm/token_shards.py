@@ -27,6 +27,7 @@ from .common import scratch, texts
 
 MAGIC = b"WMX2"
 BLOCK = 512  # bits between entries of a rank directory
+GATHERED = 16 << 20  # bytes of texts encoded together
 
 
 class WaveletMatrix:
@@ -137,6 +138,21 @@ def unpack(payload: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]
     return WaveletMatrix(n, planes, ranks), [None if x else int(d) for d, x in zip(known, null, strict=True)], ends
 
 
+def gathered(batches: Iterator, most: int = GATHERED) -> Iterator:
+    """Batches joined to at most so many bytes, as more places of a key then share a lookup; a larger batch stays alone."""
+    import pyarrow as pa
+
+    joined = lambda held: pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*(b.columns for b in held), strict=True)], names=held[0].schema.names)
+    held: list = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield joined(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield joined(held)
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, tokens_per_shard: int = 1 << 20) -> None:
     """Write shards (part, shard, n_tokens, payload) as a Parquet table at `path`."""
 
@@ -157,9 +173,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
             payload = pack(ids, names, np.cumsum(lengths))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], ["part", "shard", "n_tokens", "payload"])
 
-        for batch in batches:
-            for i, name in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.encode(batch.column(1)[i].as_py())
+        for batch in gathered(batches):
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
                 held += [ids, end]
                 names.append(name)
                 lengths.append(len(ids) // encoder.width + 1)
