@@ -172,3 +172,38 @@ def test_no_table_or_shuffle_outlives_its_last_reader(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not shuffled() - before
+
+
+def test_chance_meetings_cost_no_sets(spark):
+    """Texts that share passages with several others, and link with none, are told apart by counts; differences from hubs are not written."""
+    from tracewright.llm.common import Tables
+
+    made = {}
+
+    class Watched(Tables):
+        def keep(self, name, df):
+            out = super().keep(name, df)
+            made[name] = out.count()
+            return out
+
+    rnd = random.Random(6)
+    passages = [[f"p{k}w{i}" for i in range(100)] for k in range(100)]
+    rows = [(d, " ".join(w for p in rnd.sample(passages, 10) for w in p)) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in similarity_components(docs, 3, 90, Watched(spark)).collect())
+    assert got == brute(rows, 3, 90)
+    assert len({c for *_, c in got}) == 40
+    assert made["shared"] > 0 and made["diffs"] == 0
+
+
+def test_entries_stay_beside_fitting_sizes_alone(spark):
+    from tracewright.llm.ngram_join import _open_parts, _shared
+
+    rows = [(1, 10, 100, 0), (1, 11, 91, 0), (1, 11, 91, 0), (1, 12, 80, 0), (2, 20, 50, 0), (2, 20, 50, 0), (3, 30, 9, 5), (4, 40, 90, 0), (4, 41, 100, 0), (4, 42, 101, 0)]
+    lists = spark.createDataFrame([(s, v, n, 0, salt) for s, v, n, salt in rows], "shingle long, v long, n int, score int, salt int")
+    shared = _shared(lists, 90)
+    assert sorted((r["shingle"], r["v"]) for r in shared.collect()) == [(1, 10), (1, 11), (3, 30), (4, 40), (4, 41), (4, 42)]
+    placed = spark.createDataFrame([(s, v, n, 0, c) for s, v, n, c in [(7, 1, 90, 1), (7, 2, 100, 2), (8, 3, 90, 3), (8, 4, 120, 4), (9, 5, 60, 5), (9, 6, 60, 5)]], "shingle long, v long, n int, score int, c long")
+    parts = [(r["shingle"], r["part"], r["v"]) for r in _open_parts(placed, 90).collect()]
+    assert {(s, v) for s, _, v in parts} == {(7, 1), (7, 2)}
+    assert {p for _, p, v in parts if v == 1} == {p for _, p, v in parts if v == 2}

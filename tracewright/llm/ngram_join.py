@@ -2,14 +2,19 @@
 
 All sets agree on one order of shingles, the frequent ones last; how frequent a shingle is, a table of counts over all
 documents tells, of fixed size, where some shingles share a cell.  Two sets that reach the threshold share at least T
-shingles among the first n - ceil(t n) + T of each, T being a fiftieth of the smaller set.  One shuffle on the shingle gives
-these lists; lists of one set alone go at once, and so do sets in fewer than T lists.  Equal sets are one vertex from the start.
+shingles among the first n - ceil(t n) + T of each, T being a twentieth of the smaller set.  One shuffle on the shingle gives
+these lists; entries without another set of fitting size in their list go at once, and so do sets in fewer than T lists.
+Equal sets are one vertex from the start.
 
 Only the components matter.  First every set is compared with one partner, the first of its lists that it meets most often,
 which joins up large groups.  A list's first member, its hub, is the one at the centre: it has most shingles that are about as frequent
-as the list's, and fewest others.  Lists that still hold several components are searched through differences: each member is
-told by its difference from the hub.  Two members linked to their hub are in one component already.  Any other two have as much apart as their differences have, so a link takes a known overlap of
-the differences, and these differ even in a group of thousands of near copies, whose sets do not.  A list that holds one component
+as the list's, and fewest others.
+
+Lists are then cut by size, each set being in its own size's part and the next, and only parts that still hold several components
+stay, with the sets that are in T such lists or more.  Parts of FEW sets are merged and counted: a pair that shares no larger part
+meets T times in them.  So what meets by chance, and grows faster than the corpus, costs rows of numbers and no sets.
+Larger parts are searched through differences: each member is told by its difference from the hub.  Two members linked to their hub are in one component already.  Any other two have as much apart as their differences have, so a link takes a known overlap of
+the differences, and these differ even in a group of thousands of near copies, whose sets do not.  A part that holds one component
 beside its hub asks for links to the hub alone, and a hub's members, while they are FEW, are compared with one another.
 
 For more members, T-occurrence search over the inverted lists of differences (hub, shingle): as above, two differences that make a link share at
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +43,8 @@ from .common import Tables, shuffles_end, stored, texts
 
 BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 LONG = 32  # entries of a list that DivideSkip may leave out
-FEW = 32  # members of a hub that are compared without lists of their differences
+FEW = 32  # members of a hub that are compared without lists of their differences; sets in a part of a list whose pairs are counted
+SHARE = 20  # T is that part of a set
 CELL_BITS = 23  # of the table of counts: that many cells, by the highest bits of a shingle's hash
 CHUNK = 1 << 17  # cells of the table in a row
 HOT_LIST = 1_000_000  # a shingle that may be in more texts is not gathered in one task
@@ -105,7 +112,17 @@ def _least_shared(n: int, percent: int) -> int:
 
 def _occurrences(n: int) -> int:
     """T: how many shingles of their prefixes two sets share, the smaller one having n."""
-    return max(1, n // 50)
+    return max(1, n // SHARE)
+
+
+def _needed(n: Column) -> Column:
+    """_occurrences() of a column."""
+    return F.greatest(F.floor(n / SHARE), F.lit(1))
+
+
+def _needed_of(n: Column, percent: int) -> Column:
+    """T for a set of n and its smallest partner."""
+    return _needed(F.ceil(n * percent / 100))
 
 
 def _most_apart(n: int, percent: int) -> int:
@@ -214,7 +231,7 @@ def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
             tokens, scores, vs, ns = zip(*held, strict=True)
             times = [len(x) for x in tokens]
             tokens, vs, ns = np.concatenate(tokens), np.repeat(np.array(vs), times), np.repeat(np.array(ns, np.int32), times)
-            salt = np.where(levels[_cells(tokens)] >= hot, vs & 63, 0).astype(np.int32)
+            salt = np.where(levels[_cells(tokens)] >= hot, 1 + (vs & 63), 0).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(tokens), vs, ns, np.concatenate(scores).astype(np.int32), salt)], names)
 
         for batch in batches:
@@ -241,6 +258,15 @@ def _lists(docs: DataFrame, size: int, percent: int, table) -> DataFrame:
     return texts(docs).mapInArrow(run, "shingle long, v long, n int, score int, salt int")
 
 
+def _shared(lists: DataFrame, percent: int) -> DataFrame:
+    """(shingle, v, n, score) of lists(shingle, v, n, score, salt), each set once, beside which the list has another of fitting size."""
+    by_size = Window.partitionBy("shingle", "salt").orderBy("n", "v")
+    once = lists.withColumn("before", F.lag("v").over(by_size)).where("before IS NULL OR before <> v")
+    once = once.withColumns({"smaller": F.lag("n").over(by_size), "larger": F.lead("n").over(by_size)})
+    beside = _fits(F.coalesce("smaller", F.lit(0)), F.col("n"), percent) | _fits(F.col("n"), F.coalesce("larger", F.lit(0)), percent)
+    return once.where(beside | (F.col("salt") > 0)).select("shingle", "v", "n", "score")  # hot ones are taken as shared
+
+
 def _sets(docs: DataFrame, size: int, wanted: DataFrame, tables: Tables) -> DataFrame:
     """(v, h) of the wanted (text_key, v).  A filter of fixed size spares hashing most other texts; the join decides."""
     words = wanted.select(F.pmod("text_key", F.lit(BITS)).alias("spot")).groupBy(F.floor(F.col("spot") / 64).alias("word"))
@@ -381,19 +407,51 @@ def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
         before = now
 
 
+def _open_parts(placed: DataFrame, percent: int) -> DataFrame:
+    """placed(shingle, v, n, score, c) by parts of lists, as (shingle, part, own, v, n, score, c), where a part holds several components.
+
+    Sets of fitting sizes are in one part: each is in that of its own size and in the next.
+    """
+    step = math.log(100 / percent) * 1.000001  # rounding never puts fitting sizes two parts apart
+    rows = placed.withColumn("own", F.floor(F.log("n") / step).cast("int")).withColumn("part", F.explode(F.array("own", F.col("own") + 1)))
+    several = rows.groupBy("shingle", "part").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("shingle", "part")
+    return rows.join(several, ["shingle", "part"])
+
+
+def _met(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components that meet in T lists or more, counted in the part of the larger one's size alone."""
+    p, q = (placed.select("shingle", "part", "own", "v", "n", "c").alias(x) for x in "pq")
+    rows = p.join(q, (F.col("p.shingle") == F.col("q.shingle")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.v") < F.col("q.v")))
+    rows = rows.where((F.col("p.c") != F.col("q.c")) & (F.col("p.part") == F.greatest("p.own", "q.own")) & _fits(F.col("p.n"), F.col("q.n"), percent))
+    rows = rows.groupBy(F.col("p.v").alias("a"), F.col("q.v").alias("b")).agg(F.count("*").alias("times"), F.max("p.n").alias("na"), F.max("q.n").alias("nb"))
+    return rows.where(F.col("times") >= _needed(F.least("na", "nb"))).select("a", "b", "na", "nb")
+
+
 def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent: int, table, tables: Tables) -> DataFrame:
     """Links (a, b) between different components of known(v, c) among the members of the lists shared(shingle, v, n, score).
 
-    Drops the tables shared and sets; the links read its own, pairs and diffs.
+    Drops the tables shared and sets; the links read its own, near, pairs and diffs.
     """
-    placed = tables.keep("placed", shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v")))
+    placed = shared.join(known, "v", "left").withColumn("c", F.coalesce("c", "v"))
+    parts = tables.keep("parts", _open_parts(placed, percent))
     tables.drop("shared")
-    lists = placed.groupBy("shingle", "c").agg(F.max(F.struct("score", "v", "n")).alias("top"), F.count("*").alias("held"))
-    lists = lists.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("top", "held")).alias("k")).where("parts > 1")
+    able = parts.groupBy("v").agg(F.count_distinct("shingle").alias("lists"), F.max("n").alias("n")).where(F.col("lists") >= _needed_of(F.col("n"), percent))
+    placed = parts.join(able.select("v"), "v")
+    held = placed.groupBy("shingle", "part").agg(F.count("*").alias("held"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+    placed = tables.keep("placed", placed.join(held.select("shingle", "part", "held"), ["shingle", "part"]))
+    tables.drop("parts")
+    met = tables.keep("met", _met(placed.where(F.col("held") <= FEW), percent))
+    side = lambda x: sets.join(met.select(F.col(x).alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias(x), F.col("h").alias("h" + x))
+    near = tables.keep("near", _linked(met.join(side("a"), "a").join(side("b"), "b"), percent))
+    tables.drop("met")
+
+    placed = placed.where(F.col("held") > FEW)
+    lists = placed.groupBy("shingle", "part", "c").agg(F.max(F.struct("score", "v", "n")).alias("top"), F.count("*").alias("held"))
+    lists = lists.groupBy("shingle", "part").agg(F.count("*").alias("parts"), F.max(F.struct("top", "held")).alias("k")).where("parts > 1")
     # beside the hub there are several components, or else only links to the hub are left to find
     wide = F.col("parts") - (F.col("k.held") == 1).cast("int") > 1
-    lists = lists.select("shingle", F.col("k.top.v").alias("hub"), F.col("k.top.n").alias("hub_n"), wide.alias("wide"))
-    members = placed.join(lists, "shingle").where((F.col("v") != F.col("hub")) & (F.col("wide") | _fits(F.col("n"), F.col("hub_n"), percent)))
+    lists = lists.select("shingle", "part", F.col("k.top.v").alias("hub"), F.col("k.top.n").alias("hub_n"), wide.alias("wide"))
+    members = placed.join(lists, ["shingle", "part"]).where((F.col("v") != F.col("hub")) & (F.col("wide") | _fits(F.col("n"), F.col("hub_n"), percent)))
     members = tables.keep("members", members.groupBy("v", "hub").agg(F.max("wide").alias("wide")))
     crowded = members.where("wide").groupBy("hub").count().where(F.col("count") > FEW).select("hub", F.lit(True).alias("many"))
     members = members.join(crowded, "hub", "left").select("v", "hub", "wide", F.coalesce(F.col("wide") & F.col("many"), F.lit(False)).alias("many"))
@@ -429,7 +487,7 @@ def _through_hubs(shared: DataFrame, known: DataFrame, sets: DataFrame, percent:
     asked = pairs.select("hub", F.col("a").alias("v")).unionByName(pairs.select("hub", F.col("b").alias("v")))
     needed = diffs.select("v", "hub", "n", "d").join(asked, ["hub", "v"], "left_semi")
     side = lambda x: needed.select(F.col("v").alias(x), "hub", F.col("n").alias("n" + x), F.col("d").alias("h" + x))
-    return to_hub.unionByName(among).unionByName(_linked(pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
+    return near.unionByName(to_hub).unionByName(among).unionByName(_linked(pairs.join(side("a"), ["hub", "a"]).join(side("b"), ["hub", "b"]), percent))
 
 
 def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tables: Tables | None = None) -> DataFrame:
@@ -443,11 +501,9 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tab
     tables.drop("read")
     named = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("name"), F.min("text_key").alias("text_key"))
 
-    by_shingle = Window.partitionBy("shingle", "salt")  # hot ones are taken as shared
-    lists = _lists(docs, size, percent, table).withColumns({"x": F.min("v").over(by_shingle), "y": F.max("v").over(by_shingle)})
-    shared = tables.keep("lists", lists.where("x <> y OR salt > 0").dropDuplicates(["shingle", "salt", "v"]).select("shingle", "v", "n", "score"))
+    shared = tables.keep("lists", _shared(_lists(docs, size, percent, table), percent))
     # a set that shares fewer than T of its shingles with any other has no link
-    able = shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n")).where(F.col("lists") >= F.greatest(F.floor(F.col("n") / 50), F.lit(1))).select("v")
+    able = shared.groupBy("v").agg(F.count("*").alias("lists"), F.max("n").alias("n")).where(F.col("lists") >= _needed_of(F.col("n"), percent)).select("v")
     shared = tables.keep("shared", shared.join(able, "v"))
     tables.drop("lists")
     wanted = tables.keep("wanted", named.join(shared.select("v").distinct(), "v").select("text_key", "v"))
@@ -468,7 +524,7 @@ def similarity_components(docs: DataFrame, size: int = 5, percent: int = 80, tab
     for x in ("a", "b"):
         more = more.join(known.select(F.col("v").alias(x), F.col("c").alias("c" + x)), x, "left")
     joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), tables, "whole").select("v", F.col("c").alias("whole"))
-    tables.drop("pairs", "diffs")
+    tables.drop("near", "pairs", "diffs")
 
     named = named.join(known, "v", "left").select("v", "name", F.coalesce("c", "v").alias("c"))
     named = named.join(joined.withColumnRenamed("v", "c"), "c", "left").select("v", "name", F.coalesce("whole", "c").alias("c"))
